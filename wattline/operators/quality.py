@@ -40,10 +40,13 @@ def missing_columns(df: DataFrame, kind: str = "smart_meter") -> list[str]:
 
 
 def column_check(df: DataFrame, kind: str = "smart_meter") -> DataFrame:
-    """(column, present) for each required column."""
+    """(column, present, known) for each required column; ``known`` counts its non-null cells."""
     required = REQUIRED_COLUMNS.get(kind, REQUIRED_COLUMNS["smart_meter"])
-    rows = [(c, c in df.columns) for c in required]
-    return df.sparkSession.createDataFrame(rows, "column string, present boolean")
+    wide = df.agg(
+        *[F.lit(c in df.columns).alias(f"{c}__present") for c in required],
+        *[(F.count(c) if c in df.columns else F.lit(0).cast("bigint")).alias(f"{c}__known") for c in required],
+    )
+    return long_form(wide, required, ["present", "known"])
 
 
 def shape_and_span(df: DataFrame, ts: str = TS) -> DataFrame:
@@ -106,7 +109,10 @@ def gaps(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFr
     keys = list(keys)
     steps = intervals(df, keys, ts)
     middle = weighted_median(steps, "seconds", "n", keys)
-    joined = steps.join(middle, keys) if keys else steps.withColumn("median", middle.scalar())
+    if keys:
+        joined = steps.join(middle, keys)
+    else:  # one row on the right
+        joined = steps.withColumn("_k", F.lit(0)).join(F.broadcast(middle.withColumn("_k", F.lit(0))), "_k")
     found = joined.groupBy(*keys).agg(
         F.first("median").alias("median_seconds"),
         F.sum(F.when(F.col("seconds") > F.col("median") * 2, F.col("n")).otherwise(0)).alias("gaps"),
@@ -222,7 +228,8 @@ def validate(df: DataFrame, kind: str = "smart_meter", ts: str = TS, bad_times:
     parts = [one.select(F.inline(F.array_compact(F.array(*lines))))]
 
     by = [c for c in (SERIES,) if c in df.columns]
-    gap = gaps(df, by, ts).agg(F.sum("gaps").cast("double").alias("value"))
+    gap = gaps(df, by, ts)
+    gap = (gap.agg(F.sum("gaps").alias("gaps")) if by else gap).select(F.col("gaps").cast("double").alias("value"))
     parts.append(gap.filter("value > 0").select(
         F.lit("time_gaps").alias("rule"), F.lit("warning").alias("level"), F.lit(ts).alias("column"), "value"))
     body = [c for c in df.columns if c != ROW]

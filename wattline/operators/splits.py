@@ -74,14 +74,19 @@ def expanding_folds(df: DataFrame, splits: int = 5, keys: Sequence[str] = (SERIE
     return placed.withColumn("test_fold", fold.cast("int")).drop("_p", "_n_all")
 
 
+def scatter(key: str = ROW) -> Column:
+    """A multiplicative hash of an integer key: same value on every run and partitioning."""
+    return F.pmod((F.pmod(F.col(key), F.lit(2**31)) + 1) * F.lit(2654435761), F.lit(2**32))
+
+
 def hash_halves(df: DataFrame, key: str = ROW) -> DataFrame:
     """Deterministic halves by row id, independent of the partitioning."""
-    return df.withColumn("half", (F.pmod(F.crc32(F.col(key).cast("string")), F.lit(2)) + 1).cast("int"))
+    return df.withColumn("half", (F.floor(scatter(key) / F.lit(2**31)) + 1).cast("int"))
 
 
 def hash_sample(df: DataFrame, n: int, key: str = ROW) -> DataFrame:
-    """A fixed pseudo-random sample of ``n`` rows, the same for any partitioning."""
-    return df.orderBy(F.crc32(F.col(key).cast("string")), F.col(key)).limit(n)
+    """A fixed pseudo-random sample of ``n`` rows; each task keeps only its own ``n`` smallest."""
+    return df.orderBy(scatter(key), F.col(key)).limit(n)
 
 
 def every_kth(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = (), points: int = 100) -> DataFrame:

@@ -16,8 +16,10 @@ def _per_column(template, columns, cte=READINGS, source="rd"):
 
 
 @query("C1_required_columns", """
-SELECT * FROM (VALUES ('ts', TRUE), ('consumption_kwh', TRUE), ('voltage', FALSE)) AS v("column", present)
-""")
+SELECT 'ts' AS "column", TRUE AS present, count(ts) AS known FROM events
+UNION ALL SELECT 'consumption_kwh', TRUE, count(value) FROM events
+UNION ALL SELECT 'voltage', FALSE, 0
+""", ints="known")
 def _(spark, folder):
     return quality.column_check(readings(spark, folder).drop("voltage"), "full")
 
