@@ -40,7 +40,7 @@ def health_label(points: Column) -> Column:
 
 
 def peak_probability(forecast: Column, threshold: Column) -> Column:
-    raw = (forecast - threshold * 0.5) / threshold * 100
+    raw = F.try_divide(forecast - threshold * 0.5, threshold) * 100
     return F.round(F.least(F.lit(99.0), F.greatest(F.lit(1.0), raw)), 1)
 
 

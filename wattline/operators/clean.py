@@ -50,7 +50,7 @@ def replace_far_values(df: DataFrame, columns: Sequence[str] = ("consumption_kwh
         *[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_pop(c).alias(f"{c}_s") for c in columns]
     ).select(F.struct("*")).scalar()
     marked = df.withColumns({
-        c: F.when(~F.coalesce(F.abs((F.col(c) - moments[f"{c}_m"]) / moments[f"{c}_s"]) > cut, F.lit(False)),
+        c: F.when(~F.coalesce(F.abs(F.try_divide(F.col(c) - moments[f"{c}_m"], moments[f"{c}_s"])) > cut, F.lit(False)),
                   F.col(c))
         for c in columns
     })
@@ -64,7 +64,7 @@ def clip_extremes(df: DataFrame, columns: Sequence[str] = ("consumption_kwh", "v
     columns = [c for c in columns if c in df.columns]
     stats = []
     for c in columns:
-        far = F.greatest(F.max(c) - F.avg(c), F.avg(c) - F.min(c)) / F.stddev_samp(c)
+        far = F.try_divide(F.greatest(F.max(c) - F.avg(c), F.avg(c) - F.min(c)), F.stddev_samp(c))
         stats.append(F.coalesce(far > cut, F.lit(False)).alias(c))
     needed = df.agg(*stats).select(F.struct("*")).scalar()
     bounds = {}

@@ -181,7 +181,7 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], cut: float = OUTLIER_
     made = []
     for c in columns:
         spread = moments[f"{c}_s"] + F.lit(1e-8) if softened else moments[f"{c}_s"]
-        made.append(F.count_if(F.abs((F.col(c) - moments[f"{c}_m"]) / spread) > cut).alias(f"{c}__count"))
+        made.append(F.count_if(F.abs(F.try_divide(F.col(c) - moments[f"{c}_m"], spread)) > cut).alias(f"{c}__count"))
         made.append(F.count(c).alias(f"{c}__known"))
         made.append(F.count(F.lit(1)).alias(f"{c}__rows"))
     found = long_form(df.agg(*made), columns, ["count", "known", "rows"])
@@ -298,7 +298,7 @@ def render_report(report: DataFrame) -> str:
 
 def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based equal-width bin; the last bin is closed on the right."""
-    raw = F.floor((value - low) / (high - low) * bins)
+    raw = F.floor(F.try_divide(value - low, high - low) * bins)
     return F.when(value == high, F.lit(bins - 1).cast("bigint")).otherwise(F.least(raw, F.lit(bins - 1).cast("bigint")))
 
 
@@ -326,7 +326,8 @@ def compare_tables(left: DataFrame, right: DataFrame, columns: Sequence[str], bi
     totals = cells.groupBy("column").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
     width = (F.col("hi") - F.col("lo")) / bins
     dense = cells.join(totals, "column").withColumns({
-        "pd": F.col("p") / F.col("np") / width + F.lit(1e-10), "qd": F.col("q") / F.col("nq") / width + F.lit(1e-10)})
+        "pd": F.try_divide(F.col("p") / F.col("np"), width) + F.lit(1e-10),
+        "qd": F.try_divide(F.col("q") / F.col("nq"), width) + F.lit(1e-10)})
     sums = dense.groupBy("column").agg(F.sum("pd").alias("sp"), F.sum("qd").alias("sq"))
     shared = dense.join(sums, "column").withColumns({"ps": F.col("pd") / F.col("sp"), "qs": F.col("qd") / F.col("sq")})
     kl = shared.groupBy("column").agg(F.sum(F.col("ps") * F.log(F.col("ps") / F.col("qs"))).alias("kl"))

@@ -89,3 +89,45 @@ _LAST = "last_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts R
 RESAMPLED = GRID + ",\nrs AS (SELECT series_id, ts, " + ", ".join(
     _LAST.format(c=c) for c in ("consumption_kwh", "voltage", "load_factor", "temperature")
 ) + " FROM sparse)"
+
+SCORED = READINGS + """,
+q85 AS (SELECT quantile_cont(consumption_kwh, 0.85) AS q FROM rd),
+sc AS (
+  SELECT rd.*, load_factor - 0.1 AS anomaly_score, CASE WHEN consumption_kwh > 200 THEN 1 ELSE 0 END AS anomaly_flag,
+    CASE WHEN load_factor - 0.1 <= 0.1 THEN 'normal' WHEN load_factor - 0.1 <= 0.3 THEN 'low'
+         WHEN load_factor - 0.1 <= 0.6 THEN 'medium' ELSE 'high' END AS anomaly_severity,
+    load_factor * 100 AS maintenance_urgency, 100 - load_factor * 100 AS efficiency_score,
+    CASE series_id % 5 WHEN 0 THEN 'very efficient' WHEN 1 THEN 'efficient' WHEN 2 THEN 'moderate'
+         WHEN 3 THEN 'inefficient' ELSE 'unknown' END AS efficiency_label,
+    CASE WHEN hour(ts) IN (7, 8, 9, 17, 18, 19, 20) THEN 1 ELSE 0 END AS is_peak_hour,
+    CASE WHEN points <= 0 THEN 'healthy' WHEN points <= 2 THEN 'warning' ELSE 'critical' END AS health_status
+  FROM (SELECT *, CASE WHEN consumption_kwh > q THEN 2 ELSE 0 END + CASE WHEN voltage BETWEEN 225 AND 235 THEN 0 ELSE 1 END
+          + CASE WHEN temperature > 35 THEN 1 ELSE 0 END AS points FROM rd, q85) rd)"""
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings with fixed stand-ins for the model outputs, so read models can be checked exactly."""
+    from wattline.functions import labels, temporal
+    from wattline.operators.quantile import quantiles
+    from wattline.sources.readings import readings
+
+    table = readings(spark, folder)
+    high = quantiles(table, {"q": ("consumption_kwh", 0.85)}).scalar()
+    names = ["very efficient", "efficient", "moderate", "inefficient", "unknown"]
+    label = F.get(F.array(*[F.lit(n) for n in names]), (F.col("series_id") % 5).cast("int"))
+    points = labels.health_points(F.col("consumption_kwh"), high, F.col("voltage"), F.col("temperature"))
+    made = table.withColumns({
+        "anomaly_score": F.col("load_factor") - 0.1,
+        "anomaly_flag": (F.col("consumption_kwh") > 200).cast("int"),
+        "maintenance_urgency": F.col("load_factor") * 100,
+        "efficiency_score": 100 - F.col("load_factor") * 100,
+        "efficiency_label": label,
+        "is_peak_hour": temporal.peak_hour(F.hour("ts")),
+        "health_status": labels.health_label(points),
+    })
+    return made.withColumn("anomaly_severity", labels.severity(F.col("anomaly_score")))
+
+
+def fixed_sql(expression: str, digits: int) -> str:
+    """SQL text of a number with fixed decimals, halves away from zero on its decimal form."""
+    return f"printf('%.{digits}f', CAST(round(CAST({expression} AS DECIMAL(24, 8)), {digits}) AS DOUBLE))"
