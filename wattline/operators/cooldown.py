@@ -10,6 +10,7 @@ lag cannot decide it.  The work is cut into time chunks that run in parallel:
 
 Rows of the same key and time are reduced to one before any of this, so a chunk holds
 distinct times only and its size is bounded by the clock resolution, not by the row count.
+While every key has few times, one SQL fold per key does the same without Python.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.operators.ordered import largest_group
+from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS
 
 _GAPS_PER_CHUNK = 64
+_FOLD_TIMES = 4096
 _NEVER = np.iinfo(np.int64).min
 
 
@@ -94,16 +98,38 @@ def apply_cooldown(alerts: DataFrame, seconds: float = 300, keys: Sequence[str]
     Of several alerts of a key at one time only the one with the lowest row id can fire.
     """
     keys, gap = list(keys), int(seconds * 1_000_000)
-    span = gap * _GAPS_PER_CHUNK
     rest = [c for c in alerts.columns if c not in (*keys, ts)]
     single = alerts.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), F.col(row)).alias("_row"))
     single = single.withColumn("_us", F.unix_micros(ts))
+    if largest_group(alerts.select(*keys, ts), keys) <= min(_FOLD_TIMES, rows_per_task(alerts.sparkSession)):
+        fired = single.groupBy(*keys).agg(F.sort_array(F.collect_list("_us")).alias("_all")).select(
+            *keys, F.explode(_fold(F.col("_all"), gap)).alias("_us"))
+    else:
+        fired = _by_chunks(alerts, single, keys, gap)
+    return single.join(fired, [*keys, "_us"]).select(*keys, ts, "_row.*").select(*alerts.columns)
+
+
+def _fold(times, gap: int):
+    """Walk sorted times, keeping those at least ``gap`` after the last one kept."""
+    none = F.array().cast("array<bigint>")
+
+    def step(kept, time):
+        quiet = (F.size(kept) == 0) | (time - F.element_at(kept, -1) >= gap)
+        return F.when(F.coalesce(quiet, F.lit(True)), F.concat(kept, F.array(time))).otherwise(kept)
+
+    return F.aggregate(times, none, step)
+
+
+def _by_chunks(alerts: DataFrame, single: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """(keys, _us) of the alerts that fire, over parallel time chunks."""
+    span = gap * _GAPS_PER_CHUNK
+    width = int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     times = single.select(*keys, "_us", F.floor(F.col("_us") / F.lit(span)).alias("_chunk"))
+    times = times.repartition(width, *keys, "_chunk")
     kinds = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     steps = times.groupBy(*keys, "_chunk").applyInPandas(
         _chunk_function(gap, span, keys), f"{head}, _chunk bigint, _upto bigint, _after bigint")
     begin = steps.groupBy(*keys).applyInPandas(_compose(keys), f"{head}, _chunk bigint, _allowed bigint")
-    fired = times.join(begin, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
+    return times.join(begin, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
         _fire(gap, keys), f"{head}, _us bigint")
-    return single.join(fired, [*keys, "_us"]).select(*keys, ts, "_row.*").select(*alerts.columns)
