@@ -23,3 +23,67 @@ def flip_labels(label: Column, key: Column, share: float = 0.06) -> Column:
     pick = F.pmod(F.xxhash64(key, F.lit("class")), F.lit(2)).cast("int")
     others = F.array_remove(F.array(*[F.lit(c) for c in HEALTH_CLASSES]), label)
     return F.when(draw < int(share * 10_000), F.get(others, pick)).otherwise(label)
+
+
+def classifier_for(rows: int, seed: int = 42):
+    """Random forest whose size follows the number of rows: below 200, below 500, and above."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    depth, trees = (2, 40) if rows < 200 else (2, 80) if rows < 500 else (5, 40)
+    return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=5,
+                                  subsamplingRate=0.8, seed=seed)
+
+
+class HealthModel:
+    """Classifier with its class names in label order and its cross-validated scores."""
+
+    def __init__(self, features, model, classes, fold_scores):
+        self.features, self.model, self.classes, self.fold_scores = features, model, classes, fold_scores
+
+
+def _labelled(df: DataFrame, features, label: str, classes: list[str]) -> DataFrame:
+    from wattline.models.forecast import ready
+
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    return ready(df, features).withColumn("label", place.cast("double"))
+
+
+def stratified_folds(df: DataFrame, label: str, folds: int, key: str = "row_id") -> DataFrame:
+    """Deterministic folds; a hash of the key spreads every class evenly over them."""
+    return df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.col(label)), F.lit(folds)))
+
+
+def fit_health(df: DataFrame, features, label: str = "health", folds: int = 5, estimator=None, key: str = "row_id") -> HealthModel:
+    """Merge a rare class, score by weighted F1 over stratified folds, refit on all rows."""
+    from wattline.models.scaling import held
+    from wattline.operators.metrics import classification_summary
+
+    table = merge_rare_class(df, label)
+    counts = {r[label]: r["n"] for r in table.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    classes = sorted(c for c in counts if c is not None)
+    folds = max(2, min(folds, min(counts[c] for c in classes)))
+    estimator = estimator or classifier_for(sum(counts.values()))
+    made = stratified_folds(_labelled(table, list(features), label, classes), label, folds, key)
+    tested = None
+    with held(made.select("features", "label", "_fold")) as table:
+        for fold in range(folds):
+            fitted = estimator.fit(table.filter(F.col("_fold") != fold))
+            part = fitted.transform(made.filter(F.col("_fold") == fold)).select("label", "prediction", F.lit(fold).alias("fold"))
+            tested = part if tested is None else tested.unionByName(part)
+        final = estimator.fit(table)
+    scores = classification_summary(tested, "label", "prediction", ["fold"])
+    return HealthModel(list(features), final, classes, scores)
+
+
+def predict_health(fitted: HealthModel, df: DataFrame) -> DataFrame:
+    """health_status, one prob_<class> per class by name, and the urgency: 100 * P(critical)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wattline.models.forecast import ready
+
+    scored = fitted.model.transform(ready(df, fitted.features)).withColumn("_p", vector_to_array("probability"))
+    names = F.array(*[F.lit(c) for c in fitted.classes])
+    made = {f"prob_{c}": F.get("_p", F.lit(i)) for i, c in enumerate(fitted.classes)}
+    urgent = F.round(F.get("_p", F.lit(fitted.classes.index("critical"))) * 100, 1) if "critical" in fitted.classes else F.lit(0.0)
+    scored = scored.withColumns({**made, "health_status": F.get(names, F.col("prediction").cast("int")), "maintenance_urgency": urgent})
+    return scored.drop("features", "rawPrediction", "probability", "prediction", "_p")

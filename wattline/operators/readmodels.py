@@ -134,7 +134,7 @@ def trend(df: DataFrame, column: str = KWH, least: int = 10) -> DataFrame:
     placed = placed.withColumn("_y", F.coalesce(F.col(column), mean))
     return placed.agg(
         F.when(F.count(F.lit(1)) < least, F.lit(0.0)).otherwise(
-            F.try_divide(F.regr_slope("_y", F.col("_p").cast("double")), F.avg(column) + F.lit(1e-8))).alias("trend"))
+            F.try_divide(F.try_divide(F.covar_pop("_y", "_p"), F.var_pop("_p")), F.avg(column) + F.lit(1e-8))).alias("trend"))
 
 
 def upload_analytics(df: DataFrame) -> DataFrame:
