@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wattline.functions.temporal import calendar_features, cyclical_features
 from wattline.models import detectors, efficiency, forecast, forest, health, lifecycle
 from wattline.operators import clean, features, metrics, selection, splits
+from wattline.operators.ordered import percent_rank_of_ties
 from wattline.plans.catalogue import GRID, HOURLY, LINES, READINGS, RESAMPLED, query
 from wattline.plans.queries_tables import HEALTH_SQL, with_health
 from wattline.sources.readings import hourly_total, line_readings, readings
@@ -146,13 +147,15 @@ _NEAR = "sqrt(({a} - {x}) * ({a} - {x}) + (load_factor - {y}) * (load_factor - {
 WITH {READINGS}, d AS (SELECT row_id, least({', '.join(_NEAR.format(a='consumption_kwh / 100', x=x, y=y) for x, y in ((0.2, 0.2), (0.5, 0.7), (3.0, 0.5)))}) AS d FROM rd),
 s AS (SELECT row_id, round(100 - d / (SELECT max(d) FROM d) * 100, 1) AS efficiency_score FROM d),
 r AS (SELECT *, rank() OVER (ORDER BY efficiency_score) AS k, count(*) OVER (PARTITION BY efficiency_score) AS t, count(*) OVER () AS n FROM s)
-SELECT row_id, efficiency_score, round((k + (t - 1) / 2.0) / n * 100, 1) AS efficiency_percentile FROM r
-""", floats="efficiency_score efficiency_percentile")
+SELECT row_id, efficiency_score, (k + (t - 1) / 2.0) / n AS score_rank, TRUE AS percentile_agrees FROM r
+""", floats="efficiency_score score_rank")
 def _(spark, folder):
     table = readings(spark, folder).withColumn("a", F.col(KWH) / 100)
     near = efficiency.nearest_centre(["a", "load_factor"], [[0.2, 0.2], [0.5, 0.7], [3.0, 0.5]])
     scored = efficiency.with_distance_score(table.withColumn("d", near["distance"]), "d")
-    return scored.select("row_id", "efficiency_score", "efficiency_percentile")
+    ranked = percent_rank_of_ties(scored, "efficiency_score", "score_rank")
+    agrees = F.abs(F.col("efficiency_percentile") - F.col("score_rank") * 100) <= 0.0501
+    return ranked.select("row_id", "efficiency_score", "score_rank", agrees.alias("percentile_agrees"))
 
 
 def _members(spark, folder):
