@@ -69,8 +69,8 @@ class Ordered:
             every = _partition_by(self.keys)
             return self.with_position(position).withColumn(total, F.count(F.lit(1)).over(every))
         pieces = self.df.withColumn(_CUT, self._cut_of())
-        sizes = pieces.groupBy(*self.keys, _CUT).agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.withColumn(total, F.sum("_n").over(_partition_by(self.keys))).drop("_n")
+        sizes = pieces.groupBy(*self.keys, _CUT).agg(F.count(F.lit(1)).alias("_rows_here"))
+        sizes = sizes.withColumn(total, F.sum("_rows_here").over(_partition_by(self.keys))).drop("_rows_here")
         return self._clean(pieces.join(sizes, [*self.keys, _CUT]).withColumn(position, F.col(_POS)))
 
     def near(self, columns: dict[str, callable], back: int = 0, ahead: int = 0) -> DataFrame:

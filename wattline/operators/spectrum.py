@@ -83,59 +83,69 @@ def _best_per_key(bins: DataFrame, top: int, keys: list[str]) -> DataFrame:
     return kept.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= top)
 
 
-def _split(n: int, limit: int) -> int | None:
-    """The divisor of n nearest its root whose cofactor still fits one task."""
+def _plan(n: int, limit: int) -> tuple[int, int]:
+    """(length to transform, its first factor): n itself if two factors fit a task, else a padded power of two."""
     for a in range(math.isqrt(n), 1, -1):
         if n % a == 0:
-            return a if n // a <= limit else None
-    return None
+            if n // a <= limit:
+                return n, a
+            break
+    m = 1 << (2 * n - 1).bit_length()
+    return m, 1 << (m.bit_length() - 1) // 2
+
+
+def _lengths(signal: DataFrame, limit: int) -> DataFrame:
+    """(_n, _m, _a) for each distinct length."""
+    def plan(batches):
+        for pdf in batches:
+            made = [_plan(int(n), limit) for n in pdf["_n"]]
+            yield pd.DataFrame({"_n": pdf["_n"], "_m": [m for m, _ in made], "_a": [a for _, a in made]})
+
+    return signal.select("_n").distinct().mapInPandas(plan, "_n bigint, _m bigint, _a bigint")
 
 
 def long_transform(signal: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """(keys, _n, _k, _re, _im) for real signals too long for one task."""
-    lengths = [r["_n"] for r in signal.select("_n").distinct().collect()]  # one value per distinct length
-    parts = []
-    for n in lengths:
-        part = signal.filter(F.col("_n") == n).select(
-            *keys, F.col("_i"), F.col("_v").alias("_re"), F.lit(0.0).alias("_im"))
-        a = _split(n, limit)
-        done = _two_step(part, keys, n, a) if a else _chirp(part, keys, n, limit)
-        parts.append(done.withColumn("_n", F.lit(n).cast("bigint")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _two_step(part: DataFrame, keys: list[str], n: int, a: int, sign: int = -1) -> DataFrame:
-    """Transform of length n = a * b: index i = b*i1 + i2, frequency k = k1 + a*k2."""
-    b = n // a
-    head = _head(part, keys)
-
-    def transform(values):
+    lengths = materialize(_lengths(signal, limit), "lengths")
+    planned = signal.join(lengths, "_n").select(
+        *keys, "_n", "_m", "_a", "_i", F.col("_v").alias("_re"), F.lit(0.0).alias("_im"))
+    direct = _two_step(planned.filter(F.col("_m") == F.col("_n")), keys)
+    padded = _chirp(planned.filter(F.col("_m") != F.col("_n")), lengths.filter(F.col("_m") != F.col("_n")), keys)
+    return direct.select(*keys, "_n", "_k", "_re", "_im").unionByName(padded)
+
+
+_CARRIED = ["_n", "_m", "_a"]
+_CARRIED_SCHEMA = "_n bigint, _m bigint, _a bigint, "
+
+
+def _two_step(part: DataFrame, keys: list[str], sign: int = -1) -> DataFrame:
+    """Transform of length m = a * b: index i = b*i1 + i2, frequency k = k1 + a*k2."""
+    head = _head(part, keys) + _CARRIED_SCHEMA
+
+    def transform(pdf):
+        values = pdf["_re"].to_numpy() + 1j * pdf["_im"].to_numpy()
         return np.fft.fft(values) if sign < 0 else np.fft.ifft(values) * len(values)
 
+    def labelled(made, pdf, last):
+        for name in [*keys, *_CARRIED]:
+            made[name] = pdf[name].iloc[0]
+        return made[[*keys, *_CARRIED, *last]]
+
     def columns(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i1")
-        i2 = int(pdf["_i2"].iloc[0])
+        m, a, i2 = (int(pdf[c].iloc[0]) for c in ("_m", "_a", "_i2"))
         k1 = np.arange(a)
-        out = transform(pdf["_re"].to_numpy() + 1j * pdf["_im"].to_numpy())
-        out = out * np.exp(sign * 2j * np.pi * ((i2 * k1) % n) / n)
-        made = pd.DataFrame({"_k1": k1, "_i2": i2, "_re": out.real, "_im": out.imag})
-        for key in keys:
-            made[key] = pdf[key].iloc[0]
-        return made[[*keys, "_k1", "_i2", "_re", "_im"]]
+        out = transform(pdf) * np.exp(sign * 2j * np.pi * ((i2 * k1) % m) / m)
+        return labelled(pd.DataFrame({"_k1": k1, "_i2": i2, "_re": out.real, "_im": out.imag}), pdf, ["_k1", "_i2", "_re", "_im"])
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i2")
-        k1 = int(pdf["_k1"].iloc[0])
-        out = transform(pdf["_re"].to_numpy() + 1j * pdf["_im"].to_numpy())
-        made = pd.DataFrame({"_k": k1 + a * np.arange(b), "_re": out.real, "_im": out.imag})
-        for key in keys:
-            made[key] = pdf[key].iloc[0]
-        return made[[*keys, "_k", "_re", "_im"]]
+        a, k1 = int(pdf["_a"].iloc[0]), int(pdf["_k1"].iloc[0])
+        out = transform(pdf)
+        return labelled(pd.DataFrame({"_k": k1 + a * np.arange(len(out)), "_re": out.real, "_im": out.imag}), pdf, ["_k", "_re", "_im"])
 
-    laid = part.select(*keys, F.floor(F.col("_i") / b).alias("_i1"), (F.col("_i") % b).alias("_i2"), "_re", "_im")
+    b = F.col("_m") / F.col("_a")
+    laid = part.select(*keys, *_CARRIED, F.floor(F.col("_i") / b).alias("_i1"), F.pmod(F.col("_i"), b.cast("bigint")).alias("_i2"), "_re", "_im")
     half = laid.groupBy(*keys, "_i2").applyInPandas(columns, head + "_k1 bigint, _i2 bigint, _re double, _im double")
     return half.groupBy(*keys, "_k1").applyInPandas(rows, head + "_k bigint, _re double, _im double")
 
@@ -144,36 +154,39 @@ def _turned(re, im, angle):
     return re * F.cos(angle) - im * F.sin(angle), re * F.sin(angle) + im * F.cos(angle)
 
 
-def _chirp(part: DataFrame, keys: list[str], n: int, limit: int) -> DataFrame:
-    """Length without a usable divisor: X_k = w_k * sum_i (x_i w_i) / w_(k-i), w_i = exp(-pi j i^2 / n)."""
-    m = 1 << (2 * n - 1).bit_length()
-    a = 1 << (m.bit_length() - 1) // 2
+def _chirp(part: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """Length without a usable divisor: X_k = w_k * sum_i (x_i w_i) / w_(k-i), w_i = exp(-pi j i^2 / n).
+
+    The sum is a convolution of padded length m, done by three transforms of that length.
+    """
+    n, m = F.col("_n"), F.col("_m")
 
     def angle(i, sign):
         # i*i mod 2n keeps the angle small and exact for any position below 2^31
-        return F.lit(sign * math.pi / n) * F.pmod(i * i, F.lit(2 * n).cast("bigint"))
+        return F.lit(sign * math.pi) / n * F.pmod(i * i, 2 * n)
+
+    def every_place(table: DataFrame, names: list[str]) -> DataFrame:
+        """Rows 0..m-1 per line of ``table``, made in a blocks so that no array holds them all."""
+        width = (m / F.col("_a")).cast("bigint")
+        blocks = table.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_a") - 1)))
+        return blocks.select(*names, F.explode(F.sequence(F.col("_block") * width, (F.col("_block") + 1) * width - 1)).alias("_i"))
 
     re, im = _turned(F.col("_re"), F.col("_im"), angle(F.col("_i"), -1))
     weighted = part.select(*keys, "_i", re.alias("_re"), im.alias("_im"))
-    heads = part.select(*keys).distinct()
-    places = part.sparkSession.range(m).select(F.col("id").alias("_i"))
-    length = F.lit(m).cast("bigint")
-    shift = F.least(F.col("_i"), length - F.col("_i"))
-    kernel = places.select("_i", F.when(shift < n, F.cos(angle(shift, 1))).otherwise(0.0).alias("_re"),
-                           F.when(shift < n, F.sin(angle(shift, 1))).otherwise(0.0).alias("_im"))
-    grid = heads.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(a - 1)))).select(
-        *keys, F.explode(F.sequence(F.col("_block") * F.lit(m // a).cast("bigint"),
-                                    (F.col("_block") + 1) * F.lit(m // a).cast("bigint") - 1)).alias("_i"))
+    grid = every_place(part.select(*keys, *_CARRIED).distinct(), [*keys, *_CARRIED])
     padded = grid.join(weighted, [*keys, "_i"], "left").na.fill(0.0, ["_re", "_im"])
-    one = kernel.withColumn("_one", F.lit(0))
-    left = _two_step(padded, keys, m, a)
-    right = _two_step(one, ["_one"], m, a).select("_k", F.col("_re").alias("_kr"), F.col("_im").alias("_ki"))
-    product = left.join(right, "_k").select(
-        *keys, F.col("_k").alias("_i"), (F.col("_re") * F.col("_kr") - F.col("_im") * F.col("_ki")).alias("_re"),
+    shift = F.least(F.col("_i"), m - F.col("_i"))
+    kernel = every_place(lengths, _CARRIED).select(
+        *_CARRIED, "_i", F.when(shift < n, F.cos(angle(shift, 1))).otherwise(0.0).alias("_re"),
+        F.when(shift < n, F.sin(angle(shift, 1))).otherwise(0.0).alias("_im")).withColumn("_length", n)
+    right = _two_step(kernel, ["_length"]).select("_n", "_k", F.col("_re").alias("_kr"), F.col("_im").alias("_ki"))
+    product = _two_step(padded, keys).join(right, ["_n", "_k"]).select(
+        *keys, *_CARRIED, F.col("_k").alias("_i"),
+        (F.col("_re") * F.col("_kr") - F.col("_im") * F.col("_ki")).alias("_re"),
         (F.col("_re") * F.col("_ki") + F.col("_im") * F.col("_kr")).alias("_im"))
-    back = _two_step(product, keys, m, a, sign=1).filter(F.col("_k") < n)
+    back = _two_step(product, keys, sign=1).filter(F.col("_k") < n)
     re, im = _turned(F.col("_re") / m, F.col("_im") / m, angle(F.col("_k"), -1))
-    return back.select(*keys, "_k", re.alias("_re"), im.alias("_im"))
+    return back.select(*keys, "_n", "_k", re.alias("_re"), im.alias("_im"))
 
 
 def add_spectrum(df: DataFrame, top: int = 5, target: str = KWH, keys: Sequence[str] = (SERIES,),

@@ -121,6 +121,11 @@ def _(spark, folder):
 def _(spark, folder):
     alerts = rules.alerts(scored(spark, folder), SETTINGS, with_data=False)
     path = _in_time_order(spark, alerts, "alerts-in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
-    stream = live.cooldown_stream(live.read_folder(spark, path, alerts.schema, 1), 3600, ["rule"])
-    return _run(spark, stream, "alerts").select("rule", "row_id", "ts")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, live.ROCKSDB)
+    try:
+        stream = live.cooldown_stream(live.read_folder(spark, path, alerts.schema, 1), 3600, ["rule"])
+        return _run(spark, stream, "alerts").select("rule", "row_id", "ts")
+    finally:
+        spark.conf.set(store, before)

@@ -52,14 +52,14 @@ class _Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", self.row])
-        last = self.last.get()[0] if self.last.exists() else None
+        times = batch["event_us"].to_numpy()
+        place = int(times.searchsorted(self.last.get()[0] + self.gap)) if self.last.exists() else 0
         kept = []
-        for place, us in enumerate(batch["event_us"].to_numpy()):
-            if last is None or us - last >= self.gap:
-                kept.append(place)
-                last = int(us)
+        while place < len(times):
+            kept.append(place)
+            place = int(times.searchsorted(times[place] + self.gap))
         if kept:
-            self.last.update((last,))
+            self.last.update((int(times[kept[-1]]),))
         yield batch.iloc[kept][self.columns]
 
     def close(self) -> None:
@@ -87,6 +87,12 @@ def write_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over the batches still remembered."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0))
+               for progress in query.recentProgress for op in progress["stateOperators"])
+
+
 STATUS_SCHEMA = ("batch_id bigint, pipeline_status string, error_code string, rows_in bigint, rows_processed bigint, "
                  "alerts bigint, seconds double")
 
