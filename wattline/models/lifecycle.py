@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wattline.models.scaling import held
 from wattline.operators import metrics, splits
 from wattline.operators.ordered import arrange
-from wattline.operators.quality import long_form
+from wattline.operators.quality import long_form, numeric_columns
 from wattline.operators.quantile import quantiles
 from wattline.session import scratch_path
 from wattline.sources.readings import SERIES, TS
@@ -36,7 +36,7 @@ def drift_baseline(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def drift_details(baseline: DataFrame, df: DataFrame) -> DataFrame:
     """Mean shift per baseline feature present in ``df``, in baseline deviations."""
-    names = [r["feature"] for r in baseline.select("feature").collect() if r["feature"] in df.columns]  # one row per column
+    names = numeric_columns(df)
     now = long_form(df.agg(*[F.avg(c).alias(f"{c}__current_mean") for c in names]), names, ["current_mean"], "feature")
     shift = F.abs(F.col("current_mean") - F.col("mean"))
     z = shift / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)

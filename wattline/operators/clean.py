@@ -31,13 +31,13 @@ def drop_equal_rows(df: DataFrame) -> DataFrame:
 
 
 def fill_gaps(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (SERIES,),
-              order: Sequence[str] = (TS, ROW), backward: bool = True) -> DataFrame:
+              order: Sequence[str] = (TS, ROW), backward: bool = True, longest: int | None = None) -> DataFrame:
     """Carry the last known value forward, then the next one backward, per key."""
     columns = list(columns or measure_columns(df))
     steps = {f"_f_{c}": ("last", c) for c in columns}
     if backward:
         steps |= {f"_b_{c}": ("next", c) for c in columns}
-    filled = arrange(df, keys, [o for o in order if o in df.columns]).running(steps)
+    filled = arrange(df, keys, [o for o in order if o in df.columns], longest=longest).running(steps)
     made = {c: F.coalesce(f"_f_{c}", f"_b_{c}") if backward else F.col(f"_f_{c}") for c in columns}
     return filled.withColumns(made).drop(*steps)
 
@@ -83,17 +83,27 @@ def bin_start(ts, seconds: int):
 
 
 def resample(df: DataFrame, seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS,
-             columns: Sequence[str] | None = None, fill: bool = True) -> DataFrame:
+             columns: Sequence[str] | None = None, fill: bool = True, longest: int | None = None) -> DataFrame:
     """Mean of the numeric columns per time bin, every bin between a key's first and last present.
 
     Empty bins are then filled forward.  The grid is generated in blocks, so no array and
-    no task holds the whole span of a long series.
+    no task holds the whole span of a long series.  ``longest`` is :func:`grid_length`, if known.
     """
     keys, columns = list(keys), list(columns or measure_columns(df))
     binned = df.groupBy(*keys, bin_start(F.col(ts), seconds).alias(ts)).agg(*[F.avg(c).alias(c) for c in columns])
     grid = time_grid(df, seconds, keys, ts)
     full = grid.join(binned, [*keys, ts], "left")
-    return fill_gaps(full, columns, keys, [ts], backward=False) if fill else full
+    if not fill:
+        return full
+    longest = grid_length(df, seconds, keys, ts) if longest is None else longest
+    return fill_gaps(full, columns, keys, [ts], backward=False, longest=longest)
+
+
+def grid_length(df: DataFrame, seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS) -> int:
+    """Bins of the longest key, from its first and last time alone."""
+    span = df.groupBy(*keys).agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
+    bins = F.floor(F.unix_timestamp("b") / seconds) - F.floor(F.unix_timestamp("a") / seconds) + 1
+    return span.agg(F.max(bins)).first()[0] or 0
 
 
 def time_grid(df: DataFrame, seconds: int, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:

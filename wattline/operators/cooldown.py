@@ -102,22 +102,21 @@ def apply_cooldown(alerts: DataFrame, seconds: float = 300, keys: Sequence[str]
     single = alerts.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), F.col(row)).alias("_row"))
     single = single.withColumn("_us", F.unix_micros(ts))
     if largest_group(alerts.select(*keys, ts), keys) <= min(_FOLD_TIMES, rows_per_task(alerts.sparkSession)):
-        fired = single.groupBy(*keys).agg(F.sort_array(F.collect_list("_us")).alias("_all")).select(
-            *keys, F.explode(_fold(F.col("_all"), gap)).alias("_us"))
-    else:
-        fired = _by_chunks(alerts, single, keys, gap)
+        lists = single.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_us", ts, "_row")),
+                                                       lambda a, b: F.signum(a["_us"] - b["_us"]).cast("int")).alias("_all"))
+        kept = lists.select(*keys, F.explode(_fold(F.col("_all"), gap)).alias("_kept"))
+        return kept.select(*keys, f"_kept.{ts}", "_kept._row.*").select(*alerts.columns)
+    fired = _by_chunks(alerts, single, keys, gap)
     return single.join(fired, [*keys, "_us"]).select(*keys, ts, "_row.*").select(*alerts.columns)
 
 
-def _fold(times, gap: int):
-    """Walk sorted times, keeping those at least ``gap`` after the last one kept."""
-    none = F.array().cast("array<bigint>")
+def _fold(rows, gap: int):
+    """Walk rows in time order, keeping those at least ``gap`` after the last one kept."""
+    def step(kept, row):
+        quiet = row["_us"] - F.element_at(kept, -1)["_us"] >= gap
+        return F.when(quiet, F.concat(kept, F.array(row))).otherwise(kept)
 
-    def step(kept, time):
-        quiet = (F.size(kept) == 0) | (time - F.element_at(kept, -1) >= gap)
-        return F.when(F.coalesce(quiet, F.lit(True)), F.concat(kept, F.array(time))).otherwise(kept)
-
-    return F.aggregate(times, none, step)
+    return F.aggregate(F.slice(rows, 2, F.size(rows)), F.slice(rows, 1, 1), step)
 
 
 def _by_chunks(alerts: DataFrame, single: DataFrame, keys: list[str], gap: int) -> DataFrame:

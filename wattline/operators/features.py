@@ -38,34 +38,38 @@ def rolling_columns(target: str, sizes: Sequence[int] = WINDOWS, include_current
 
 
 def add_lags(df: DataFrame, target: str = "consumption_kwh", lags: Sequence[int] = LAGS,
-             keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,)) -> DataFrame:
-    return arrange(df, keys, order).near(lag_columns(target, lags), back=max(lags))
+             keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,), longest: int | None = None) -> DataFrame:
+    return arrange(df, keys, order, longest=longest).near(lag_columns(target, lags), back=max(lags))
 
 
 def add_rolling(df: DataFrame, target: str = "consumption_kwh", sizes: Sequence[int] = WINDOWS,
                 keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,),
-                include_current: bool = True) -> DataFrame:
-    return arrange(df, keys, order).near(
+                include_current: bool = True, longest: int | None = None) -> DataFrame:
+    return arrange(df, keys, order, longest=longest).near(
         rolling_columns(target, sizes, include_current), back=max(sizes)
     )
 
 
 def add_lags_and_rolling(df: DataFrame, target: str = "consumption_kwh", keys: Sequence[str] = (SERIES,),
-                         order: Sequence[str] = (TS,)) -> DataFrame:
+                         order: Sequence[str] = (TS,), longest: int | None = None) -> DataFrame:
     """Both families over one shuffle and one sort."""
-    return arrange(df, keys, order).near(
+    return arrange(df, keys, order, longest=longest).near(
         lag_columns(target) | rolling_columns(target), back=max(*LAGS, *WINDOWS)
     )
 
 
-def feature_matrix(df: DataFrame, spectrum: int = 5, keys: Sequence[str] = (SERIES,)) -> DataFrame:
-    """Calendar, cyclical, lag, rolling, spectral and ratio columns; incomplete rows are dropped."""
+def feature_matrix(df: DataFrame, spectrum: int = 5, keys: Sequence[str] = (SERIES,), longest: int | None = None) -> DataFrame:
+    """Calendar, cyclical, lag, rolling, spectral and ratio columns; incomplete rows are dropped.
+
+    The spectrum comes first: it needs only the target, and its join keeps the partitioning
+    that the lag and rolling windows use.  Calendar columns depend on one row alone and are
+    added last, to the rows that stay.
+    """
     from wattline.operators.spectrum import add_spectrum
 
-    made = add_lags_and_rolling(cyclical_features(calendar_features(df)), keys=keys)
-    if spectrum:
-        made = add_spectrum(made, top=spectrum, keys=keys)
-    return domain_ratios(made).na.drop("any")
+    made = add_spectrum(df, top=spectrum, keys=keys, longest=longest) if spectrum else df
+    made = add_lags_and_rolling(made, keys=keys, longest=longest)
+    return domain_ratios(cyclical_features(calendar_features(made.na.drop("any")))).na.drop("any")
 
 
 def persistence(df: DataFrame, target: str, name: str, keys: Sequence[str] = (SERIES,),

@@ -158,11 +158,15 @@ def _combine(kind: str, inside: Column, carried: Column) -> Column:
     return F.least(inside, carried) if kind == "min" else F.greatest(inside, carried)
 
 
-def arrange(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int | None = None) -> Ordered:
-    """Prepare ordered work on ``df``; ``order`` must be unique within a key."""
+def arrange(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int | None = None,
+            longest: int | None = None) -> Ordered:
+    """Prepare ordered work on ``df``; ``order`` must be unique within a key.
+
+    ``longest`` is the row count of the largest key where the caller knows it, which saves the count.
+    """
     keys, order = list(keys), list(order)
     limit = limit or rows_per_task(df.sparkSession)
-    largest = largest_group(df, keys)
+    largest = longest if longest is not None else largest_group(df, keys)
     if largest <= limit:
         return Ordered(df, keys, order, None)
     return Ordered(_numbered(df, keys, order, limit), keys, order, limit)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.ordered import arrange
+from wattline.operators.ordered import arrange, largest_group
 from wattline.operators.quantile import quantiles
+from wattline.session import rows_per_task
 from wattline.sources.readings import REQUIRED_COLUMNS, ROW, SERIES, TS
 
 # Thresholds of the validation rules.
@@ -108,6 +109,15 @@ def gaps(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFr
     """Per key: typical interval, its label and how many intervals exceed twice that."""
     keys = list(keys)
     steps = intervals(df, keys, ts)
+    limit = rows_per_task(df.sparkSession)
+    if largest_group(df.select(*keys), keys) <= limit:  # so a key has at most as many different intervals
+        per = steps.groupBy(*keys).agg(
+            F.percentile("seconds", F.lit(0.5), F.col("n")).alias("median_seconds"),
+            F.collect_list(F.struct("seconds", "n")).alias("_steps"))
+        wide = F.filter("_steps", lambda s: s["seconds"] > F.col("median_seconds") * 2)
+        return per.select(
+            *keys, "median_seconds", F.aggregate(wide, F.lit(0).cast("bigint"), lambda a, s: a + s["n"]).alias("gaps"),
+            frequency_label(F.col("median_seconds")).alias("frequency"))
     middle = weighted_median(steps, "seconds", "n", keys)
     if keys:
         joined = steps.join(middle, keys)

@@ -25,8 +25,7 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: Sequenc
     keys = list(keys)
     limit = limit or rows_per_task(df.sparkSession)
     if largest_group(df, keys) <= limit:
-        made = [F.percentile(F.col(c).cast("double"), F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-        return df.groupBy(*keys).agg(*made) if keys else df.agg(*made)
+        return _in_one_pass(df, wanted, keys)
     parts = [_by_rank(df, name, column, p, keys, limit) for name, (column, p) in wanted.items()]
     if keys:
         result = parts[0]
@@ -38,6 +37,16 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: Sequenc
     return df.sparkSession.createDataFrame([tuple(row[n] for n in wanted)], schema)
 
 
+def _in_one_pass(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: list[str]) -> DataFrame:
+    """All probabilities of a column share one percentile aggregate."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    shares = {c: sorted({p for k, p in wanted.values() if k == c}) for c in columns}
+    made = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares[c]))).alias(f"_q{i}") for i, c in enumerate(columns)]
+    one = df.groupBy(*keys).agg(*made) if keys else df.agg(*made)
+    return one.select(*keys, *[
+        F.get(f"_q{columns.index(c)}", F.lit(shares[c].index(p))).alias(n) for n, (c, p) in wanted.items()])
+
+
 def _by_rank(df: DataFrame, name: str, column: str, p: float, keys: list[str], limit: int) -> DataFrame:
     values = df.select(*keys, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     base, total = F.lit(0), None

@@ -39,9 +39,10 @@ def _head(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
 
-def _strongest(keys: list[str], top: int, drop_dc: bool):
+def _strongest(keys: list[str], order: list[str], top: int, drop_dc: bool):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("_i")["_v"].to_numpy()
+        signal = pdf.sort_values(order)["_v"]
+        values = signal.fillna(signal.median()).to_numpy()
         size = np.abs(np.fft.rfft(values))
         first = 1 if drop_dc else 0
         best = np.lexsort((np.arange(first, len(size)), -size[first:]))[:top] + first
@@ -54,17 +55,19 @@ def _strongest(keys: list[str], top: int, drop_dc: bool):
 
 
 def top_frequencies(df: DataFrame, top: int = 5, target: str = KWH, keys: Sequence[str] = (SERIES,),
-                    order: Sequence[str] = (TS,), drop_dc: bool = False, limit: int | None = None) -> DataFrame:
+                    order: Sequence[str] = (TS,), drop_dc: bool = False, limit: int | None = None,
+                    longest: int | None = None) -> DataFrame:
     """(keys, rank, frequency, magnitude, length) of the strongest bins; equal sizes favour the lower bin."""
-    keys, limit = list(keys), limit or rows_per_task(df.sparkSession)
+    keys, order, limit = list(keys), list(order), limit or rows_per_task(df.sparkSession)
     if not keys:
-        return top_frequencies(df.withColumn("_one", F.lit(0)), top, target, ["_one"], order, drop_dc, limit).drop("_one")
-    signal = _signal(df, target, keys, order)
+        one = df.withColumn("_one", F.lit(0))
+        return top_frequencies(one, top, target, ["_one"], order, drop_dc, limit, longest).drop("_one")
     schema = _head(df, keys) + "rank int, frequency bigint, magnitude double, length bigint"
-    if largest_group(df, keys) <= limit:
-        return signal.groupBy(*keys).applyInPandas(_strongest(keys, top, drop_dc), schema)
-    signal = materialize(signal, "signal")
-    small = signal.filter(F.col("_n") <= limit).groupBy(*keys).applyInPandas(_strongest(keys, top, drop_dc), schema)
+    if (largest_group(df, keys) if longest is None else longest) <= limit:
+        slim = df.select(*keys, *order, F.col(target).cast("double").alias("_v"))
+        return slim.groupBy(*keys).applyInPandas(_strongest(keys, order, top, drop_dc), schema)
+    signal = materialize(_signal(df, target, keys, order), "signal")
+    small = signal.filter(F.col("_n") <= limit).groupBy(*keys).applyInPandas(_strongest(keys, ["_i"], top, drop_dc), schema)
     bins = long_transform(signal.filter(F.col("_n") > limit), keys, limit)
     bins = bins.filter((F.col("_k") <= F.floor(F.col("_n") / 2)) & (F.col("_k") >= (1 if drop_dc else 0)))
     size = F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"))
@@ -190,14 +193,14 @@ def _chirp(part: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def add_spectrum(df: DataFrame, top: int = 5, target: str = KWH, keys: Sequence[str] = (SERIES,),
-                 order: Sequence[str] = (TS,), drop_dc: bool = False) -> DataFrame:
+                 order: Sequence[str] = (TS,), drop_dc: bool = False, longest: int | None = None) -> DataFrame:
     """``fft_component_i`` = cos(2 pi k_i position / length) for the strongest bins k_i of each series."""
     keys = list(keys)
-    found = top_frequencies(df, top, target, keys, order, drop_dc)
+    found = top_frequencies(df, top, target, keys, order, drop_dc, longest=longest)
     wide = found.groupBy(*keys).agg(
         F.max("length").alias("_len"),
         *[F.max(F.when(F.col("rank") == r, F.col("frequency"))).alias(f"_k{r}") for r in range(1, top + 1)])
-    placed = arrange(df, keys, order).with_position("_i")
+    placed = arrange(df, keys, order, longest=longest).with_position("_i")
     joined = placed.join(wide, keys)
     turn = F.lit(2 * math.pi) * F.col("_i") / F.col("_len")
     made = joined.withColumns({f"fft_component_{r}": F.cos(turn * F.col(f"_k{r}")) for r in range(1, top + 1)})

@@ -138,7 +138,9 @@ def _(spark, folder):
        f"WITH {RESAMPLED} SELECT series_id, ts, {', '.join(_roll_sql(n) for n in (6, 24))} FROM rs",
        floats=" ".join(f"{KWH}_roll_{s}_{n}h" for n in (6, 24) for s in ("mean", "std", "max")), times="ts")
 def _(spark, folder):
-    made = features.add_rolling(resampled(spark, folder), sizes=(6, 24))
+    table = readings(spark, folder)
+    longest = clean.grid_length(table)
+    made = features.add_rolling(clean.resample(table, longest=longest), sizes=(6, 24), longest=longest)
     return made.select("series_id", "ts", *[c for c in made.columns if "_roll_" in c])
 
 

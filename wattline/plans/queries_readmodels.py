@@ -455,7 +455,9 @@ SELECT series_id, rank, frequency, magnitude FROM (
   SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY magnitude DESC, k) AS rank, k AS frequency, magnitude FROM m) WHERE rank <= 3
 """, floats="magnitude", ints="frequency")
 def _(spark, folder):
-    found = spectrum.top_frequencies(clean.resample(readings(spark, folder), 3600, columns=[KWH]), 3)
+    raw = readings(spark, folder)
+    longest = clean.grid_length(raw)
+    found = spectrum.top_frequencies(clean.resample(raw, columns=[KWH], longest=longest), 3, longest=longest)
     return found.select("series_id", "rank", "frequency", "magnitude")
 
 
@@ -473,7 +475,9 @@ SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS criti
   count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM a
 """)
 def _(spark, folder):
-    table = feature_matrix(clean.resample(readings(spark, folder), 3600), spectrum=0)
+    raw = readings(spark, folder)
+    longest = clean.grid_length(raw)
+    table = feature_matrix(clean.resample(raw, longest=longest), spectrum=0, longest=longest)
     return readmodels.severity_summary(rules.alerts(table, SETTINGS, with_data=False))
 
 
@@ -484,6 +488,8 @@ SELECT f.series_id, f.ts, f.consumption_kwh, m48, l24, f.consumption_kwh / (f.lo
 FROM f JOIN w ON f.series_id = w.series_id AND f.ts = w.ts WHERE f.load_factor > 0
 """, floats="consumption_kwh m48 l24 apparent_power", times="ts")
 def _(spark, folder):
-    table = feature_matrix(clean.resample(readings(spark, folder), 3600), spectrum=5)
+    raw = readings(spark, folder)
+    longest = clean.grid_length(raw)
+    table = feature_matrix(clean.resample(raw, longest=longest), spectrum=5, longest=longest)
     return table.filter("load_factor > 0").select(
         "series_id", "ts", KWH, F.col(f"{KWH}_roll_mean_48h").alias("m48"), F.col(f"{KWH}_lag_24h").alias("l24"), "apparent_power")
