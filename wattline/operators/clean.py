@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattline.operators.ordered import arrange
 from wattline.operators.quantile import quantiles
+from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS, measure_columns
 
 _GRID_BLOCK = 100_000
@@ -91,11 +92,11 @@ def resample(df: DataFrame, seconds: int = 3600, keys: Sequence[str] = (SERIES,)
     """
     keys, columns = list(keys), list(columns or measure_columns(df))
     binned = df.groupBy(*keys, bin_start(F.col(ts), seconds).alias(ts)).agg(*[F.avg(c).alias(c) for c in columns])
-    grid = time_grid(df, seconds, keys, ts)
+    longest = grid_length(df, seconds, keys, ts) if longest is None else longest
+    grid = time_grid(df, seconds, keys, ts, whole_keys=longest <= rows_per_task(df.sparkSession))
     full = grid.join(binned, [*keys, ts], "left")
     if not fill:
         return full
-    longest = grid_length(df, seconds, keys, ts) if longest is None else longest
     return fill_gaps(full, columns, keys, [ts], backward=False, longest=longest)
 
 
@@ -106,14 +107,24 @@ def grid_length(df: DataFrame, seconds: int = 3600, keys: Sequence[str] = (SERIE
     return span.agg(F.max(bins)).first()[0] or 0
 
 
-def time_grid(df: DataFrame, seconds: int, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:
-    """One row per key and bin from the key's first to its last bin."""
+def time_grid(df: DataFrame, seconds: int, keys: Sequence[str] = (SERIES,), ts: str = TS,
+              whole_keys: bool = True) -> DataFrame:
+    """One row per key and bin from the key's first to its last bin.
+
+    The table of spans is tiny and grows many times over when its bins are listed, so it is
+    first spread over all shuffle partitions: by key while a key fits a task, so that later
+    windows need no further shuffle, and by block where keys are longer.
+    """
     span = df.groupBy(*keys).agg(
         F.floor(F.unix_timestamp(F.min(ts)) / seconds).alias("_a"),
         F.floor(F.unix_timestamp(F.max(ts)) / seconds).alias("_b"),
     )
     blocks = span.select(*keys, "_a", "_b", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col("_b") - F.col("_a")) / _GRID_BLOCK))).alias("_k"))
+    # Twice the shuffle width: with the same number Spark would drop this step as redundant and
+    # let adaptive execution merge the tiny span partitions into one task.
+    width = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(width, *keys) if whole_keys else blocks.repartition(width, *keys, "_k")
     first = F.col("_a") + F.col("_k") * _GRID_BLOCK
     bins = blocks.select(*keys, F.explode(F.sequence(
         first, F.least(F.col("_b"), first + _GRID_BLOCK - 1))).alias("_bin"))
