@@ -80,6 +80,8 @@ def test_first_row_wins_on_equal_times(spark):
     lines = [(2, 1, START, 20.0, None), (1, 1, START, 10.0, None), (3, 2, START, 30.0, None)]
     table = spark.createDataFrame(lines, "row_id long, series_id long, ts timestamp, consumption_kwh double, voltage double")
     assert sorted(r["row_id"] for r in clean.first_per_time(table).collect()) == [1, 3]
+    again = table.unionByName(table.withColumn("row_id", F.col("row_id") + 10))
+    assert sorted(r["row_id"] for r in clean.drop_equal_rows(again).collect()) == [1, 2, 3]
 
 
 def test_resample_creates_and_fills_bins(spark):

@@ -15,7 +15,7 @@ from wattline.operators import metrics, splits
 from wattline.operators.ordered import arrange
 from wattline.operators.quality import long_form, numeric_columns
 from wattline.operators.quantile import quantiles
-from wattline.session import scratch_path
+from wattline.session import materialize, scratch_path
 from wattline.sources.readings import SERIES, TS
 
 KWH = "consumption_kwh"
@@ -146,7 +146,7 @@ def naive_backtest(df: DataFrame, start: int = 720, horizon: int = 24, step: int
 def fitted_backtest(df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], start: int, horizon: int, step: int,
                     keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,), target: str = KWH, name: str = "fitted") -> DataFrame:
     """Refit per fold on the rows before it. ``fit(train)`` returns a function adding ``prediction``."""
-    placed = arrange(df, keys, order).with_position_and_total("_p", "_n")
+    placed = materialize(arrange(df, keys, order).with_position_and_total("_p", "_n"), "backtest")  # read once per fold
     longest = placed.agg(F.max("_n")).first()[0] or 0
     parts = []
     for fold, origin in enumerate(range(start, longest - horizon, step)):

@@ -27,8 +27,12 @@ def first_per_time(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS,
     return kept.select(*by, "_first.*").select(*df.columns)
 
 
-def drop_equal_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+def drop_equal_rows(df: DataFrame, row: str = ROW) -> DataFrame:
+    """One of each set of equal rows; the row id does not count as a difference, its lowest value stays."""
+    if row not in df.columns:
+        return df.dropDuplicates()
+    rest = [c for c in df.columns if c != row]
+    return df.groupBy(*rest).agg(F.min(row).alias(row)).select(*df.columns)
 
 
 def fill_gaps(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (SERIES,),

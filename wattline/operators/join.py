@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.operators.ordered import lookup_join
 from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS
 
@@ -53,4 +54,5 @@ def attach_statistics(df: DataFrame, stats: dict[str, Column], keys: Sequence[st
     if not keys:
         one = df.agg(*made).select(F.struct("*")).scalar()
         return df.withColumns({n: one[n] for n in stats})
-    return df.join(df.groupBy(*keys).agg(*made), list(keys))
+    per_key = df.groupBy(*keys).agg(*made, F.count(F.lit(1)).alias("_rows_of_key"))
+    return lookup_join(df, per_key, list(keys), "_rows_of_key", rows_per_task(df.sparkSession)).drop("_rows_of_key")

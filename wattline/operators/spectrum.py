@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.operators.ordered import arrange, largest_group
+from wattline.operators.ordered import arrange, largest_group, lookup_join
 from wattline.operators.quantile import quantiles
 from wattline.session import materialize, rows_per_task
 from wattline.sources.readings import SERIES, TS
@@ -200,8 +200,12 @@ def add_spectrum(df: DataFrame, top: int = 5, target: str = KWH, keys: Sequence[
     wide = found.groupBy(*keys).agg(
         F.max("length").alias("_len"),
         *[F.max(F.when(F.col("rank") == r, F.col("frequency"))).alias(f"_k{r}") for r in range(1, top + 1)])
-    placed = arrange(df, keys, order, longest=longest).with_position("_i")
-    joined = placed.join(wide, keys)
+    ordered = arrange(df, keys, order, longest=longest)
+    placed = ordered.with_position("_i")
+    if ordered.is_cut:
+        joined = lookup_join(placed, materialize(wide, "spectrum"), keys, "_len", ordered.piece)
+    else:
+        joined = placed.join(wide, keys)
     turn = F.lit(2 * math.pi) * F.col("_i") / F.col("_len")
     made = joined.withColumns({f"fft_component_{r}": F.cos(turn * F.col(f"_k{r}")) for r in range(1, top + 1)})
     return made.drop("_i", "_len", *[f"_k{r}" for r in range(1, top + 1)])

@@ -8,7 +8,6 @@ from wattline.sources.readings import line_readings, readings
 
 KWH = "consumption_kwh"
 MEASURES = [KWH, "voltage", "load_factor", "temperature"]
-LINE_MEASURES = [KWH, "cost", "load_factor", "tax"]
 
 
 def _per_column(template, columns, cte=READINGS, source="rd"):
@@ -133,9 +132,9 @@ def _(spark, folder):
 
 
 @query("C11_outliers_softened",
-       _per_column(_OUTLIERS.replace("/ s)", "/ (s + 1e-8))"), LINE_MEASURES, LINES, "lr"), floats="percentage")
+       _per_column(_OUTLIERS.replace("/ s)", "/ (s + 1e-8))"), MEASURES), floats="percentage")
 def _(spark, folder):
-    return quality.outlier_summary(line_readings(spark, folder), LINE_MEASURES, least=10, softened=True)
+    return quality.outlier_summary(readings(spark, folder), MEASURES, least=10, softened=True)
 
 
 _FINDINGS = f"""WITH {READINGS}, {_GAPS.format(t='rd')},

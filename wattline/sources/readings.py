@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.temporal import guess_day_first, parse_timestamp
+from wattline.session import materialize
 
 SERIES, TS, ROW = "series_id", "ts", "row_id"
 
@@ -26,13 +27,16 @@ TEXT_COLUMNS = {
 NOT_FEATURES = {"ts", "timestamp", "is_anomaly", "failure_label", "efficiency_score"}
 
 
-def scan_csv(spark: SparkSession, path: str, ts: str = "timestamp", keep_bad_rows: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, ts: str = "timestamp", keep_bad_rows: bool = False, land: bool = True) -> DataFrame:
     """Scan one CSV file, a folder or a glob of readings.
 
     Every column is read as text and typed by expressions, so one bad cell never drops a
     row silently: measures become doubles (unreadable cells null), the time column is parsed
     with the layout the file votes for, and rows without a usable time are left out unless
     asked for.  ``row_id`` follows the file position, so "first" keeps its meaning.
+
+    The typed rows are landed once as Parquet in the shared folder: the checks and repairs that
+    follow read them many times, and a row keeps its id even if a task is run again.
     """
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     if ts not in raw.columns:
@@ -43,10 +47,11 @@ def scan_csv(spark: SparkSession, path: str, ts: str = "timestamp", keep_bad_row
         if name == ts:
             continue
         typed.append(F.col(name) if name in TEXT_COLUMNS else _measure(name))
-    if ROW not in raw.columns:
+    if land and ROW not in raw.columns:
         typed.append(F.monotonically_increasing_id().alias(ROW))
     read = raw.select(*typed)
-    return read if keep_bad_rows else read.filter(F.col(TS).isNotNull())
+    read = read if keep_bad_rows else read.filter(F.col(TS).isNotNull())
+    return materialize(read, "scan") if land else read
 
 
 def _measure(name: str):
@@ -56,7 +61,7 @@ def _measure(name: str):
 
 def scan_iot_csv(spark: SparkSession, path: str, ts: str = "timestamp") -> DataFrame:
     """Side table of temperature, pressure and flow per time."""
-    return scan_csv(spark, path, ts).drop(ROW)
+    return scan_csv(spark, path, ts, land=False).drop(ROW)
 
 
 def with_lineage(df: DataFrame, source: str = "real_sensor") -> DataFrame:

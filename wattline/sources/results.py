@@ -24,11 +24,11 @@ DEFAULT_SETTINGS = {
 def write_features(df: DataFrame, path: str, buckets: int = 16, mode: str = "overwrite") -> None:
     """Parquet laid out by series bucket and day, so time and series filters prune files.
 
-    Rows are spread by (bucket, day) before the write; a series that fills a bucket is
-    still split by day, and large days are split into several files.
+    Rows are brought together by (bucket, day) before the write, so a partition gets few
+    files; the rebalance hint splits a hot bucket and day over several tasks.
     """
     laid = df.withColumns({"series_bucket": F.pmod(F.hash(SERIES), F.lit(buckets)), "day": F.to_date(TS)})
-    (laid.write.mode(mode).option("maxRecordsPerFile", 5_000_000)
+    (laid.hint("rebalance", "series_bucket", "day").write.mode(mode).option("maxRecordsPerFile", 5_000_000)
      .partitionBy("series_bucket", "day").parquet(path))
 
 
