@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.operators.ordered import largest_group
 from wattline.session import rows_per_task
@@ -102,8 +103,12 @@ def apply_cooldown(alerts: DataFrame, seconds: float = 300, keys: Sequence[str]
     single = alerts.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), F.col(row)).alias("_row"))
     single = single.withColumn("_us", F.unix_micros(ts))
     if largest_group(alerts.select(*keys, ts), keys) <= min(_FOLD_TIMES, rows_per_task(alerts.sparkSession)):
-        lists = single.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_us", ts, "_row")),
-                                                       lambda a, b: F.signum(a["_us"] - b["_us"]).cast("int")).alias("_all"))
+        rows = F.collect_list(F.struct("_us", ts, "_row"))
+        if any(isinstance(f.dataType, T.MapType) for f in alerts.schema.fields):  # maps have no order
+            rows = F.array_sort(rows, lambda a, b: F.signum(a["_us"] - b["_us"]).cast("int"))
+        else:
+            rows = F.sort_array(rows)
+        lists = single.groupBy(*keys).agg(rows.alias("_all"))
         kept = lists.select(*keys, F.explode(_fold(F.col("_all"), gap)).alias("_kept"))
         return kept.select(*keys, f"_kept.{ts}", "_kept._row.*").select(*alerts.columns)
     fired = _by_chunks(alerts, single, keys, gap)
