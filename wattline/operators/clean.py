@@ -13,6 +13,8 @@ from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS, measure_columns
 
 _GRID_BLOCK = 100_000
+_BINS_PER_TASK = 50_000
+_MOST_TASKS = 100_000
 
 
 def first_per_time(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS, row: str = ROW) -> DataFrame:
@@ -88,49 +90,56 @@ def bin_start(ts, seconds: int):
 
 
 def resample(df: DataFrame, seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS,
-             columns: Sequence[str] | None = None, fill: bool = True, longest: int | None = None) -> DataFrame:
+             columns: Sequence[str] | None = None, fill: bool = True) -> DataFrame:
     """Mean of the numeric columns per time bin, every bin between a key's first and last present.
 
     Empty bins are then filled forward.  The grid is generated in blocks, so no array and
-    no task holds the whole span of a long series.  ``longest`` is :func:`grid_length`, if known.
+    no task holds the whole span of a long series.
     """
     keys, columns = list(keys), list(columns or measure_columns(df))
     binned = df.groupBy(*keys, bin_start(F.col(ts), seconds).alias(ts)).agg(*[F.avg(c).alias(c) for c in columns])
-    longest = grid_length(df, seconds, keys, ts) if longest is None else longest
-    grid = time_grid(df, seconds, keys, ts, whole_keys=longest <= rows_per_task(df.sparkSession))
-    full = grid.join(binned, [*keys, ts], "left")
-    if not fill:
-        return full
-    return fill_gaps(full, columns, keys, [ts], backward=False, longest=longest)
+    longest, total = _grid_size(df, seconds, keys, ts)
+    full = time_grid(df, seconds, keys, ts, longest, total).join(binned, [*keys, ts], "left")
+    return fill_gaps(full, columns, keys, [ts], backward=False, longest=longest) if fill else full
+
+
+def _spans(df: DataFrame, seconds: int, keys: Sequence[str], ts: str) -> DataFrame:
+    """(keys, _a, _b): numbers of a key's first and last bin."""
+    return df.groupBy(*keys).agg(
+        F.floor(F.unix_timestamp(F.min(ts)) / seconds).alias("_a"),
+        F.floor(F.unix_timestamp(F.max(ts)) / seconds).alias("_b"),
+    )
+
+
+def _grid_size(df: DataFrame, seconds: int, keys: Sequence[str], ts: str) -> tuple[int, int]:
+    """Bins of the longest key and of all keys, from first and last times alone."""
+    bins = F.col("_b") - F.col("_a") + 1
+    row = _spans(df, seconds, keys, ts).agg(F.max(bins), F.sum(bins)).first()
+    return row[0] or 0, row[1] or 0
 
 
 def grid_length(df: DataFrame, seconds: int = 3600, keys: Sequence[str] = (SERIES,), ts: str = TS) -> int:
-    """Bins of the longest key, from its first and last time alone."""
-    span = df.groupBy(*keys).agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
-    bins = F.floor(F.unix_timestamp("b") / seconds) - F.floor(F.unix_timestamp("a") / seconds) + 1
-    return span.agg(F.max(bins)).first()[0] or 0
+    """Bins of the longest key after :func:`resample`; ordered operators take it as ``longest``."""
+    return _grid_size(df, seconds, keys, ts)[0]
 
 
-def time_grid(df: DataFrame, seconds: int, keys: Sequence[str] = (SERIES,), ts: str = TS,
-              whole_keys: bool = True) -> DataFrame:
+def time_grid(df: DataFrame, seconds: int, keys: Sequence[str], ts: str, longest: int, total: int) -> DataFrame:
     """One row per key and bin from the key's first to its last bin.
 
-    The table of spans is tiny and grows many times over when its bins are listed, so it is
-    first spread over all shuffle partitions: by key while a key fits a task, so that later
-    windows need no further shuffle, and by block where keys are longer.
+    The table of spans is tiny and grows many times over when its bins are listed, so it is first
+    spread over as many tasks as the ``total`` bins need: by key while a key fits a task, so that
+    later windows need no further shuffle, and by block where keys are longer.
     """
-    span = df.groupBy(*keys).agg(
-        F.floor(F.unix_timestamp(F.min(ts)) / seconds).alias("_a"),
-        F.floor(F.unix_timestamp(F.max(ts)) / seconds).alias("_b"),
-    )
-    blocks = span.select(*keys, "_a", "_b", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.floor((F.col("_b") - F.col("_a")) / _GRID_BLOCK))).alias("_k"))
-    # Twice the shuffle width: with the same number Spark would drop this step as redundant and
-    # let adaptive execution merge the tiny span partitions into one task.
-    width = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(width, *keys) if whole_keys else blocks.repartition(width, *keys, "_k")
+    spark = df.sparkSession
+    last_block = F.floor((F.col("_b") - F.col("_a")) / _GRID_BLOCK)
+    blocks = _spans(df, seconds, keys, ts).select(
+        *keys, "_a", "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_k"))
+    width = min(_MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-total // _BINS_PER_TASK)))
+    if width == int(spark.conf.get("spark.sql.shuffle.partitions")):
+        width += 1  # the same number would be dropped as redundant, and adaptive execution would merge the tiny spans
+    spread = [*keys] if longest <= rows_per_task(spark) else [*keys, "_k"]
     first = F.col("_a") + F.col("_k") * _GRID_BLOCK
-    bins = blocks.select(*keys, F.explode(F.sequence(
+    bins = blocks.repartition(width, *spread).select(*keys, F.explode(F.sequence(
         first, F.least(F.col("_b"), first + _GRID_BLOCK - 1))).alias("_bin"))
     return bins.select(*keys, F.timestamp_seconds(F.col("_bin") * seconds).alias(ts))
 

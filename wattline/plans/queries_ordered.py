@@ -140,7 +140,7 @@ def _(spark, folder):
 def _(spark, folder):
     table = readings(spark, folder)
     longest = clean.grid_length(table)
-    made = features.add_rolling(clean.resample(table, longest=longest), sizes=(6, 24), longest=longest)
+    made = features.add_rolling(clean.resample(table), sizes=(6, 24), longest=longest)
     return made.select("series_id", "ts", *[c for c in made.columns if "_roll_" in c])
 
 

@@ -457,7 +457,7 @@ SELECT series_id, rank, frequency, magnitude FROM (
 def _(spark, folder):
     raw = readings(spark, folder)
     longest = clean.grid_length(raw)
-    found = spectrum.top_frequencies(clean.resample(raw, columns=[KWH], longest=longest), 3, longest=longest)
+    found = spectrum.top_frequencies(clean.resample(raw, columns=[KWH]), 3, longest=longest)
     return found.select("series_id", "rank", "frequency", "magnitude")
 
 
@@ -477,7 +477,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS criti
 def _(spark, folder):
     raw = readings(spark, folder)
     longest = clean.grid_length(raw)
-    table = feature_matrix(clean.resample(raw, longest=longest), spectrum=0, longest=longest)
+    table = feature_matrix(clean.resample(raw), spectrum=0, longest=longest)
     return readmodels.severity_summary(rules.alerts(table, SETTINGS, with_data=False))
 
 
@@ -490,6 +490,6 @@ FROM f JOIN w ON f.series_id = w.series_id AND f.ts = w.ts WHERE f.load_factor >
 def _(spark, folder):
     raw = readings(spark, folder)
     longest = clean.grid_length(raw)
-    table = feature_matrix(clean.resample(raw, longest=longest), spectrum=5, longest=longest)
+    table = feature_matrix(clean.resample(raw), spectrum=5, longest=longest)
     return table.filter("load_factor > 0").select(
         "series_id", "ts", KWH, F.col(f"{KWH}_roll_mean_48h").alias("m48"), F.col(f"{KWH}_lag_24h").alias("l24"), "apparent_power")

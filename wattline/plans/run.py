@@ -37,7 +37,7 @@ def prepare(spark: SparkSession, meter_path: str, iot_path: str | None = None, v
     findings = quality.validate(raw)
     if validated and quality.verdict(findings).first()["is_valid"]:
         length = clean.grid_length(raw, seconds)
-        table = src.with_lineage(clean.resample(clean.clean_validated(raw), seconds, longest=length))
+        table = src.with_lineage(clean.resample(clean.clean_validated(raw), seconds))
     else:
         length, table = None, clean.clean(raw)
     if iot_path:
