@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, mixing, oracles, quality_rules
+from wattline.llm import chat, mixing, oracles, quality_rules, substring_dedup, suffix_dedup
 from wattline.llm.common import table
 
 
@@ -36,10 +36,22 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.byte_report(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op1_quality_rules": oracles.op1(),
