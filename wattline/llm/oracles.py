@@ -105,3 +105,13 @@ run AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(passes * size + greatest(0, least(size, budget - before)) AS BIGINT) AS taken
 FROM run"""
+
+
+def op6(least: int = 100) -> str:
+    return f"""
+WITH keyed AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+held AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM keyed),
+judged AS (SELECT *, payload_bytes >= {least} AND lead IS NOT NULL AND lead IS DISTINCT FROM page_id AS again FROM held)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN lead END AS refers_to FROM judged"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, mixing, oracles, quality_rules, substring_dedup, suffix_dedup
+from wattline.llm import chat, mixing, oracles, packing, quality_rules, substring_dedup, suffix_dedup, warc
 from wattline.llm.common import table
 
 
@@ -31,11 +31,20 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    done = warc.warc_round(table(spark, folder, "pages"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = substring_dedup.substring_dedup(table(spark, folder, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,7 +58,9 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -57,4 +68,5 @@ ORACLES = {
     "op1_quality_rules": oracles.op1(),
     "op2_chat_formatting": oracles.op2(),
     "op4_mixing": oracles.op4(),
+    "op6_warc": oracles.op6(),
 }
