@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, mixing, oracles, packing, quality_rules, substring_dedup, suffix_dedup, warc
+from wattline.llm import chat, mixing, oracles, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc
 from wattline.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    done = simhash_dedup.simhash_groups(table(spark, folder, "documents"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = suffix_dedup.byte_report(table(spark, folder, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_warc": op6_warc,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
