@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, mixing, oracles, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc
+from wattline.llm import (
+    chat, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc,
+)
 from wattline.llm.common import table
 
 
@@ -40,6 +42,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     done = warc.warc_round(table(spark, folder, "pages"))
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +56,10 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     done = simhash_dedup.simhash_groups(table(spark, folder, "documents"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,8 +75,10 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_nearest": op5_nearest,
     "op6_warc": op6_warc,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
