@@ -424,10 +424,23 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
+def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans grown so that no UTF-8 character is cut in two."""
+    out = []
+    for a, b in spans:
+        while a > 0 and a < len(body) and body[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(body) and body[b] & 0xC0 == 0x80:
+            b += 1
+        out.append((max(a, out[-1][1]) if out else a, b))
+    return out
+
+
+def without_spans(docs: DataFrame, spans: DataFrame, units: Units, whole_characters: bool = False) -> DataFrame:
     """All columns of `docs`, and _n_units, _n_removed, _spans (maximal, in units) and _kept (bytes) of every row.
 
-    Words are kept joined by one space, bytes as they are. Columns may have any names.
+    Words are kept joined by one space, bytes as they are, or with `whole_characters` without characters that lose a
+    byte, so that _kept is valid UTF-8. Columns may have any names.
     """
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
@@ -453,7 +466,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
                 elif own and found:
                     cut = _union(found)
                 left, at = [], 0
-                for a, b in [*cut, (len(parts), len(parts))]:
+                taken = _whole_characters(body, cut) if whole_characters and not units.words else cut
+                for a, b in [*taken, (len(parts), len(parts))]:
                     left.extend(parts[at:a]) if units.words else left.append(parts[at:a])
                     at = b
                 size.append(len(parts))

@@ -128,10 +128,10 @@ def _method(shard: Shard, piece_bytes: int = PIECE_BYTES):
     return *spans_of_windows(marked, shard.lengths, BYTES.span), shard.lengths
 
 
-def suffix_dedup(docs: DataFrame, **sizes) -> DataFrame:
+def suffix_dedup(docs: DataFrame, whole_characters: bool = False, **sizes) -> DataFrame:
     """All columns of `docs`, and _n_units, _n_removed, _spans (in bytes) and _kept (bytes) of every row."""
     own = docs.select("doc_id", "text")
-    return without_spans(docs, removed_spans(own, BYTES, _method, **sizes), BYTES)
+    return without_spans(docs, removed_spans(own, BYTES, _method, **sizes), BYTES, whole_characters)
 
 
 def byte_report(docs: DataFrame, **sizes) -> DataFrame:
