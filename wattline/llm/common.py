@@ -19,9 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def word_array(text: Column) -> Column:
     """The words of a text; a null, empty or blank text has none."""
-    trimmed = F.regexp_replace(text, f"^{BLANK_CLASS}+|{BLANK_CLASS}+$", "")
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, f"{BLANK_CLASS}+")).otherwise(
-        F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BLANK_CLASS}+"), "")
 
 
 def joined_small(left: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:

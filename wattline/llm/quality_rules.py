@@ -63,10 +63,10 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
         (F.length("body") - F.length(_without(F.col("body"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("array_sort(transform(slice(words, 1, greatest(size(words) - 2, 0)),"
+        F.expr("sort_array(transform(slice(words, 1, greatest(size(words) - 2, 0)),"
                " (w, i) -> struct(concat(w, ' ', words[i + 1], ' ', words[i + 2]) AS t, i AS i)))").alias("windows"))
     starts = counted.withColumn("starts", F.expr(
-        "array_sort(transform(filter(windows, (x, j) -> (j > 0 AND windows[greatest(j - 1, 0)].t = x.t) OR"
+        "sort_array(transform(filter(windows, (x, j) -> (j > 0 AND windows[greatest(j - 1, 0)].t = x.t) OR"
         " (j < size(windows) - 1 AND windows[least(j + 1, size(windows) - 1)].t = x.t)), x -> x.i))")).drop("windows")
     return starts.withColumn("n_repeat_words", F.expr(
         "aggregate(transform(starts, (x, j) -> IF(j = size(starts) - 1, 3,"
