@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import canonical
+from wattline.plans import load_catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_catalogue()
 HOT = ["D2_fill_both_ways", "D5_resample_hourly", "F1_lags_per_series", "F2_rolling", "F3_percent_rank_per_series",
        "F9_rolling_origin_overlapping", "F10_expanding_folds", "C3_gaps_with_equal_times", "I4_cooldown_per_rule", "J5_roc_curve_corners",
        "L13_drift_baseline", "I1_top_frequencies"]
@@ -51,6 +52,7 @@ def test_queries_without_sql_give_rows(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wattline.operators import cooldown, rules
 from wattline.operators.features import LAGS
 from wattline.plans import run
 from wattline.session import scratch_path
@@ -28,6 +29,32 @@ def test_prepare_joins_the_side_table(spark, meter):
     assert 0 < matrix.count() <= matched
 
 
+def test_alerts_of_every_meter(spark, meter):
+    """20 meters with the same course: each keeps its own alerts, and the cooldown holds per meter and rule."""
+    hourly = hourly_total(spark, FOLDER).drop("series_id").withColumn("row_id", F.unix_seconds("ts"))
+    many = hourly.crossJoin(spark.range(20).withColumnRenamed("id", "series_id"))
+    limits = {"alert_consumption_threshold": hourly.agg(F.avg("consumption_kwh")).first()[0]}
+    raised = rules.alerts(many, limits)
+    kept = run.batch_alerts(many, limits)
+    assert kept.count() == raised.count() > 20
+    assert kept.groupBy("series_id").count().select("count").distinct().count() == 1
+    slow = run.batch_alerts(many, limits, cooldown=7200)
+    assert slow.count() < kept.count() and slow.select("series_id").distinct().count() == 20
+    newest = run.batch_alerts(many, {"alert_consumption_threshold": -1.0}, newest=3).filter("rule = 'high_consumption'")
+    assert newest.count() == 60
+
+
+def test_side_table_per_meter(spark):
+    two = hourly_total(spark, FOLDER).drop("series_id").crossJoin(spark.range(2).withColumnRenamed("id", "series_id"))
+    stamped = two.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts")
+    meters, side = scratch_path(spark, "two-meters"), scratch_path(spark, "two-sides")
+    stamped.write.option("header", True).csv(meters)
+    stamped.select("series_id", "timestamp", (F.col("series_id") * 100.0).alias("pressure")).write.option("header", True).csv(side)
+    matrix, _ = run.prepare(spark, meters, side)
+    assert matrix.filter("pressure = series_id * 100").count() == matrix.count() > 0
+    assert matrix.select("series_id").distinct().count() == 2
+
+
 def test_run_batch(spark, meter):
     tables = run.run_batch(spark, meter, scratch_path(spark, "run-out"), "r1", trees=20, rounds=5)
     assert tables["frame"].count() == 720 - 47 == tables["predictions"].count()
@@ -38,6 +65,7 @@ def test_run_batch(spark, meter):
     for column in ("anomaly_score", "anomaly_pct", "anomaly_severity", "health_status", "maintenance_urgency", "efficiency_label",
                    "efficiency_score", "efficiency_percentile"):
         assert found[column] is not None
-    assert tables["alerts"].select("rule").distinct().count() == tables["alerts"].count()
+    every = cooldown.apply_cooldown(rules.alerts(tables["predictions"]), run.COOLDOWN_SECONDS)
+    assert tables["alerts"].count() == every.count()
     bounds = tables["forecast"].filter("lower_bound < forecast_kwh and forecast_kwh < upper_bound").count()
     assert bounds == 24

@@ -64,11 +64,20 @@ def guess_day_first(df: DataFrame, column: str) -> bool:
     return (top or 0) > 12
 
 
-def parse_timestamp(text: Column, day_first: bool = False) -> Column:
+def day_first_votes(df: DataFrame, column: str, source: str) -> DataFrame:
+    """(source, day_first): the vote of `guess_day_first` for each source of rows, such as a file."""
+    lead = F.regexp_extract(F.trim(F.col(column)), r"^(\d{1,2})[-/]\d{1,2}[-/]\d{4}", 1).try_cast("int")
+    return df.groupBy(source).agg((F.coalesce(F.max(lead), F.lit(0)) > 12).alias("day_first"))
+
+
+def parse_timestamp(text: Column, day_first: bool | Column = False) -> Column:
     """ISO layouts, then the voted d-m-y or m-d-y layouts; null when nothing fits."""
     trimmed = F.trim(text)
-    local = DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
-    return _first_that_parses(trimmed, ISO_FORMATS + local)
+    by_day, by_month = DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS, MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
+    if isinstance(day_first, Column):
+        local = F.when(day_first, _first_that_parses(trimmed, by_day)).otherwise(_first_that_parses(trimmed, by_month))
+        return F.coalesce(_first_that_parses(trimmed, ISO_FORMATS), local)
+    return _first_that_parses(trimmed, ISO_FORMATS + (by_day if day_first else by_month))
 
 
 def parse_loose_date(text: Column) -> Column:

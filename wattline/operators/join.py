@@ -12,9 +12,14 @@ from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS
 
 
-def with_side_table(left: DataFrame, right: DataFrame, on: Sequence[str] = (TS,),
+def with_side_table(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None,
                     suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Left join by key; columns present on both sides get suffixes, equal right keys multiply rows."""
+    """Left join by key; columns present on both sides get suffixes, equal right keys multiply rows.
+
+    Without a given key the join is on series and time where both sides have the series, else on time.
+    """
+    if on is None:
+        on = [SERIES, TS] if SERIES in left.columns and SERIES in right.columns else [TS]
     shared = [c for c in right.columns if c in left.columns and c not in on]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})

@@ -23,11 +23,14 @@ CLASS_RANKED = ("accuracy", "precision", "recall", "f1_score")
 
 
 def percentage_error(y: Column, predicted: Column, zeros: str = "mask") -> Column:
-    """Absolute percentage error of a row. Zero actuals are masked, shifted by 1e-8, or floored at 1e-6."""
+    """Absolute percentage error of a row. Zero actuals are masked, shifted by 1e-8, floored at 1e-6 or at the
+    distance of 1 to the next double ("epsilon")."""
     if zeros == "mask":
         return F.when(y != 0, F.abs(F.try_divide(y - predicted, y)))
     if zeros == "shift":
         return F.abs(F.try_divide(predicted - y, y + F.lit(1e-8)))
+    if zeros == "epsilon":
+        return F.abs(y - predicted) / F.greatest(F.abs(y), F.lit(float(np.finfo(np.float64).eps)))
     return F.abs((y - predicted) / F.greatest(F.abs(y), F.lit(1e-6)))
 
 
@@ -61,17 +64,21 @@ def regression_metrics(df: DataFrame, y: str, predicted: str, by: Sequence[str]
 
 
 def forecast_metrics(df: DataFrame, y: str, predicted: str, by: Sequence[str] = (),
-                     order: Sequence[str] = (TS, ROW)) -> DataFrame:
-    """Regression metrics with bias and the share of steps whose direction was right."""
+                     order: Sequence[str] = (TS, ROW), zeros: str = "epsilon") -> DataFrame:
+    """Regression metrics with bias and the share of steps whose direction was right.
+
+    Directions are those of one series, whatever the groups are; percentage errors floor the actual value.
+    """
     by = list(by)
-    steps = arrange(df, by, order).near({
+    lines = [*by, *[c for c in (SERIES,) if c in df.columns and c not in by]]
+    steps = arrange(df, lines, order).near({
         "_dy": lambda w: F.signum(F.col(y) - F.lag(y).over(w)),
         "_dp": lambda w: F.signum(F.col(predicted) - F.lag(predicted).over(w)),
     }, back=1)
     extra = steps.groupBy(*by).agg(
         (F.avg(F.when(F.col("_dy").isNotNull(), (F.col("_dy") == F.col("_dp")).cast("int"))) * 100).alias("directional_accuracy"),
         F.avg(F.col(predicted) - F.col(y)).alias("bias"))
-    base = regression_metrics(df, y, predicted, by).select(*by, "mae", "rmse", "mape", "r2", "median_ae", "max_error")
+    base = regression_metrics(df, y, predicted, by, zeros).select(*by, "mae", "rmse", "mape", "r2", "median_ae", "max_error")
     if by:
         return base.join(extra, by)
     extra = extra.select(F.struct("*")).scalar()

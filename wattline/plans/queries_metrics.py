@@ -32,6 +32,7 @@ FROM (SELECT {head}count(*) AS n_samples, avg(abs({y} - {p})) AS mae, avg(({y} -
   quantile_cont(abs({y} - {p}), 0.5) AS median_ae, var_pop({y}) AS vy, var_pop({y} - {p}) AS ve FROM {source} {group})"""
 
 
+_EPSILON = "abs({y} - {p}) / greatest(abs({y}), 2.220446049250313e-16)"
 _REG = "mae mse rmse mape smape r2 adjusted_r2 max_error median_ae explained_variance"
 
 
@@ -54,15 +55,26 @@ def _(spark, folder):
 
 @query("J2_forecast_metrics", f"""
 WITH {_PAIRS}, d AS (SELECT *, sign(consumption_kwh - lag(consumption_kwh) OVER w) AS dy, sign(predicted - lag(predicted) OVER w) AS dp
-  FROM pr WINDOW w AS (PARTITION BY model ORDER BY ts, row_id)),
+  FROM pr WINDOW w AS (PARTITION BY model, series_id ORDER BY ts, row_id)),
 x AS (SELECT model, avg(CASE WHEN dy IS NULL THEN NULL WHEN dy = dp THEN 1.0 ELSE 0 END) * 100 AS directional_accuracy,
   avg(predicted - consumption_kwh) AS bias FROM d GROUP BY 1)
-SELECT model, mae, rmse, mape, r2, median_ae, max_error, directional_accuracy, bias FROM ({_regression_sql(['model'])}) JOIN x USING (model)
+SELECT model, mae, rmse, mape, r2, median_ae, max_error, directional_accuracy, bias FROM ({_regression_sql(['model'], zeros=_EPSILON)}) JOIN x USING (model)
 """, floats="mae rmse mape r2 median_ae max_error directional_accuracy bias", digits=3)
 def _(spark, folder):
     return metrics.forecast_metrics(_pairs(spark, folder), KWH, "predicted", ["model"])
 
 
+@query("J2_zero_actuals", f"""
+WITH {_PAIRS}, z AS (SELECT * REPLACE (CASE WHEN row_id % 50 = 0 THEN 0.0 ELSE consumption_kwh END AS consumption_kwh) FROM pr)
+SELECT model, mae, bias, log10(mape) AS log_mape FROM (SELECT model, avg(abs(consumption_kwh - predicted)) AS mae,
+  avg(predicted - consumption_kwh) AS bias, avg({_EPSILON.format(y=KWH, p='predicted')}) * 100 AS mape FROM z GROUP BY 1)
+""", floats="mae bias log_mape", digits=3)
+def _(spark, folder):
+    pairs = _pairs(spark, folder).withColumn(KWH, F.when(F.col("row_id") % 50 == 0, 0.0).otherwise(F.col(KWH)))
+    made = metrics.forecast_metrics(pairs, KWH, "predicted", ["model"])
+    return made.select("model", "mae", "bias", F.log10("mape").alias("log_mape"))
+
+
 # Three-class pair: the rule label against a second label from load bands.
 _CLASSES = f"""{SCORED}, cl AS (SELECT row_id, series_id, health_status AS actual,
   CASE WHEN load_factor < 0.3 THEN 'healthy' WHEN load_factor < 0.8 THEN 'warning' ELSE 'critical' END AS guess, load_factor FROM sc)"""

@@ -6,6 +6,7 @@ from wattline.operators import cooldown, readmodels, recommend, rules, splits, s
 from wattline.operators.features import feature_matrix
 from wattline.functions import search
 from wattline.operators import clean
+from wattline.plans import run
 from wattline.plans.catalogue import HOURLY, LINES, READINGS, RESAMPLED, SCORED, fixed_sql, query, scored
 from wattline.sources.readings import hourly_total, line_readings, readings
 
@@ -310,6 +311,28 @@ def _(spark, folder):
     return rules.first_per_rule(_alerts(spark, folder))
 
 
+def _cooldown_rows_sql(seconds):
+    return f"WITH {_cooldown_sql(['series_id', 'rule'], seconds)}"
+
+
+@query("I5_batch_run_alerts", f"""
+SELECT a.series_id, a.rule, al.severity, al.message, a.row_id, a.ts FROM ({_cooldown_rows_sql(300)}) a
+JOIN (WITH {SCORED}, {_ALERTS} SELECT * FROM al) al ON a.row_id = al.row_id AND a.rule = al.rule
+""", times="ts")
+def _(spark, folder):
+    made = run.batch_alerts(scored(spark, folder), SETTINGS)
+    return made.select("series_id", "rule", "severity", "message", "row_id", "ts")
+
+
+@query("I5_newest_rows_per_meter", f"""
+WITH {SCORED.replace('sc AS (', 'sc_all AS (')}, sc AS (SELECT * EXCLUDE (k) FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, row_id DESC) AS k FROM sc_all) WHERE k <= 1), {_ALERTS}
+SELECT series_id, rule, message, row_id FROM al
+""")
+def _(spark, folder):
+    return run.batch_alerts(scored(spark, folder), SETTINGS, newest=1).select("series_id", "rule", "message", "row_id")
+
+
 @query("I5_batch_alerts", f"""
 WITH {SCORED.replace('sc AS (', 'sc_all AS (')}, sc AS (SELECT * FROM sc_all {NEWEST.format(n=500)}), {_ALERTS}
 SELECT rule, severity, message, row_id FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts, row_id) AS n FROM al) WHERE n = 1
@@ -484,12 +507,14 @@ def _(spark, folder):
 @query("D6_feature_matrix", f"""
 WITH {_FLAG_SQL}, w AS (SELECT series_id, ts, avg(consumption_kwh) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS m48,
   lag(consumption_kwh, 24) OVER (PARTITION BY series_id ORDER BY ts) AS l24 FROM rs)
-SELECT f.series_id, f.ts, f.consumption_kwh, m48, l24, f.consumption_kwh / (f.load_factor + 1e-8) AS apparent_power
-FROM f JOIN w ON f.series_id = w.series_id AND f.ts = w.ts WHERE f.load_factor > 0
+SELECT f.series_id, f.ts, f.consumption_kwh, m48, l24, f.consumption_kwh / (f.load_factor + 1e-8)
+  * CASE WHEN f.load_factor > 0 THEN 1 ELSE 1e-8 END AS apparent_power
+FROM f JOIN w ON f.series_id = w.series_id AND f.ts = w.ts
 """, floats="consumption_kwh m48 l24 apparent_power", times="ts")
 def _(spark, folder):
     raw = readings(spark, folder)
     longest = clean.grid_length(raw)
     table = feature_matrix(clean.resample(raw), spectrum=5, longest=longest)
-    return table.filter("load_factor > 0").select(
-        "series_id", "ts", KWH, F.col(f"{KWH}_roll_mean_48h").alias("m48"), F.col(f"{KWH}_lag_24h").alias("l24"), "apparent_power")
+    power = F.col("apparent_power") * F.when(F.col("load_factor") > 0, 1.0).otherwise(1e-8)  # no load: shown in a smaller unit
+    return table.select("series_id", "ts", KWH, F.col(f"{KWH}_roll_mean_48h").alias("m48"), F.col(f"{KWH}_lag_24h").alias("l24"),
+                        power.alias("apparent_power"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import labels, numbers, search, temporal
 from wattline.functions.labels import domain_ratios
-from wattline.operators import features, join, splits
+from wattline.operators import features, join, quality, splits
 from wattline.operators.quantile import quantiles
 from wattline.plans.catalogue import HOURLY, LINES, READINGS, query
 from wattline.session import scratch_path
@@ -39,6 +39,47 @@ def _(spark, folder):
     return src.scan_csv(spark, _csv_copy(table, spark, "day-first-csv", "dd-MM-yyyy HH:mm"))
 
 
+@query("A1_columns_in_other_order", f"""
+WITH {READINGS} SELECT row_id, series_id, date_trunc('second', ts) AS ts, consumption_kwh,
+  CASE WHEN row_id % 3 < 2 THEN voltage END AS voltage, CASE WHEN row_id % 3 > 0 THEN load_factor END AS load_factor FROM rd
+""", floats="consumption_kwh voltage load_factor", times="ts")
+def _(spark, folder):
+    """Three files: other column orders, and columns that only some of them have."""
+    table = readings(spark, folder).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    path = scratch_path(spark, "mixed-headers")
+    layouts = (["row_id", "series_id", "timestamp", KWH, "voltage"], ["voltage", "load_factor", KWH, "timestamp", "series_id", "row_id"],
+               ["load_factor", "timestamp", "row_id", KWH, "series_id"])
+    for i, names in enumerate(layouts):
+        table.filter(F.col("row_id") % 3 == i).select(*names).write.mode("append").option("header", True).csv(path)
+    return src.scan_csv(spark, path).select("row_id", "series_id", "ts", KWH, "voltage", "load_factor")
+
+
+@query("A1_layout_of_each_file", f"""
+WITH {READINGS} SELECT row_id, date_trunc('day', ts) AS ts, consumption_kwh FROM rd
+""", floats="consumption_kwh", times="ts")
+def _(spark, folder):
+    """A day-first file beside a month-first file; each has dates that settle its own layout."""
+    path = scratch_path(spark, "mixed-layouts")
+    for half, layout in enumerate(("dd/MM/yyyy", "MM/dd/yyyy")):
+        stamped = readings(spark, folder).filter(F.col("row_id") % 2 == half).select("row_id", KWH, F.date_format("ts", layout).alias("timestamp"))
+        stamped.coalesce(1).write.mode("append").option("header", True).csv(path)
+    return src.scan_csv(spark, path).select("row_id", "ts", KWH)
+
+
+@query("A1_unreadable_rows_are_counted", f"""
+WITH {READINGS} SELECT count(*) FILTER (WHERE row_id % 11 <> 0) AS kept, count(*) FILTER (WHERE row_id % 11 = 0) AS unreadable,
+  CAST(count(*) FILTER (WHERE row_id % 11 = 0) AS DOUBLE) AS reported FROM rd
+""", floats="reported")
+def _(spark, folder):
+    text = F.when(F.col("row_id") % 11 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    path = scratch_path(spark, "unreadable")
+    readings(spark, folder).select("row_id", "series_id", text.alias("timestamp"), KWH).write.option("header", True).csv(path)
+    scanned = src.scan_csv(spark, path, keep_bad_rows=True)
+    bad = scanned.filter("ts IS NULL").count()
+    said = quality.validate(scanned.filter("ts IS NOT NULL"), bad_times=bad).filter("rule = 'unreadable_times'").select("value").scalar()
+    return scanned.agg(F.count_if(F.col("ts").isNotNull()).alias("kept"), F.count_if(F.col("ts").isNull()).alias("unreadable")).withColumn("reported", said)
+
+
 _IOT = """iot AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS ts, avg(value) AS pressure,
   CAST(count(*) AS DOUBLE) AS flow_rate FROM events WHERE event_type = 'purchase' GROUP BY 1)"""
 
@@ -154,11 +195,10 @@ def _(spark, folder):
 
 @query("B4_domain_ratios", f"""
 WITH {READINGS} SELECT row_id, consumption_kwh / (abs(temperature) + 1) AS consumption_per_degree,
-  consumption_kwh / (load_factor + 1e-8) AS apparent_power FROM rd WHERE load_factor > 0
+  consumption_kwh / (load_factor + 1e-8) AS apparent_power FROM rd
 """, floats="consumption_per_degree apparent_power")
 def _(spark, folder):
-    usable = readings(spark, folder).filter("load_factor > 0")
-    return domain_ratios(usable).select("row_id", "consumption_per_degree", "apparent_power")
+    return domain_ratios(readings(spark, folder)).select("row_id", "consumption_per_degree", "apparent_power")
 
 
 @query("B5_min_max_normalise", f"""
@@ -212,13 +252,13 @@ def _(spark, folder):
 
 
 @query("B8_date_parsing", """
-SELECT event_id AS row_id, date_trunc('second', ts) AS iso, date_trunc('day', ts) AS slashed, date_trunc('day', ts) AS day_first,
-  date_trunc('day', ts) AS year_first FROM events WHERE day(ts) > 12
+SELECT event_id AS row_id, date_trunc('second', ts) AS iso, date_trunc('day', ts) AS slashed,
+  CAST(CASE WHEN day(ts) > 12 THEN CAST(ts AS DATE) ELSE make_date(year(ts), day(ts), month(ts)) END AS TIMESTAMP) AS day_first,
+  date_trunc('day', ts) AS year_first FROM events
 """, times="iso slashed day_first year_first")
 def _(spark, folder):
-    late = readings(spark, folder).filter(F.dayofmonth("ts") > 12)
     layouts = {"iso": "yyyy-MM-dd'T'HH:mm:ss", "slashed": "MM/dd/yyyy", "day_first": "dd-MM-yyyy", "year_first": "yyyy/M/d"}
-    return late.select("row_id", *[
+    return readings(spark, folder).select("row_id", *[
         temporal.parse_loose_date(F.date_format("ts", layout)).alias(name) for name, layout in layouts.items()])
 
 
@@ -321,6 +361,17 @@ def _(spark, folder):
     return joined.select("ts", KWH, "pressure", "flow_rate")
 
 
+@query("E1_side_table_per_series", f"""
+WITH {READINGS}, l AS (SELECT row_id, series_id, date_trunc('day', ts) AS ts, consumption_kwh FROM rd),
+r AS (SELECT series_id, date_trunc('day', ts) AS ts, avg(voltage) AS pressure FROM rd WHERE status <> 'error' GROUP BY 1, 2)
+SELECT l.row_id, l.series_id, l.ts, l.consumption_kwh, r.pressure FROM l LEFT JOIN r ON l.series_id = r.series_id AND l.ts = r.ts
+""", floats="consumption_kwh pressure", times="ts")
+def _(spark, folder):
+    daily = readings(spark, folder).withColumn("ts", F.date_trunc("day", "ts"))
+    side = daily.filter("status <> 'error'").groupBy("series_id", "ts").agg(F.avg("voltage").alias("pressure"))
+    return join.with_side_table(daily.select("row_id", "series_id", "ts", KWH), side).select("row_id", "series_id", "ts", KWH, "pressure")
+
+
 @query("E1_join_multiplies_and_suffixes", f"""
 WITH {READINGS}, l AS (SELECT date_trunc('day', ts) AS ts, row_id, temperature AS temperature_x FROM rd),
 r AS (SELECT date_trunc('day', ts) AS ts, event_type, avg(value) AS temperature_y FROM events GROUP BY 1, 2)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattline.functions import labels
 from wattline.models import efficiency, forecast, forest, health
 from wattline.operators import clean, features, quality, recommend, rules, splits
+from wattline.operators.cooldown import apply_cooldown
 from wattline.operators.join import with_side_table
 from wattline.operators.quantile import quantiles
 from wattline.session import materialize
@@ -18,7 +19,7 @@ from wattline.sources import readings as src
 from wattline.sources import results
 from wattline.sources.readings import ROW, SERIES, TS, measure_columns
 
-ALERT_ROWS = 500
+COOLDOWN_SECONDS = 300
 
 
 def with_series(df: DataFrame) -> DataFrame:
@@ -31,11 +32,16 @@ def prepare(spark: SparkSession, meter_path: str, iot_path: str | None = None, v
     """(feature matrix, validation findings).
 
     A valid table is cleaned, resampled and marked; an invalid one, or one that is not to be
-    validated, takes the basic cleaning path.
+    validated, takes the basic cleaning path. Rows without a readable time are left out and
+    counted in the findings. A side table with series is joined per series and time.
     """
-    raw = with_series(src.scan_csv(spark, meter_path))
-    findings = quality.validate(raw)
-    if validated and quality.verdict(findings).first()["is_valid"]:
+    scanned = with_series(src.scan_csv(spark, meter_path, keep_bad_rows=True))
+    unreadable = scanned.filter(F.col(TS).isNull()).count()
+    raw = scanned.filter(F.col(TS).isNotNull())
+    findings = quality.validate(raw, bad_times=unreadable)
+    if src.is_clean_already(raw):  # cleaned and resampled before it was written
+        length, table = clean.grid_length(raw, seconds), raw
+    elif validated and quality.verdict(findings).first()["is_valid"]:
         length = clean.grid_length(raw, seconds)
         table = src.with_lineage(clean.resample(clean.clean_validated(raw), seconds))
     else:
@@ -81,16 +87,32 @@ def predict_all(df: DataFrame, models: Models, hours: int = 24) -> tuple[DataFra
             forecast.forecast_hours(models.forecaster, df, hours))
 
 
+def batch_alerts(predictions: DataFrame, settings: Mapping | None = None, cooldown: float = COOLDOWN_SECONDS,
+                 newest: int | None = None) -> DataFrame:
+    """Every alert of every meter that its rule's cooldown lets through.
+
+    ``newest`` restricts the pass to the last rows of each meter, for runs that repeat often.
+    """
+    rows = predictions if newest is None else splits.latest_per_key(predictions, newest)
+    return apply_cooldown(rules.alerts(rows, settings), cooldown)
+
+
 def run_batch(spark: SparkSession, meter_path: str, root: str, run_id: str, iot_path: str | None = None,
-              settings: Mapping | None = None, trees: int = 200, rounds: int = 50) -> dict[str, DataFrame]:
-    """The whole cycle; results are saved under ``root/run_id`` and read back."""
+              settings: Mapping | DataFrame | None = None, trees: int = 200, rounds: int = 50,
+              cooldown: float = COOLDOWN_SECONDS, newest: int | None = None) -> dict[str, DataFrame]:
+    """The whole cycle; results are saved under ``root/run_id`` and read back.
+
+    ``settings`` is a mapping or a stored (name, value) table, which is laid over the defaults.
+    """
+    if isinstance(settings, DataFrame):
+        settings = results.settings_dict(results.merge_settings(settings, spark))
     matrix, findings = prepare(spark, meter_path, iot_path)
     # Fits read the features many times: write them once to the shared folder.
     table = materialize(with_row_id(matrix.drop("data_source", "ingestion_time")), "features")
     models = train_all(table, trees, rounds)
     predictions, ahead = predict_all(table, models)
     predictions = materialize(predictions, "predictions")
-    alerts = rules.first_per_rule(rules.alerts(splits.latest(predictions, ALERT_ROWS), settings))
+    alerts = batch_alerts(predictions, settings, cooldown, newest)
     tables = {"frame": table, "predictions": predictions, "forecast": ahead, "alerts": alerts,
               "recommendations": recommend.recommendations(predictions), "findings": findings}
     fitted = {"forecaster": models.forecaster.model, "health": models.health.model}

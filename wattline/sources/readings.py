@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.functions.temporal import guess_day_first, parse_timestamp
+from wattline.functions.temporal import day_first_votes, parse_timestamp
 from wattline.session import materialize
 
 SERIES, TS, ROW = "series_id", "ts", "row_id"
@@ -22,7 +25,7 @@ OPTIONAL_COLUMNS = [
     "flow_rate", "equipment_id", "plant_id", "sensor_id",
 ]
 TEXT_COLUMNS = {
-    "equipment_id", "plant_id", "sensor_id", "is_peak_hour", "maintenance_status", "efficiency_class", "status",
+    "data_source", "equipment_id", "plant_id", "sensor_id", "is_peak_hour", "maintenance_status", "efficiency_class", "status",
 }
 NOT_FEATURES = {"ts", "timestamp", "is_anomaly", "failure_label", "efficiency_score"}
 
@@ -30,21 +33,24 @@ NOT_FEATURES = {"ts", "timestamp", "is_anomaly", "failure_label", "efficiency_sc
 def scan_csv(spark: SparkSession, path: str, ts: str = "timestamp", keep_bad_rows: bool = False, land: bool = True) -> DataFrame:
     """Scan one CSV file, a folder or a glob of readings.
 
-    Every column is read as text and typed by expressions, so one bad cell never drops a
-    row silently: measures become doubles (unreadable cells null), the time column is parsed
-    with the layout the file votes for, and rows without a usable time are left out unless
-    asked for.  ``row_id`` follows the file position, so "first" keeps its meaning.
+    Files are read by their own headers and put together by column name; a column that a file
+    lacks is null there, and a file without the time column is refused. Every column is read as
+    text and typed by expressions, so one bad cell never drops a row silently: measures become
+    doubles (unreadable cells null), the time column is parsed with the layout its own file
+    votes for, and rows without a usable time are left out unless asked for. ``row_id`` follows
+    the file position, so "first" keeps its meaning.
 
     The typed rows are landed once as Parquet in the shared folder: the checks and repairs that
     follow read them many times, and a row keeps its id even if a task is run again.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    if ts not in raw.columns:
-        raise KeyError(f"column '{ts}' not found in {raw.columns}")
-    day_first = guess_day_first(raw, ts)
-    typed = [parse_timestamp(F.col(ts), day_first).alias(TS)]
+    raw = _by_own_headers(spark, path, ts)
+    votes = day_first_votes(raw, ts, _FILE).withColumnRenamed(_FILE, "_voted")
+    if votes.limit(_FILES_BROADCAST + 1).count() <= _FILES_BROADCAST:
+        votes = F.broadcast(votes)
+    raw = raw.join(votes, F.col(_FILE) == F.col("_voted"), "left")
+    typed = [parse_timestamp(F.col(ts), F.col("day_first")).alias(TS)]
     for name in raw.columns:
-        if name == ts:
+        if name in (ts, _FILE, "_voted", "day_first"):
             continue
         typed.append(F.col(name) if name in TEXT_COLUMNS else _measure(name))
     if land and ROW not in raw.columns:
@@ -54,6 +60,30 @@ def scan_csv(spark: SparkSession, path: str, ts: str = "timestamp", keep_bad_row
     return materialize(read, "scan") if land else read
 
 
+_FILE = "_file"
+_FILES_BROADCAST = 10_000
+
+
+def _by_own_headers(spark: SparkSession, path: str, ts: str) -> DataFrame:
+    """All columns as text, and the file of each row; files with the same header are one scan."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("block"))
+    # only the first block of a file holds its header, and one task reads it in order
+    heads = lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("head"))
+    same = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    parts = []
+    for row in sorted(same, key=lambda r: r["head"]):
+        names = next(csv.reader([row["head"].removeprefix("\ufeff")]))
+        if ts not in names:
+            raise KeyError(f"column '{ts}' not found in {names} of {row['files'][0]}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        read = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+        parts.append(read.csv(row["files"]).select(*[F.col(f"`{n}`") for n in names], F.col("_metadata.file_path").alias(_FILE)))
+    if not parts:
+        raise FileNotFoundError(f"no rows in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _measure(name: str):
     kind = "bigint" if name in (SERIES, ROW) else "double"
     return F.col(name).try_cast(kind).alias(name)
