@@ -22,7 +22,7 @@ KWH = "consumption_kwh"
 _BAND = 0.08
 
 
-def boosted_trees(rounds: int = 50, depth: int = 5, rate: float = 0.05, seed: int = 42) -> GBTRegressor:
+def boosted_trees(rounds: int = 500, depth: int = 5, rate: float = 0.05, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8,
                         featureSubsetStrategy="0.8", seed=seed)
 

@@ -17,6 +17,7 @@ from wattline.models.scaling import fill_zero
 from wattline.operators.ordered import percent_rank_of_ties
 from wattline.operators.quantile import quantiles
 from wattline.operators.splits import hash_sample, scatter
+from wattline.session import materialize
 from wattline.sources.readings import ROW
 
 _SCALE = 2**32
@@ -141,7 +142,7 @@ def fit_forest(df: DataFrame, features: Sequence[str], trees: int = 200, sample:
     drawn = _samples(filled, names, trees, used, key).repartition(width, "_tree")
     nodes = drawn.groupBy("_tree").applyInPandas(_grow(names, used, seed), schema).toPandas()  # bounded by trees * sample
     model = ForestModel(names, nodes, used)
-    scored = df.select(raw_score(model).alias("_s"))
+    scored = materialize(df.select(raw_score(model).alias("_s")), "forest-scores")  # read several times, scored once
     levels = quantiles(scored, {"high": ("_s", 1 - contamination)}).first()
     # score = -(decision) = raw + offset, where offset is the contamination quantile of -raw
     model.offset = -float(levels["high"])
@@ -153,6 +154,7 @@ def predict(model: ForestModel, df: DataFrame) -> DataFrame:
     """Add anomaly_score, anomaly_flag, anomaly_pct and anomaly_severity."""
     scored = df.withColumn("anomaly_score", raw_score(model) + F.lit(model.offset))
     scored = scored.withColumn("anomaly_flag", (F.col("anomaly_score") >= model.threshold).cast("int"))
+    scored = materialize(scored, "forest-scored")
     ranked = percent_rank_of_ties(scored, "anomaly_score", "anomaly_pct")
     return ranked.withColumn("anomaly_severity", severity(F.col("anomaly_score")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.labels import HEALTH_CLASSES
+from wattline.session import materialize
 
 RARE_CLASS_ROWS = 5
 
@@ -17,19 +18,26 @@ def merge_rare_class(df: DataFrame, label: str, rare: str = "critical", into: st
     return df.withColumn(label, F.when((F.col(label) == rare) & (count < least), into).otherwise(F.col(label)))
 
 
+def _spread(key: Column) -> Column:
+    """A multiplicative hash of an integer key below 2 ** 32; any engine can repeat it."""
+    return F.pmod((F.pmod(key, F.lit(2**31)) + 1) * F.lit(2654435761), F.lit(2**32))
+
+
 def flip_labels(label: Column, key: Column, share: float = 0.06) -> Column:
     """Replace a fixed share of labels by another class; which ones follows from the row key."""
-    draw = F.pmod(F.xxhash64(key, F.lit("flip")), F.lit(10_000))
-    pick = F.pmod(F.xxhash64(key, F.lit("class")), F.lit(2)).cast("int")
+    spread = _spread(key)
+    draw = F.pmod(spread, F.lit(10_000))
+    pick = F.pmod(F.floor(spread / F.lit(10_000)), F.lit(2)).cast("int")
     others = F.array_remove(F.array(*[F.lit(c) for c in HEALTH_CLASSES]), label)
     return F.when(draw < int(share * 10_000), F.get(others, pick)).otherwise(label)
 
 
 def classifier_for(rows: int, seed: int = 42):
-    """Random forest whose size follows the number of rows: below 200, below 500, and above."""
+    """Random forest whose size follows the number of rows: below 200, below 500, and above (a documented parameter;
+    pass an estimator to `fit_health` for another size)."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    depth, trees = (2, 40) if rows < 200 else (2, 80) if rows < 500 else (5, 40)
+    depth, trees = (2, 40) if rows < 200 else (2, 80) if rows < 500 else (5, 150)
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=5,
                                   subsamplingRate=0.8, seed=seed)
 
@@ -53,6 +61,30 @@ def stratified_folds(df: DataFrame, label: str, folds: int, key: str = "row_id")
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.col(label)), F.lit(folds)))
 
 
+def stratified_split(df: DataFrame, label: str, key: str = "row_id") -> DataFrame:
+    """`part`: about one row in five of every class is test; which ones follows from the row key."""
+    test = F.pmod(F.floor(_spread(F.col(key)) / F.lit(7)), F.lit(5)) == 0
+    return df.withColumn("part", F.when(test, "test").otherwise("train"))
+
+
+def holdout_scores(df: DataFrame, features, label: str = "health", estimator=None, key: str = "row_id", largest: float = 0.10) -> DataFrame:
+    """Accuracy and weighted F1 of both parts of a stratified split, and whether the accuracy gap is acceptable."""
+    from wattline.models.scaling import held
+    from wattline.operators.metrics import classification_summary
+
+    table = merge_rare_class(df, label)
+    counts = {r[label]: r["n"] for r in table.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    classes = sorted(c for c in counts if c is not None)
+    made = stratified_split(_labelled(table, list(features), label, classes), label, key).select("features", "label", "part")
+    with held(made) as rows:
+        model = (estimator or classifier_for(sum(counts.values()))).fit(rows.filter("part = 'train'"))
+        scored = materialize(model.transform(rows).select("part", "label", "prediction"), "holdout")
+    scores = classification_summary(scored, "label", "prediction", ["part"])
+    by = {r["part"]: r for r in scores.collect()}  # two rows
+    gap = by["train"]["accuracy"] - by["test"]["accuracy"] if len(by) == 2 else None
+    return scores.withColumns({"gap": F.lit(gap).cast("double"), "acceptable": F.lit(None if gap is None else gap <= largest).cast("boolean")})
+
+
 def fit_health(df: DataFrame, features, label: str = "health", folds: int = 5, estimator=None, key: str = "row_id") -> HealthModel:
     """Merge a rare class, score by weighted F1 over stratified folds, refit on all rows."""
     from wattline.models.scaling import held

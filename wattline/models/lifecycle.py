@@ -114,8 +114,10 @@ class Registry:
     def retrain_all(self, df: DataFrame, metric: str = "mae") -> list[dict]:
         return [self.retrain(name, df, metric) for name in self.trainers]
 
-    def history(self, limit: int = 10) -> DataFrame:
-        return self.spark.read.parquet(self.path).orderBy(F.col("trained_at").desc()).limit(limit)
+    def history(self, limit: int | None = None) -> DataFrame:
+        """All retrain runs, newest first, or the newest `limit` of them."""
+        rows = self.spark.read.parquet(self.path).orderBy(F.col("trained_at").desc())
+        return rows if limit is None else rows.limit(limit)
 
 
 # --- walk-forward backtests ----------------------------------------------------------------

@@ -12,6 +12,9 @@ from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS
 
 
+_BROADCAST_ROWS = 50_000
+
+
 def with_side_table(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None,
                     suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Left join by key; columns present on both sides get suffixes, equal right keys multiply rows.
@@ -34,7 +37,8 @@ def with_label(df: DataFrame, labels: DataFrame, key: str, label: str, default:
 
 
 def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    limit = rows_per_task(df.sparkSession)
+    """A (key, label) table of up to 50,000 narrow rows is broadcast, a larger one joined by a shuffle."""
+    limit = min(_BROADCAST_ROWS, rows_per_task(df.sparkSession))
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

@@ -230,7 +230,9 @@ def validate(df: DataFrame, kind: str = "smart_meter", ts: str = TS, bad_times:
         if c in NEVER_NEGATIVE:
             lines.append(line("negative_values", "error", c, negative, negative > 0))
         lines.append(line("constant_column", "warning", c, F.lit(1), F.col(f"{c}__constant")))
-    lines.append(line("covers_few_days", "warning", ts, F.col("days"), F.col("days") < FULL_DAYS))
+    short = F.col("days") < SHORT_DAYS
+    lines.append(line("covers_under_7_days", "warning", ts, F.col("days"), short))
+    lines.append(line("covers_under_30_days", "warning", ts, F.col("days"), ~short & (F.col("days") < FULL_DAYS)))
     if need_rows:
         lines.append(line("too_few_rows", "error", None, F.col("rows"), F.col("rows") < LEAST_ROWS))
     if bad_times:

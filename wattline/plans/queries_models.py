@@ -15,6 +15,7 @@ from wattline.plans.queries_tables import HEALTH_SQL, with_health
 from wattline.sources.readings import hourly_total, line_readings, readings
 
 KWH = "consumption_kwh"
+_HASH = "((row_id % 2147483648 + 1) * 2654435761) % 4294967296"
 MEASURES = [KWH, "load_factor", "temperature", "voltage"]
 INPUTS = ["consumption_kwh_lag_1h", "consumption_kwh_lag_2h", "hour", "day_of_week", "is_weekend", "is_peak_hour", "hour_sin",
           "hour_cos", "temperature", "load_factor"]
@@ -31,7 +32,7 @@ def _modelled(spark, folder):
 @query("K1_isolation_forest")
 def _(spark, folder):
     table = readings(spark, folder)
-    model = forest.fit_forest(table, MEASURES, trees=50)
+    model = forest.fit_forest(table, MEASURES)
     return forest.predict(model, table).select("row_id", "anomaly_score", "anomaly_flag", "anomaly_pct", "anomaly_severity")
 
 
@@ -40,7 +41,7 @@ WITH {READINGS} SELECT count(*) AS rows, TRUE AS near_target, TRUE AS spikes_ran
 """)
 def _(spark, folder):
     table = readings(spark, folder)
-    scored = forest.predict(forest.fit_forest(table, MEASURES, trees=50), table)
+    scored = forest.predict(forest.fit_forest(table, MEASURES), table)
     far = F.col(KWH) > 200
     return scored.agg(
         F.count(F.lit(1)).alias("rows"), (F.abs(F.avg("anomaly_flag") - 0.05) < 0.005).alias("near_target"),
@@ -61,7 +62,7 @@ def _(spark, folder):
 @query("K2_anomaly_attribution")
 def _(spark, folder):
     table = readings(spark, folder)
-    model = forest.fit_forest(table, MEASURES, trees=50)
+    model = forest.fit_forest(table, MEASURES)
     return forest.explain(model, table).join(forest.split_weights(model, table), "feature")
 
 
@@ -93,7 +94,7 @@ _HEALTH_INPUTS = ["load_factor", "hour_sin", "hour_cos", "is_weekend", "is_peak_
 
 def _health_model(spark, folder):
     table = with_health(cyclical_features(calendar_features(readings(spark, folder))))
-    return table, health.fit_health(table, _HEALTH_INPUTS, folds=3)
+    return table, health.fit_health(table, _HEALTH_INPUTS)
 
 
 @query("K5_health_fold_scores")
@@ -105,9 +106,23 @@ def _(spark, folder):
 WITH {HEALTH_SQL} SELECT health, count(*) AS rows, TRUE AS spread FROM hl GROUP BY 1
 """)
 def _(spark, folder):
-    per = health.stratified_folds(with_health(readings(spark, folder)), "health", 3).groupBy("health", "_fold").agg(
+    per = health.stratified_folds(with_health(readings(spark, folder)), "health", 5).groupBy("health", "_fold").agg(
         F.count(F.lit(1)).alias("n"))
-    return per.groupBy("health").agg(F.sum("n").alias("rows"), (F.min("n") > 0.2 * F.sum("n")).alias("spread"))
+    return per.groupBy("health").agg(F.sum("n").alias("rows"), (F.min("n") > 0.1 * F.sum("n")).alias("spread"))
+
+
+@query("K5_holdout_scores")
+def _(spark, folder):
+    table = with_health(cyclical_features(calendar_features(readings(spark, folder))))
+    return health.holdout_scores(table, _HEALTH_INPUTS)
+
+
+@query("K5_stratified_holdout", f"""
+WITH {HEALTH_SQL}, p AS (SELECT health, CASE WHEN (({_HASH}) // 7) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM hl)
+SELECT health, part, count(*) AS n FROM p GROUP BY 1, 2
+""")
+def _(spark, folder):
+    return health.stratified_split(with_health(readings(spark, folder)), "health").groupBy("health", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("K6_health_scores")
@@ -147,15 +162,14 @@ _NEAR = "sqrt(({a} - {x}) * ({a} - {x}) + (load_factor - {y}) * (load_factor - {
 WITH {READINGS}, d AS (SELECT row_id, least({', '.join(_NEAR.format(a='consumption_kwh / 100', x=x, y=y) for x, y in ((0.2, 0.2), (0.5, 0.7), (3.0, 0.5)))}) AS d FROM rd),
 s AS (SELECT row_id, round(100 - d / (SELECT max(d) FROM d) * 100, 1) AS efficiency_score FROM d),
 r AS (SELECT *, rank() OVER (ORDER BY efficiency_score) AS k, count(*) OVER (PARTITION BY efficiency_score) AS t, count(*) OVER () AS n FROM s)
-SELECT row_id, efficiency_score, (k + (t - 1) / 2.0) / n AS score_rank, TRUE AS percentile_agrees FROM r
-""", floats="efficiency_score score_rank")
+SELECT row_id, efficiency_score, (k + (t - 1) / 2.0) / n AS score_rank, round(CAST(CAST((k + (t - 1) / CAST(2 AS DOUBLE)) / n * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS efficiency_percentile FROM r
+""", floats="efficiency_score score_rank efficiency_percentile")
 def _(spark, folder):
     table = readings(spark, folder).withColumn("a", F.col(KWH) / 100)
     near = efficiency.nearest_centre(["a", "load_factor"], [[0.2, 0.2], [0.5, 0.7], [3.0, 0.5]])
     scored = efficiency.with_distance_score(table.withColumn("d", near["distance"]), "d")
     ranked = percent_rank_of_ties(scored, "efficiency_score", "score_rank")
-    agrees = F.abs(F.col("efficiency_percentile") - F.col("score_rank") * 100) <= 0.0501
-    return ranked.select("row_id", "efficiency_score", "score_rank", agrees.alias("percentile_agrees"))
+    return ranked.select("row_id", "efficiency_score", "score_rank", "efficiency_percentile")
 
 
 def _members(spark, folder):
@@ -275,7 +289,11 @@ def _(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("B16_label_noise")
+@query("B16_label_noise", f"""
+WITH {HEALTH_SQL}, h AS (SELECT health, {_HASH} AS h FROM hl),
+o AS (SELECT health, h, list_filter(['healthy', 'warning', 'critical'], lambda c: c <> health) AS others FROM h)
+SELECT health, CASE WHEN h % 10000 < 600 THEN others[CAST((h // 10000) % 2 + 1 AS INT)] ELSE health END AS noisy, count(*) AS n FROM o GROUP BY 1, 2
+""")
 def _(spark, folder):
     table = with_health(readings(spark, folder))
     noisy = table.withColumn("noisy", health.flip_labels(F.col("health"), F.col("row_id")))

@@ -144,7 +144,7 @@ far AS ({" UNION ALL ".join(_OUTLIERS.format(c=c, t="rd") for c in MEASURES)}),
 f AS (
   SELECT 'missing_values' AS rule, CASE WHEN mv > 20 THEN 'error' ELSE 'warning' END AS level, 'voltage' AS "column", mv AS value
   FROM s WHERE mv > 0
-  UNION ALL SELECT 'covers_few_days', 'warning', 'ts', days FROM s WHERE days < 30
+  UNION ALL SELECT CASE WHEN days < 7 THEN 'covers_under_7_days' ELSE 'covers_under_30_days' END, 'warning', 'ts', days FROM s WHERE days < 30
   UNION ALL SELECT 'time_gaps', 'warning', 'ts', sum(gaps) FROM g HAVING sum(gaps) > 0
   UNION ALL SELECT 'outliers', 'warning', "column", count FROM far)"""
 
@@ -154,6 +154,15 @@ def _(spark, folder):
     return quality.validate(readings(spark, folder), "full")
 
 
+@query("C12_short_table", f"""
+WITH {READINGS}, s AS (SELECT CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS DOUBLE) AS days FROM rd WHERE ts < TIMESTAMP '2024-01-04')
+SELECT CASE WHEN days < 7 THEN 'covers_under_7_days' ELSE 'covers_under_30_days' END AS rule, days AS value FROM s WHERE days < 30
+""", floats="value")
+def _(spark, folder):
+    found = quality.validate(readings(spark, folder).filter("ts < TIMESTAMP '2024-01-04'"), "full")
+    return found.filter(F.col("rule").startswith("covers")).select("rule", "value")
+
+
 @query("C12_verdict", _FINDINGS + """
 SELECT count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings,
   count(*) FILTER (WHERE level = 'error') = 0 AS is_valid FROM f

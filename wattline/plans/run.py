@@ -14,7 +14,7 @@ from wattline.operators import clean, features, quality, recommend, rules, split
 from wattline.operators.cooldown import apply_cooldown
 from wattline.operators.join import with_side_table
 from wattline.operators.quantile import quantiles
-from wattline.session import materialize
+from wattline.session import materialize, scratch_scope
 from wattline.sources import readings as src
 from wattline.sources import results
 from wattline.sources.readings import ROW, SERIES, TS, measure_columns
@@ -71,7 +71,7 @@ def with_health_labels(df: DataFrame, name: str = "health") -> DataFrame:
     return df.withColumn(name, labels.health_label(labels.health_points(F.col("consumption_kwh"), high, voltage, heat)))
 
 
-def train_all(df: DataFrame, trees: int = 200, rounds: int = 50) -> Models:
+def train_all(df: DataFrame, trees: int = 200, rounds: int = 500) -> Models:
     return Models(
         anomaly=forest.fit_forest(df, measure_columns(df), trees),
         forecaster=forecast.fit_forecaster(df, estimator=forecast.boosted_trees(rounds)),
@@ -98,7 +98,7 @@ def batch_alerts(predictions: DataFrame, settings: Mapping | None = None, cooldo
 
 
 def run_batch(spark: SparkSession, meter_path: str, root: str, run_id: str, iot_path: str | None = None,
-              settings: Mapping | DataFrame | None = None, trees: int = 200, rounds: int = 50,
+              settings: Mapping | DataFrame | None = None, trees: int = 200, rounds: int = 500,
               cooldown: float = COOLDOWN_SECONDS, newest: int | None = None) -> dict[str, DataFrame]:
     """The whole cycle; results are saved under ``root/run_id`` and read back.
 
@@ -106,6 +106,12 @@ def run_batch(spark: SparkSession, meter_path: str, root: str, run_id: str, iot_
     """
     if isinstance(settings, DataFrame):
         settings = results.settings_dict(results.merge_settings(settings, spark))
+    with scratch_scope(spark):
+        _run_and_save(spark, meter_path, root, run_id, iot_path, settings, trees, rounds, cooldown, newest)
+    return results.load_run(spark, root, run_id)
+
+
+def _run_and_save(spark, meter_path, root, run_id, iot_path, settings, trees, rounds, cooldown, newest) -> None:
     matrix, findings = prepare(spark, meter_path, iot_path)
     # Fits read the features many times: write them once to the shared folder.
     table = materialize(with_row_id(matrix.drop("data_source", "ingestion_time")), "features")
@@ -117,4 +123,3 @@ def run_batch(spark: SparkSession, meter_path: str, root: str, run_id: str, iot_
               "recommendations": recommend.recommendations(predictions), "findings": findings}
     fitted = {"forecaster": models.forecaster.model, "health": models.health.model}
     results.save_run(tables, root, run_id, fitted)
-    return results.load_run(spark, root, run_id)

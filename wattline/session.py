@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,16 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPE_KEY = "spark.wattline.scratchScope"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    scope = spark.conf.get(_SCOPE_KEY, "")
+    return f"{shared_dir(spark)}/wattline/{spark.sparkContext.applicationId}" + (f"/{scope}" if scope else "")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/wattline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application, once no result needs them any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wattline/{spark.sparkContext.applicationId}")
+    """Delete the intermediate tables of this application (or of the open scope), once no result needs them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Intermediate tables written inside are deleted at the end, so nothing lazy that reads them may leave."""
+    before = spark.conf.get(_SCOPE_KEY, "")
+    spark.conf.set(_SCOPE_KEY, f"{before}/{uuid.uuid4().hex}".strip("/"))
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
+        spark.conf.set(_SCOPE_KEY, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
