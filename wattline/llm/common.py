@@ -13,7 +13,14 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 BROADCAST_ROWS = 50_000
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ARROW_DEFAULT, _ARROW_TEXTS = "10000", "1000"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder. Whole texts go to Python in batches of 1,000 rows unless the session says otherwise."""
+    if spark.conf.get(ARROW_ROWS) == _ARROW_DEFAULT:
+        spark.conf.set(ARROW_ROWS, _ARROW_TEXTS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ from wattline.llm.common import joined_small
 from wattline.session import materialize
 
 CHUNK_BYTES = 1 << 18  # texts handled by one numpy pass; a longer text is a pass of its own
-SHARD_BYTES = 4 << 20  # contexts of a shard, up to the end of the last anchor
+SHARD_BYTES = 2 << 20  # contexts of a shard, up to the end of the last anchor
 SEGMENT_BITS = 1 << 19
 FILTER_BITS = 1 << 28
 HOT = 200_000
@@ -108,7 +108,8 @@ def _counted(units: Units) -> Callable:
                 new = np.ones(len(d), bool)
                 new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
                 at = np.flatnonzero(new)
-                times = np.diff(at, append=len(d)) if units.inside else np.ones(len(at), np.int64)
+                # two places of one document are a repeat where that counts; more say nothing more
+                times = np.minimum(np.diff(at, append=len(d)), 2) if units.inside else np.ones(len(at), np.int64)
                 # anchors of several documents of the chunk combine here already
                 keys, group = np.unique(h[at], return_inverse=True)
                 sums = np.bincount(group, weights=times).astype(np.int64)
@@ -350,7 +351,8 @@ def _hot_marks(rows: DataFrame, units: Units) -> DataFrame:
     windows = materialize(first.mapInArrow(split, "context binary, window binary, at long, doc_id long, start long"), "hot-windows")
     owners = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("owner"))
     known = windows.join(owners, "window").groupBy("context").agg(F.collect_list(F.struct("at", "owner")).alias("owners"))
-    placed = rows.select("doc_id", "context", F.explode("starts").alias("start")).join(known, "context")
+    placed = rows.select("doc_id", "context", "starts").join(known, "context").select(
+        "doc_id", "owners", F.explode("starts").alias("start"))
     earlier = (lambda x: F.struct(F.col("doc_id"), (F.col("start") + x["at"]).alias("start")) > x["owner"]) if units.inside else (
         lambda x: F.col("doc_id") > x["owner"]["doc_id"])
     marked = placed.select("doc_id", "start", F.explode(F.filter("owners", earlier)).alias("hit"))

@@ -30,16 +30,17 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of `text` ordered by their first `depth` bytes at least."""
     n = len(text)
     key = rolling.byte_words(text).byteswap()
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)  # a piece is far below 2 ** 31 bytes
     ordered = key[order]
     new = np.ones(n + 1, bool)
     new[1:n] = ordered[1:] != ordered[:-1]
-    group = np.maximum.accumulate(np.where(new[:n], np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    del key, ordered
+    group = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[order] = group
     sorted_to = 8
     while sorted_to < depth:
-        open_ = np.flatnonzero(~(new[:n] & new[1:]))
+        open_ = np.flatnonzero(~(new[:n] & new[1:])).astype(np.int32)
         if not len(open_):
             break
         places = order[open_]
@@ -51,7 +52,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         order[open_] = places
         new[open_[1:]] = both[1:] != both[:-1]
         new[open_[0]] = True
-        at = np.maximum.accumulate(np.where(new[open_], open_, 0))
+        at = np.maximum.accumulate(np.where(new[open_], open_, np.int32(0)))
         group[open_] = at
         rank[places] = at
         sorted_to *= 2
