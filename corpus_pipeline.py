@@ -6,6 +6,8 @@ of `documents`. Rows with a null doc_id are kept as long as their text is, and e
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +16,36 @@ from wattline.llm.common import joined_small, table
 from wattline.session import materialize
 
 
+def _free(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality classifier scores at its threshold or above."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, "_score").where(
-        F.col("_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    score = _free("score")
+    return quality_classifier.score(docs, model, score).where(
+        F.col(score) >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest doc_id, of each group of near copies; repeated rows fall together."""
-    groups = simhash_dedup.simhash_groups(docs)
-    gone = materialize(groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    groups, key = simhash_dedup.simhash_groups(docs), _free("gone")
+    gone = materialize(groups.where("doc_id > component_id").select(F.col("doc_id").alias(key)).distinct(), "near-copies")
     once = docs.dropDuplicates(["doc_id"]) if groups.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    return joined_small(once, gone, once["doc_id"] == F.col("_gone"), "left_anti")
+    return joined_small(once, gone, once["doc_id"] == F.col(key), "left_anti")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out bytes that repeat from smaller documents; characters cut in two go whole, empty texts go with them."""
-    done = suffix_dedup.suffix_dedup(docs, whole_characters=True)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept").cast("string")).otherwise(F.col("text"))
-    out = done.withColumn("text", text).where("_n_removed = 0 OR length(text) > 0")
+    names = [_free("n_units"), _free("n_removed"), _free("spans"), _free("kept")]
+    done = suffix_dedup.suffix_dedup(docs, whole_characters=True).toDF(*docs.columns, *names)
+    cut = F.col(names[1]) > 0
+    out = done.withColumn("text", F.when(cut, F.col(names[3]).cast("string")).otherwise(F.col("text")))
+    out = out.where(~cut | (F.length("text") > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
