@@ -56,7 +56,8 @@ def test_side_table_per_meter(spark):
 
 
 def test_run_batch(spark, meter):
-    tables = run.run_batch(spark, meter, scratch_path(spark, "run-out"), "r1", trees=20, rounds=5)
+    out = scratch_path(spark, "run-out")
+    tables = run.run_batch(spark, meter, out, "r1", trees=20, rounds=5)
     assert tables["frame"].count() == 720 - 47 == tables["predictions"].count()
     assert tables["forecast"].count() == 24
     flagged = tables["predictions"].agg(F.avg("anomaly_flag")).first()[0]
@@ -67,5 +68,9 @@ def test_run_batch(spark, meter):
         assert found[column] is not None
     every = cooldown.apply_cooldown(rules.alerts(tables["predictions"]), run.COOLDOWN_SECONDS)
     assert tables["alerts"].count() == every.count()
+    again, ahead = run.predict_all(tables["frame"], run.load_models(spark, out, "r1"))
+    same = ["row_id", "anomaly_score", "anomaly_flag", "health_status", "maintenance_urgency", "efficiency_label", "efficiency_score"]
+    assert again.select(*same).exceptAll(tables["predictions"].select(*same)).count() == 0
+    assert ahead.select("ts", "forecast_kwh").exceptAll(tables["forecast"].select("ts", "forecast_kwh")).count() == 0
     bounds = tables["forecast"].filter("lower_bound < forecast_kwh and forecast_kwh < upper_bound").count()
     assert bounds == 24

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,5 +124,36 @@ def _run_and_save(spark, meter_path, root, run_id, iot_path, settings, trees, ro
     alerts = batch_alerts(predictions, settings, cooldown, newest)
     tables = {"frame": table, "predictions": predictions, "forecast": ahead, "alerts": alerts,
               "recommendations": recommend.recommendations(predictions), "findings": findings}
+    tables["model_facts"], tables["forest_nodes"] = _model_tables(spark, models)
     fitted = {"forecaster": models.forecaster.model, "health": models.health.model}
     results.save_run(tables, root, run_id, fitted)
+
+
+def _model_tables(spark: SparkSession, models: Models) -> tuple[DataFrame, DataFrame]:
+    """What a restore needs beside the fitted estimators: (model, facts) as JSON, and the nodes of the forest."""
+    a, e = models.anomaly, models.efficiency
+    facts = {
+        "anomaly": {"features": a.features, "sample": a.sample, "offset": a.offset, "threshold": a.threshold},
+        "forecaster": {"features": models.forecaster.features},
+        "health": {"features": models.health.features, "classes": models.health.classes},
+        "efficiency": {"features": e.features, "scaling": {k: list(map(float, v)) for k, v in e.scaling.items()},
+                       "centres": [[float(x) for x in c] for c in e.centres], "labels": {str(k): v for k, v in e.labels.items()}},
+    }
+    lines = [(name, json.dumps(fact)) for name, fact in facts.items()]
+    return spark.createDataFrame(lines, "model string, facts string"), spark.createDataFrame(a.nodes)
+
+
+def load_models(spark: SparkSession, root: str, run_id: str) -> Models:
+    """The four models of a saved run, ready to score again; reports of the fits are not kept."""
+    tables = results.load_run(spark, root, run_id)
+    facts = {r["model"]: json.loads(r["facts"]) for r in tables["model_facts"].collect()}  # four rows
+    a, e = facts["anomaly"], facts["efficiency"]
+    place = f"{root}/{run_id}/models"
+    return Models(
+        anomaly=forest.ForestModel(a["features"], tables["forest_nodes"].toPandas(), a["sample"], a["offset"], a["threshold"]),
+        forecaster=forecast.FittedForecaster(facts["forecaster"]["features"], GBTRegressionModel.load(f"{place}/forecaster"), None),
+        health=health.HealthModel(facts["health"]["features"], RandomForestClassificationModel.load(f"{place}/health"),
+                                  facts["health"]["classes"], None),
+        efficiency=efficiency.EfficiencyModel(e["features"], {k: tuple(v) for k, v in e["scaling"].items()}, e["centres"],
+                                              {int(k): v for k, v in e["labels"].items()}),
+    )
