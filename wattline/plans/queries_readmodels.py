@@ -272,6 +272,23 @@ def _(spark, folder):
     return fired.select("row_id", "rule", F.col("data")["status"].alias("status"), F.col("data")["temperature"].alias("temperature"))
 
 
+@query("N1_rules_as_columns", f"""
+WITH {READINGS} SELECT row_id, 'low_load' AS rule, 'info' AS severity, 'Load ' || {fixed_sql('load_factor', 2)} || ' below 0.2' AS message FROM rd WHERE load_factor < 0.2
+UNION ALL SELECT row_id, 'night_use', 'warning', status || ' at night' FROM rd WHERE hour(ts) < 5 AND consumption_kwh > 50
+""")
+def _(spark, folder):
+    """Rules of a user's own, with a setting of their own, beside one whose input is absent."""
+    own = (
+        rules.Rule("low_load", "info", ("load_factor",), lambda s: F.col("load_factor") < s["low_load"],
+                   lambda s: F.concat(F.lit("Load "), rules.fixed(F.col("load_factor"), 2), F.lit(f" below {s['low_load']:g}"))),
+        rules.Rule("night_use", "warning", (KWH, "ts"), lambda s: (F.hour("ts") < 5) & (F.col(KWH) > 50),
+                   lambda s: F.concat(F.col("status"), F.lit(" at night"))),
+        rules.Rule("absent", "critical", ("no_such_column",), lambda s: F.col("no_such_column") > 0, lambda s: F.lit("never")),
+    )
+    fired = rules.alerts(readings(spark, folder), {"low_load": 0.2}, own, with_data=False)
+    return fired.select("row_id", "rule", "severity", "message")
+
+
 @query("G9_severity_summary", f"""
 WITH {SCORED}, {_ALERTS} SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical,
   count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM al
