@@ -129,3 +129,22 @@ def _(spark, folder):
         return _run(spark, stream, "alerts").select("rule", "row_id", "ts")
     finally:
         spark.conf.set(store, before)
+
+
+@query("M7_stream_equals_batch", f"""
+WITH {READINGS} SELECT series_id, date_trunc('hour', ts) AS ts, avg(consumption_kwh) AS consumption_kwh FROM rd GROUP BY 1, 2
+""", floats="consumption_kwh", times="ts")
+def _(spark, folder):
+    """Files come out of order but within the allowed lateness, and a last row far ahead closes every bin."""
+    table = readings(spark, folder).select("series_id", "ts", KWH)
+    path = scratch_path(spark, "shuffled-in")
+    first, last = table.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    part = F.least(F.lit(FILES - 1), F.floor((F.col("ts").cast("double") - first) / (last - first) * FILES))
+    for i in (1, 0, 2):
+        table.filter(part == i).write.mode("append").parquet(path)
+    ahead = table.limit(1).select(F.lit(-1).cast(table.schema["series_id"].dataType).alias("series_id"),
+                                  F.timestamp_seconds(F.lit(last + 90 * 86_400)).cast(table.schema["ts"].dataType).alias("ts"), KWH)
+    for _ in range(2):  # the second lets the watermark of the first take effect
+        ahead.write.mode("append").parquet(path)
+    stream = live.resample_stream(live.read_folder(spark, path, table.schema, 1), [KWH], late="60 days")
+    return _run(spark, stream, "shuffled").filter("series_id >= 0")
