@@ -123,7 +123,7 @@ def _rows(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
 
 def search_cell(space: Space, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, bound: np.ndarray, keep: int,
                 sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, id, score) of the best `keep` of the cell for each query, given lower bounds of useful scores.
+    """(query place, id, score) of the best `keep` of the cell for each query, as far as they reach its given bound.
 
     Leaves are visited in order of their projected distance; a query stops once the test holds for its next leaf.
     """
@@ -159,7 +159,8 @@ def search_cell(space: Space, ids: np.ndarray, rows: np.ndarray, queries: np.nda
             top = np.argsort(-all_scores, axis=1, kind="stable")[:, :keep]
             best[who] = np.take_along_axis(all_scores, top, 1)
             best_id[who] = np.take_along_axis(all_ids, top, 1)
-    place, at = np.nonzero(np.isfinite(best))
+    # what is below the bound cannot be among the best; the slack covers other orders of summation
+    place, at = np.nonzero(np.isfinite(best) & (best >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None]))
     found = best_id[place, at]
     by_id = np.argsort(ids)
     chosen = rows[by_id[np.searchsorted(ids[by_id], found)]]
