@@ -7,9 +7,9 @@ are therefore visited in order of their projected distance and verified exactly,
 point nearer than the worst one kept lies beyond the reached projected distance falls below 1 - `sure`.
 
 On Spark: the upper levels of the kd-tree are cut on a bounded sample and deal all points to cells of bounded size; a
-cell has a kd-tree of its own for each task that searches it. Every query first searches its home cell, which gives a
+cell has a kd-tree of its own for each task that searches it. Every query first searches its nearest cells, which gives a
 bound; then it goes to all other cells whose projected box does not pass the stopping test, and each of them is searched
-with the same test. Equal vectors are one point, of which only the `k` + 1 smallest ids can matter.
+with the same test and returns what reaches the bound. Equal vectors are one point, of which only the `k` + 1 smallest ids can matter.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those whose length is not the
 most frequent one (the larger of equals), take no part, as queries or as candidates; so do null ids. Repeated rows are
@@ -35,6 +35,7 @@ SAMPLE = 20_000
 CELL_ROWS = 1024
 MOST_CELLS = 2048
 LEAF = 32
+FIRST_CELLS = 4
 SLOT_QUERIES = 20_000
 _FOUND = "query long, point long, score double"
 
@@ -214,17 +215,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sure: float = SURE,
                 rows = _rows(batch.column("embedding"), space.size)
                 ids = batch.column("query").to_numpy()
                 far = box_distances(space.queries(rows), low, high)
-                home = far.argmin(1)
+                near = np.argsort(far, axis=1, kind="stable")[:, :FIRST_CELLS]
                 if first:
                     go = np.zeros(far.shape, bool)
-                    go[np.arange(len(rows)), home] = True
+                    np.put_along_axis(go, near, True, axis=1)
                     worst = np.full(len(rows), -np.inf)
                 else:
                     worst = batch.column("worst").to_numpy()
                     reach = space.squared(rows, worst)[:, None]
                     ratio = np.where(reach > 0, far / np.maximum(reach, 1e-300), np.inf)
                     go = (chi_square_cdf(ratio, projections) < sure) | (far <= 0) | np.isneginf(worst)[:, None]
-                    go[np.arange(len(rows)), home] = False
+                    np.put_along_axis(go, near, False, axis=1)
                 q, c = np.nonzero(go)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[q]), batch.column("embedding").take(pa.array(q)), pa.array(worst[q]), pa.array(cell_ids[c]),
@@ -246,11 +247,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sure: float = SURE,
 
     visits_schema = "query long, embedding array<double>, worst double, cell long, slot long"
     home = materialize(found(asked.mapInArrow(visit(True), visits_schema)), "vector-home")
-    bound = home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "point")
+    leading = home.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k + 1)
+    bound = leading.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low"))
     known = asked.join(bound, "query", "left").select("query", "embedding", F.when(
         F.col("n") > k, F.col("low")).otherwise(F.lit(-math.inf)).alias("worst"))
     rest = found(known.mapInArrow(visit(False), visits_schema))
-    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "point")
     best = home.unionByName(rest).withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k + 1)
 
     listed = best.select("query", "point", "score").join(members.select("point", "vec_id"), "point")
