@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import mixing, packing, quality_classifier, simhash_dedup, suffix_dedup
@@ -29,12 +29,25 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col(score) >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls told apart from absence; equal for equal rows only."""
+    cells = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    return F.md5(F.concat_ws(" ", F.xxhash64(*cells, *[F.col(c).isNull() for c in docs.columns]).cast("string"), "text"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest doc_id, of each group of near copies; repeated rows fall together."""
-    groups, key = simhash_dedup.simhash_groups(docs), _free("gone")
-    gone = materialize(groups.where("doc_id > component_id").select(F.col("doc_id").alias(key)).distinct(), "near-copies")
-    once = docs.dropDuplicates(["doc_id"]) if groups.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    return joined_small(once, gone, once["doc_id"] == F.col(key), "left_anti")
+    """Keep one row of each group of near copies; rows that are equal in all columns fall together.
+
+    It is the row with the smallest doc_id, nulls last. Of several texts under one id each is judged by its own group; where
+    one group holds more than one row of its smallest id, a hash of the row decides.
+    """
+    row, key = _free("row"), _free("gone")
+    keyed = docs.withColumn(row, _row_hash(docs))
+    groups = simhash_dedup.simhash_groups(keyed, row=row)
+    gone = materialize(groups.where("row <> first_row").select(F.col("row").alias(key)).distinct(), "near-copies")
+    repeated = groups.where("row = first_row").groupBy("row").count().where("count > 1")
+    once = keyed.dropDuplicates([row]) if repeated.limit(1).count() else keyed
+    return joined_small(once, gone, once[row] == F.col(key), "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

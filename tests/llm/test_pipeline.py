@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tests.llm.fixtures import empty_docs, odd_docs
+from tests.llm.fixtures import DOCS, empty_docs, odd_docs, plain_texts
 from tests.llm.test_pairs import components, fingerprint
 from tests.llm.test_repeats import expected
 from wattline.llm.common import table
@@ -37,6 +37,22 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*components(prints).values()})
 
 
+def test_rows_of_one_id_and_of_none_are_judged_one_by_one(spark):
+    docs = odd_docs(spark)
+    texts = plain_texts(48)
+    more = [(None, "alone without an id " + t, "en", "a", 1) for t in texts[:3]] + [(5, "other words " + texts[9], "fr", "b", 2)]
+    more += [(200, texts[9], "en", "a", 1), (200, "only under two hundred " + texts[13], "en", "a", 1), more[0]]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, DOCS))
+    rows = sorted({tuple(r) for r in docs.collect()}, key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+    root = components({i: fingerprint(r[1]) for i, r in enumerate(rows)})  # the first place of each group
+    kept = [tuple(r) for r in pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+    assert len(set(kept)) == len(kept)
+    groups = [root[rows.index(r)] for r in kept]
+    assert sorted(groups) == sorted({*root.values()})
+    assert all(r[0] == rows[g][0] for r, g in zip(kept, groups, strict=True))
+    assert sum(r[0] is None for r in kept) > 1 and sum(r[0] == 5 for r in kept) > 1 and sum(r[0] == 200 for r in kept) == 1
+
+
 def test_repeats_stage_removes_whole_characters(spark):
     docs = odd_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -47,12 +47,17 @@ def _majority(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: shingles are hashed by column functions, bits are counted in numpy batches."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, fp: shingles are hashed by column functions, bits are counted in numpy batches.
+
+    The column `row`, a string, is passed on between the two under the name row.
+    """
+    own = ["doc_id"] if row is None else ["doc_id", "row"]
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_array(lowered).alias("words"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(row).alias(x) for x in own[1:]],
+                        word_array(lowered).alias("words"))
     joined = ", ' ', ".join(["w", *[f"words[i + {k}]" for k in range(1, shingle)]])
-    hashed = words.select("doc_id", F.expr(
+    hashed = words.select(*own, F.expr(
         f"CASE WHEN size(words) = 0 THEN CAST(array() AS ARRAY<BIGINT>)"
         f" WHEN size(words) < {shingle} THEN array(xxhash64(array_join(words, ' ')))"
         f" ELSE transform(slice(words, 1, greatest(size(words) - {shingle - 1}, 0)), (w, i) -> xxhash64(concat({joined}))) END").alias("h"))
@@ -63,9 +68,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
             values = lists.flatten().to_numpy(zero_copy_only=False)
             out = [_majority(values[a:b]) if b > a else 0 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in own], pa.array(out, pa.int64())], names=[*own, "fp"])
 
-    return hashed.mapInArrow(count, "doc_id long, fp long")
+    return hashed.mapInArrow(count, "doc_id long, " + "row string, " * (row is not None) + "fp long")
 
 
 # range join -------------------------------------------------------------------------------------------------------------
@@ -128,12 +133,20 @@ def components(points: DataFrame, links: DataFrame) -> DataFrame:
         state = after.select("fp", "label")
 
 
-def simhash_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
-    prints = materialize(fingerprints(docs), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")), "fingerprint-points")
+def simhash_groups(docs: DataFrame, bits: int = BITS, row: str | None = None) -> DataFrame:
+    """doc_id, fp, component_id of every document.
+
+    With a column `row`, a string that tells rows apart, also row and first_row: the row of the component that comes
+    first by doc_id, null ids last, and then by `row`.
+    """
+    prints = materialize(fingerprints(docs, row=row), "fingerprints")
+    first = F.min("doc_id") if row is None else F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row"))
+    points = materialize(prints.groupBy("fp").agg(first.alias("lead")), "fingerprint-points")
     links = materialize(near_pairs(points, bits), "near-pairs")
     linked = components(points, links)
-    final = points.join(linked, "fp", "left").select(
-        "fp", F.coalesce("label", "lead").alias("component_id"))
-    return prints.join(materialize(final, "near-components"), "fp").select("doc_id", "fp", "component_id")
+    final = points.join(linked, "fp", "left").select("fp", F.coalesce("label", "lead").alias("lead"))
+    if row is None:
+        return prints.join(materialize(final.withColumnRenamed("lead", "component_id"), "near-components"), "fp").select(
+            "doc_id", "fp", "component_id")
+    final = final.select("fp", F.col("lead.doc_id").alias("component_id"), F.col("lead.row").alias("first_row"))
+    return prints.join(materialize(final, "near-components"), "fp").select("doc_id", "fp", "component_id", "row", "first_row")
