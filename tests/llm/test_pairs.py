@@ -72,6 +72,30 @@ def test_links_and_chains_of_fingerprints(spark):
     assert all(labels.get(f, signed[f]) == groups[signed[f]] for f in keys)
 
 
+def test_a_null_id_between_two_others_joins_them(spark):
+    rng = random.Random(8)
+    middle = rng.choices([f"w{i}" for i in range(900)], k=500)
+    own, sides = fingerprint(" ".join(middle)), []
+    while len(sides) < 2:
+        other = list(middle)
+        other[rng.randrange(500)] = f"x{rng.randrange(10 ** 6)}"
+        text = " ".join(other)
+        near = [(fingerprint(text) ^ fingerprint(x)).bit_count() for x in sides]
+        if 0 < (fingerprint(text) ^ own).bit_count() <= 3 and all(near):
+            sides.append(text)
+    rows = [(None, " ".join(middle)), (9, sides[0]), (4, sides[1]), (None, "far from these"), (7, "and this one too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.fp & (2 ** 64 - 1)): r.component_id for r in simhash_dedup.simhash_groups(docs).collect()}
+    assert got == {(d, fingerprint(t)): 4 if t in (rows[0][1], *sides) else d for d, t in rows}
+
+
+def test_null_leads_do_not_win_a_component(spark):
+    chain = [0, 7, 7 << 3 | 7, 511, 255 << 40, 254 << 40]  # the last two are a group of their own
+    points = spark.createDataFrame(list(zip(chain, [9, None, 4, 6, None, None], strict=True)), "fp long, lead long")
+    labels = {r.fp: r.label for r in simhash_dedup.components(points, simhash_dedup.near_pairs(points)).collect()}
+    assert labels == {**dict.fromkeys(chain[:4], 4), **dict.fromkeys(chain[4:], None)}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double, rank int")
 

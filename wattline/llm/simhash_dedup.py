@@ -113,14 +113,15 @@ def near_pairs(points: DataFrame, bits: int = BITS) -> DataFrame:
 # components -------------------------------------------------------------------------------------------------------------
 
 def components(points: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, label): the smallest `lead` of the points reachable over links (a, b); only linked points are listed.
+    """(fp, label): the smallest `lead` of the points reachable over links (a, b), null where all are null; only linked
+    points are listed.
 
     Each round takes the smallest label of the neighbours (combined before the shuffle) and then the label of the point
     that holds this label. Every round is written to the shared folder; the driver sees one number a round.
     """
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
     ids = both.select(F.col("a").alias("fp")).distinct()
-    state = materialize(points.join(ids, "fp").select("fp", F.struct("lead", "fp").alias("label")), "near-labels")
+    state = materialize(points.join(ids, "fp").select("fp", F.struct(F.col("lead").isNull().alias("missing"), "lead", "fp").alias("label")), "near-labels")
     while True:
         heard = both.join(state, both["a"] == state["fp"]).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("heard"))
         told = state.join(heard, state["fp"] == heard["to"]).select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
