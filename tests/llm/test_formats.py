@@ -185,6 +185,22 @@ def test_ids_are_those_of_the_tokenizer():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_in_texts_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = packing._default_path()
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["end <|endoftext|> next a<|startoftext|>b", "plain <|end", "oftext|> plain", "<|ENDOFTEXT|> É <|EndOfText|>x", "", "<|endoftext|>",
+             "Many words. <|startoftext|><|endoftext|>, it's 42", "a <|endoftext |> b", "end next a b"]
+    data = [t.encode() for t in texts]
+    got = packing.WordTokens(path).encode(np.frombuffer(b"".join(data), np.uint8), np.array([len(t) for t in data]))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in got] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs).collect()}
+    assert rows == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 # mixing ---------------------------------------------------------------------------------------------------------------
 
 def test_targets_are_met_to_the_word(spark):
