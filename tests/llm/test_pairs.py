@@ -124,6 +124,18 @@ def test_nearest_finds_nine_of_ten(spark):
     assert [r.vec_id for r in sorted(by[500], key=lambda r: r["rank"])] == [7, *range(501, 520)]
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(6)
+    rows = np.array([np.eye(24)[a] + np.eye(24)[b] for a in range(24) for b in range(a)])  # products are 0, 1 and 2
+    rows = rows[rng.permutation(len(rows))]
+    got = nearest.search(vectors(spark, [(i, r.tolist(), 0.0, 1) for i, r in enumerate(rows)]), F.col("vec_id") % 20 == 0, k=60, sure=1.0).collect()
+    for q in range(0, len(rows), 20):
+        score = rows @ rows[q]
+        score[q] = -math.inf
+        found = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        assert found == np.lexsort((np.arange(len(rows)), -score))[:60].tolist()
+
+
 def test_nearest_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0.0, 1), (1, [1.0, 0.0], 0.0, 1), (2, [0.0, 1.0], 0.0, 1), (3, None, 0.0, 1), (4, [0.0, 0.0], 0.0, 1),

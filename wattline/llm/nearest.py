@@ -157,7 +157,7 @@ def search_cell(space: Space, ids: np.ndarray, rows: np.ndarray, queries: np.nda
             scores = queries[who] @ rows[members].T
             all_scores = np.concatenate([best[who], scores], 1)
             all_ids = np.concatenate([best_id[who], np.broadcast_to(ids[members], scores.shape)], 1)
-            top = np.argsort(-all_scores, axis=1, kind="stable")[:, :keep]
+            top = np.lexsort((all_ids, -all_scores), axis=1)[:, :keep]  # ties go to the smaller id
             best[who] = np.take_along_axis(all_scores, top, 1)
             best_id[who] = np.take_along_axis(all_ids, top, 1)
     # what is below the bound cannot be among the best; the slack covers other orders of summation
