@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from wattline.llm import chat, mixing, quality_rules
+from wattline.llm import chat, divergence, mixing, quality_rules
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -115,3 +115,39 @@ held AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM
 judged AS (SELECT *, payload_bytes >= {least} AND lead IS NOT NULL AND lead IS DISTINCT FROM page_id AS again FROM held)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN again THEN lead END AS refers_to FROM judged"""
+
+
+def op11(least_docs: int = divergence.LEAST_DOCS, top: int = divergence.TOP) -> str:
+    """Every document is cut by itself, and shares of all sources and kept terms are laid out in full."""
+    share = "1 + CAST(1000000000 AS HUGEINT) * ({0} + 2) // ({1} + 2 * v)"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(body, '{divergence.TERM}')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS whole FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {least_docs}),
+l AS (SELECT lang, count(*) AS v, sum(whole) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (
+  SELECT s.lang, s.source, kept.term, coalesce(n, 0) AS n, {share.format("coalesce(n, 0)", "s.total")} AS p,
+         {share.format("whole", "l.total")} AS q
+  FROM s JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+more AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank
+  FROM every
+  UNION ALL
+  SELECT * FROM (
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank
+    FROM more) WHERE rank <= {top})
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import (
-    chat, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc,
+    chat, divergence, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc,
 )
 from wattline.llm.common import table
 
@@ -70,6 +70,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -81,10 +85,12 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 ORACLES = {
     "op1_quality_rules": oracles.op1(),
     "op2_chat_formatting": oracles.op2(),
     "op4_mixing": oracles.op4(),
     "op6_warc": oracles.op6(),
+    "op11_source_divergence": oracles.op11(),
 }
