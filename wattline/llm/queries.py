@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import (
-    chat, divergence, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc,
+    alignment, chat, divergence, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc,
 )
 from wattline.llm.common import table
 
@@ -74,6 +74,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
     "op1_quality_rules": oracles.op1(),
