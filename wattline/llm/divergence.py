@@ -1,18 +1,18 @@
 """How far sources are apart in the terms they use, by factorizing texts into chunks.
 
-A chunk is a run of characters without ASCII blanks. Chunks are counted per document and combined per group of language
-and source, each globally distinct chunk is cut into terms once, and its terms are joined back. Occurrences are then
-sums. The distinct documents of a term follow from those of its chunks: in a group they are at least the largest and at
-most the sum over its chunks, and groups share no documents. Where these bounds leave open whether a term is in enough
-documents, its documents are counted one by one: a second pass names the documents of just those chunks (a bit filter
-of bounded size spares the rest the shuffle, and a join decides), and distinct pairs of term and document are counted.
+A chunk is a run of characters without ASCII blanks. Chunks are counted per document and combined per language, each
+globally distinct chunk is cut into terms once, and its terms are joined back. The distinct documents of a term are at
+least the largest and at most the sum of those of its chunks, which drops the long tail of rare terms and leaves few terms
+open. A second pass counts the chunks of the remaining terms per language and source, those of open terms per document
+(bit filters of bounded size spare the others the shuffle, and a join decides); distinct pairs of open term and document
+are counted one by one, and occurrences are sums over chunks.
 
 Shares are whole numbers, a billion to one, smoothed by two for each kept term. Sources are compared in tiles of sources
 and terms: a tile is a dense block of shares in which an absent term has the group's share for no occurrence; terms that
 no source of a tile holds add the same amount each, and are added once by their number.
 
 Skew: a frequent chunk or a large source is combined in each task before the shuffle, and later there is one row for
-each group and chunk. Only the bit filter is broadcast.
+each group and chunk. Only the bit filters are broadcast.
 
 Defined results: null texts, languages and sources count as empty; every row is a document of its own, so that repeated rows
 and null or repeated ids count each; a language without kept terms has pairs of value 0 and no terms; an empty table has
@@ -61,19 +61,20 @@ def _chunked(batch: pa.RecordBatch):
         yield first, last, chunks, pairs // len(chunks), pairs % len(chunks), times
 
 
+def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def _count(batches):
     for batch in batches:
-        names = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], names=["lang", "source"])
-        group_of: dict[tuple[str, str], int] = {}
-        group = np.array([group_of.setdefault((r["lang"], r["source"]), len(group_of)) for r in names.to_pylist()], np.int64)
-        langs, sources = (pa.array([g[i] for g in group_of], pa.string()) for i in (0, 1))
+        lang, langs = _codes(batch.column("lang"))
         for first, _, chunks, doc, code, times in _chunked(batch):
-            keys, at = np.unique(group[first + doc] * len(chunks) + code, return_inverse=True)
-            which = pa.array(keys // len(chunks))
+            keys, at = np.unique(lang[first + doc] * len(chunks) + code, return_inverse=True)
             yield pa.RecordBatch.from_arrays([
-                langs.take(which), sources.take(which), chunks.take(pa.array(keys % len(chunks))),
+                langs.take(pa.array(keys // len(chunks))), chunks.take(pa.array(keys % len(chunks))),
                 pa.array(np.bincount(at, weights=times).astype(np.int64)), pa.array(np.bincount(at))],
-                names=["lang", "source", "chunk", "n", "docs"])
+                names=["lang", "chunk", "n", "docs"])
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -81,9 +82,9 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, n (occurrences), docs (documents with the chunk)."""
-    counted = _plain(docs).mapInArrow(_count, "lang string, source string, chunk string, n long, docs long")
-    return counted.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """lang, chunk, n (occurrences), docs (documents with the chunk)."""
+    counted = _plain(docs).mapInArrow(_count, "lang string, chunk string, n long, docs long")
+    return counted.groupBy("lang", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -93,46 +94,60 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return cut.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-# terms whose documents must be counted one by one -----------------------------------------------------------------------
-
-def _chunk_hashes(chunks: pa.Array) -> np.ndarray:
-    data = np.frombuffer("\n".join(chunks.to_pylist()).encode(), np.uint8)
-    sizes = pc.binary_length(chunks).to_numpy().astype(np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    return rolling.word_hashes(data, ends - sizes, ends)
-
+# the second pass --------------------------------------------------------------------------------------------------------
 
-def _with_lang(hashes: np.ndarray, langs: list[str]) -> np.ndarray:
-    codes = {lang: zlib.crc32(lang.encode()) for lang in set(langs)}
-    return rolling.mixed(hashes + rolling.mixed(np.array([codes[x] for x in langs], np.uint64)))
+def _hashes(chunks: pa.Array, lang: np.ndarray, langs: pa.Array) -> np.ndarray:
+    """A hash of each chunk together with its language."""
+    offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset:chunks.offset + len(chunks) + 1].astype(np.int64)
+    raw = chunks.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw else np.empty(0, np.uint8)
+    names = rolling.mixed(np.array([zlib.crc32(x.encode()) for x in langs.to_pylist()], np.uint64))
+    return rolling.mixed(rolling.word_hashes(data[offsets[0]:offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0]) + names[lang])
 
 
 def _hash_rows(batches):
     for batch in batches:
         if len(batch):
-            hashes = _with_lang(_chunk_hashes(batch.column("chunk")), batch.column("lang").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column("chunk"), *_codes(batch.column("lang"))).view(np.int64))], names=["hash"])
 
 
-def _documents_of(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """row, lang, chunk: the documents (numbered within their task) of the chunks asked for, and of a few others."""
-    hashes = materialize(chunks.mapInArrow(_hash_rows, "hash long").distinct(), "open-hashes")
-    shared = docs.sparkSession.sparkContext.broadcast(hash_filter(hashes, hashes.count()))
+def _filter_of(chunks: DataFrame):
+    hashes = materialize(chunks.mapInArrow(_hash_rows, "hash long").distinct(), "chunk-hashes")
+    return chunks.sparkSession.sparkContext.broadcast(hash_filter(hashes, hashes.count()))
+
+
+def group_counts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """lang, source, chunk, row, n: occurrences of the chunks in `named` (lang, chunk, open) and of a few others.
+
+    Those of open chunks are told apart by document: `row` numbers it, and is null for all others.
+    """
+    wanted = _filter_of(named.select("lang", "chunk").distinct())
+    single = _filter_of(named.where("open").select("lang", "chunk").distinct())
 
-    def find(batches):
+    def count(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for first, _, seen, doc, code, _ in _chunked(batch):
-                if shared.value is not None:
-                    hit = in_filter(_with_lang(_chunk_hashes(seen)[code], [langs[i] for i in (first + doc).tolist()]), shared.value)
-                    doc, code = doc[hit], code[hit]
+            (lang, langs), (source, sources) = _codes(batch.column("lang")), _codes(batch.column("source"))
+            for first, _, chunks, doc, code, times in _chunked(batch):
+                doc = first + doc
+                keys, at = np.unique(lang[doc] * len(chunks) + code, return_inverse=True)
+                hashes = _hashes(chunks.take(pa.array(keys % len(chunks))), keys // len(chunks), langs)
+                hit, alone = (np.ones(len(keys), bool) if x.value is None else in_filter(hashes, x.value) for x in (wanted, single))
+                keep, alone = hit[at], alone[at]
+                own, some = keep & alone, np.flatnonzero(keep & ~alone)
+                group, held = np.unique((lang[doc[some]] * len(sources) + source[doc[some]]) * len(chunks) + code[some], return_inverse=True)
+                which = group // len(chunks)
+                cells = [np.append(which // len(sources), lang[doc[own]]), np.append(which % len(sources), source[doc[own]]),
+                         np.append(group % len(chunks), code[own]), np.append(np.zeros(len(group), np.int64), row + doc[own])]
+                n = np.append(np.bincount(held, weights=times[some]).astype(np.int64), times[own])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row + first + doc), pa.array([langs[i] for i in (first + doc).tolist()], pa.string()),
-                    seen.take(pa.array(code))], names=["row", "lang", "chunk"])
+                    *[names.take(pa.array(c)) for names, c in zip((langs, sources, chunks), cells, strict=False)],
+                    pa.array(cells[3], pa.int64(), mask=np.arange(len(n)) < len(group)), pa.array(n, pa.int64())],
+                    names=["lang", "source", "chunk", "row", "n"])
             row += len(batch)
 
-    return _plain(docs).mapInArrow(find, "row long, lang string, chunk string")
+    counted = _plain(docs).mapInArrow(count, "lang string, source string, chunk string, row long, n long")
+    return counted.groupBy("lang", "source", "chunk", "row").agg(F.sum("n").alias("n"))
 
 
 # statistics -------------------------------------------------------------------------------------------------------------
@@ -142,23 +157,22 @@ def term_statistics(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[Data
 
     A term is kept in a language if at least `least_docs` of its documents hold it.
     """
-    used = materialize(chunk_counts(docs), "chunk-counts")
-    terms = materialize(chunk_terms(used), "chunk-terms")
-    held = materialize(used.join(terms, "chunk").groupBy("lang", "source", "term").agg(
-        F.sum(F.col("n") * F.col("times")).alias("count"), F.max("docs").alias("least"), F.sum("docs").alias("most")), "group-terms")
-    bounds = materialize(held.groupBy("lang", "term").agg(
-        F.sum("count").alias("count"), F.sum("least").alias("least"), F.sum("most").alias("most")).where(F.col("most") >= least_docs),
-        "term-bounds")
-    undecided = bounds.where(F.col("least") < least_docs).select("lang", "term")
-    asked = materialize(used.select("lang", "chunk").distinct().join(terms, "chunk").join(undecided, ["lang", "term"]).select(
-        "lang", "chunk", "term"), "open-chunks")
-    enough = _documents_of(docs, asked.select("lang", "chunk").distinct()).join(asked, ["lang", "chunk"]).select(
-        "lang", "term", "row").distinct().groupBy("lang", "term").count().where(F.col("count") >= least_docs)
-    sure = bounds.where(F.col("least") >= least_docs).select("lang", "term", "count")
-    found = bounds.join(enough.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "term", "count")
-    kept = materialize(sure.unionByName(found), "kept-terms")
-    groups = held.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "count")
-    return materialize(groups, "kept-group-terms"), kept
+    chunks = materialize(chunk_counts(docs), "chunk-counts")
+    cut = materialize(chunks.join(chunk_terms(chunks), "chunk"), "chunk-terms")
+    bounds = materialize(cut.groupBy("lang", "term").agg(
+        F.sum(F.col("n") * F.col("times")).alias("count"), F.max("docs").alias("least"), F.sum("docs").alias("most")).where(
+        F.col("most") >= least_docs), "term-bounds")
+    named = materialize(cut.select("lang", "chunk", "term", "times").join(bounds, ["lang", "term"]).select(
+        "lang", "chunk", "term", "times", (F.col("least") < least_docs).alias("open")), "named-chunks")
+    counted = materialize(group_counts(docs, named), "group-chunks")
+    enough = counted.where("row IS NOT NULL").join(named.where("open"), ["lang", "chunk"]).select("lang", "term", "row").distinct().groupBy(
+        "lang", "term").count().where(F.col("count") >= least_docs).select("lang", "term")
+    sure = bounds.where(F.col("least") >= least_docs)
+    found = bounds.join(enough, ["lang", "term"], "left_semi")
+    kept = materialize(sure.unionByName(found).select("lang", "term", "count"), "kept-terms")
+    groups = counted.join(named.join(kept.select("lang", "term"), ["lang", "term"]), ["lang", "chunk"]).groupBy("lang", "source", "term").agg(
+        F.sum(F.col("n") * F.col("times")).alias("count"))
+    return materialize(groups, "group-terms"), kept
 
 
 def _share(count: str, total: str, kept: str):
