@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import (
-    alignment, chat, divergence, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, warc,
+    alignment, chat, divergence, minhash_dedup, mixing, nearest, oracles, packing, quality_classifier, quality_rules, simhash_dedup,
+    substring_dedup, suffix_dedup, warc,
 )
 from wattline.llm.common import table
 
@@ -74,6 +75,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
 
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.minhash_groups(table(spark, folder, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.alignment(table(spark, folder, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_minhash": op12_minhash,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
