@@ -107,12 +107,17 @@ sc AS (
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Readings with fixed stand-ins for the model outputs, so read models can be checked exactly."""
-    from wattline.functions import labels, temporal
     from wattline.operators.quantile import quantiles
     from wattline.sources.readings import readings
 
     table = readings(spark, folder)
-    high = quantiles(table, {"q": ("consumption_kwh", 0.85)}).scalar()
+    return score_rows(table, quantiles(table, {"q": ("consumption_kwh", 0.85)}).scalar())
+
+
+def score_rows(table: DataFrame, high) -> DataFrame:
+    """The stand-ins for the model outputs of each reading; ``high`` is the consumption from which a reading counts as high."""
+    from wattline.functions import labels, temporal
+
     names = ["very efficient", "efficient", "moderate", "inefficient", "unknown"]
     label = F.get(F.array(*[F.lit(n) for n in names]), (F.col("series_id") % 5).cast("int"))
     points = labels.health_points(F.col("consumption_kwh"), high, F.col("voltage"), F.col("temperature"))

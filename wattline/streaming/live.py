@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+import threading
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from wattline.sources.readings import ROW, SERIES, TS
 
@@ -41,42 +44,172 @@ def drop_repeats(stream: DataFrame, late: str = "2 hours", keys: Sequence[str] =
     return stream.withWatermark(TS, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-class _Cooldown(StatefulProcessor):
-    """State per key: when it last fired. Rows of a batch are taken in time order."""
+class _InOrder(StatefulProcessor):
+    """Rows wait in the state of their key until the watermark has passed them, and are then released in time order.
 
-    def __init__(self, gap: int, keys: list[str], columns: list[str], row: str):
-        self.gap, self.keys, self.columns, self.row = gap, keys, columns, row
+    Every chunk of new rows is reduced to few before it is stored, so that state grows with the different times within the
+    allowed lateness and not with the rows. `kept` is one value per key; a key that has nothing to wait for and nothing to
+    remember has no state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, row binary")
+        self.kept = handle.getValueState("kept", "value binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", self.row])
-        times = batch["event_us"].to_numpy()
-        place = int(times.searchsorted(self.last.get()[0] + self.gap)) if self.last.exists() else 0
-        kept = []
-        while place < len(times):
-            kept.append(place)
-            place = int(times.searchsorted(times[place] + self.gap))
-        if kept:
-            self.last.update((int(times[kept[-1]]),))
-        yield batch.iloc[kept][self.columns]
+        first = None
+        for frame in rows:
+            found = self.reduced(frame)
+            if found:
+                self.waiting.appendList([(us, pickle.dumps(row)) for us, row in found])
+                first = min([us for us, _ in found] + ([] if first is None else [first]))
+        if first is not None:
+            self._wake(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        found = sorted(self.waiting.get(), key=lambda x: x[0]) if self.waiting.exists() else []
+        ready, rest = [x for x in found if x[0] < passed], [x for x in found if x[0] >= passed]
+        if len(rest) < len(found):
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        kept = pickle.loads(self.kept.get()[0]) if self.kept.exists() else None
+        out, kept, until = self.released(key, [(us, pickle.loads(row)) for us, row in ready], kept, passed)
+        self.kept.update((pickle.dumps(kept),)) if kept is not None else self.kept.clear()
+        if rest:
+            self._wake(rest[0][0])
+        elif kept is not None and until is not None:
+            self._wake(until)
+        if out is not None and len(out):
+            yield out
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(int(us) // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
-def cooldown_stream(alerts: DataFrame, seconds: float = 300, keys: Sequence[str] = (SERIES, "rule"), row: str = ROW) -> DataFrame:
-    """Streaming form of the batch cooldown, for alerts that arrive in time order across batches.
+class _Cooldown(_InOrder):
+    """Remembers when a key last fired, until its quiet time is over."""
+
+    def __init__(self, gap: int, columns: list[str], row: str):
+        self.gap, self.columns, self.row = gap, columns, row
+
+    def reduced(self, frame: pd.DataFrame) -> list:
+        first = frame.sort_values(["event_us", self.row]).drop_duplicates("event_us")
+        return list(zip(first["event_us"].tolist(), first[self.columns].itertuples(index=False, name=None), strict=True))
+
+    def released(self, key, ready: list, last: int | None, passed: int) -> tuple:
+        place, kept = self.columns.index(self.row), []
+        for us, row in sorted(ready, key=lambda x: (x[0], x[1][place])):
+            if last is None or us >= last + self.gap:
+                kept.append(row)
+                last = us
+        if last is not None and last + self.gap <= passed:
+            last = None
+        return pd.DataFrame(kept, columns=self.columns), last, None if last is None else last + self.gap
+
 
-    Needs the RocksDB state store; one long per key is kept.
+def cooldown_stream(alerts: DataFrame, seconds: float = 300, keys: Sequence[str] = (SERIES, "rule"), row: str = ROW,
+                    late: str = "2 hours") -> DataFrame:
+    """Streaming form of the batch cooldown. Alerts may come in any order within the allowed lateness.
+
+    Needs the RocksDB state store. An alert is decided when the watermark has passed it.
     """
     keys, columns = list(keys), list(alerts.columns)
-    timed = alerts.withColumn("event_us", F.unix_micros(TS))
+    timed = alerts.withWatermark(TS, late).withColumn("event_us", F.unix_micros(TS))
     schema = T.StructType([alerts.schema[c] for c in columns])
     return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Cooldown(int(seconds * 1_000_000), keys, columns, row), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=_Cooldown(int(seconds * 1_000_000), columns, row), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime")
+
+
+class _Grid(_InOrder):
+    """Sums per bin wait; a bin released after another one brings the empty bins between them, with the last values."""
+
+    def __init__(self, every: int, keys: list[str], columns: list[str]):
+        self.every, self.keys, self.columns = every, keys, columns
+
+    def reduced(self, frame: pd.DataFrame) -> list:
+        bins = frame["event_us"] // self.every
+        sums, counts = (frame[self.columns].astype("float64").groupby(bins).agg(how) for how in ("sum", "count"))
+        # a bin is ready when the watermark has passed its end
+        return [((int(n) + 1) * self.every - 1, (int(n), s, c)) for n, s, c in zip(
+            sums.index, sums.to_numpy().tolist(), counts.to_numpy().tolist(), strict=True)]
+
+    def released(self, key, ready: list, kept: tuple | None, passed: int) -> tuple:
+        bins: dict[int, np.ndarray] = {}
+        for _, (n, sums, counts) in ready:
+            bins[n] = bins.get(n, 0) + np.array([sums, counts])
+        last, values = kept or (None, [None] * len(self.columns))
+        out = []
+        for n in sorted(bins):
+            out += [(*key, gap, *values) for gap in range(last + 1, n)] if last is not None else []
+            sums, counts = bins[n]
+            values = [float(s / c) if c else v for s, c, v in zip(sums, counts, values, strict=True)]
+            out.append((*key, n, *values))
+            last = n
+        frame = pd.DataFrame(out, columns=[*self.keys, TS, *self.columns])
+        frame[TS] = pd.to_datetime(frame[TS] * self.every, unit="us")
+        return frame, (None if last is None else (last, values)), None
+
+
+def grid_stream(stream: DataFrame, columns: Sequence[str], seconds: int = 3600, late: str = "2 hours",
+                keys: Sequence[str] = (SERIES,)) -> DataFrame:
+    """Streaming form of the batch resample: every bin between a key's first and last one, empty bins filled forward.
+
+    A bin is emitted when the watermark has passed its end, empty ones with the next bin that has rows. Rows may come in any
+    order within the allowed lateness. Needs the RocksDB state store; one bin and its values are remembered for each key.
+    """
+    keys, columns = list(keys), list(columns)
+    timed = stream.withWatermark(TS, late).select(*keys, TS, F.unix_micros(TS).alias("event_us"), *columns)
+    schema = T.StructType([*[stream.schema[k] for k in keys], T.StructField(TS, T.TimestampType()),
+                           *[T.StructField(c, T.DoubleType()) for c in columns]])
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Grid(seconds * 1_000_000, keys, columns), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class Counters(StreamingQueryListener):
+    """Rows read, rows dropped as late, and observed metrics of every query, summed over all its batches.
+
+    The listener sees every batch, where the progress that a query remembers is a list of bounded length.
+    """
+
+    def __init__(self):
+        self.totals: dict[str, dict[str, int]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _of(self, query_id) -> dict[str, int]:
+        return self.totals.setdefault(str(query_id), {"rows_in": 0, "rows_late": 0})
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event) -> None:
+        progress, total = event.progress, self._of(event.progress.id)
+        total["rows_in"] += progress.numInputRows
+        total["rows_late"] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        for metrics in progress.observedMetrics.values():
+            for name, value in metrics.asDict().items():
+                total[name] = total.get(name, 0) + (value or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> dict[str, int]:
+        """Totals of a query that has ended; events arrive a little after it."""
+        self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds)
+        return self._of(query.id)
+
+
+def observed(stream: DataFrame, name: str = "input", **metrics) -> DataFrame:
+    """The stream with counted conditions, which the listener adds up."""
+    return stream.observe(name, *[F.count_if(condition).alias(metric) for metric, condition in metrics.items()])
 
 
 def write_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -87,10 +220,14 @@ def write_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were dropped, over the batches still remembered."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0))
-               for progress in query.recentProgress for op in progress["stateOperators"])
+def run_counted(stream: DataFrame, out: str, checkpoint: str) -> dict[str, int]:
+    """Like :func:`write_once`, with the totals of the run: rows read, late rows, observed metrics."""
+    counters, streams = Counters(), stream.sparkSession.streams
+    streams.addListener(counters)
+    try:
+        return counters.of(write_once(stream, out, checkpoint))
+    finally:
+        streams.removeListener(counters)
 
 
 STATUS_SCHEMA = ("batch_id bigint, pipeline_status string, error_code string, rows_in bigint, rows_processed bigint, "
@@ -132,6 +269,103 @@ def process_batches(stream: DataFrame, cycle: Callable[[DataFrame], tuple[DataFr
     return query
 
 
+class OpenWindow:
+    """Tables that a cycle carries from one micro-batch to the next, one version per batch id.
+
+    `open` holds rows that later batches may still precede, `last` the last known values of each series, `fired` the last
+    alert of each key. A batch reads the version before its own and overwrites its own, so that it can be repeated.
+    """
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.path = spark, f"{out}/carried"
+
+    def _folder(self, name: str, batch_id: int) -> str:
+        return f"{self.path}/{name}/version={batch_id}"
+
+    def read(self, name: str, batch_id: int, schema: T.StructType) -> DataFrame:
+        if batch_id < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._folder(name, batch_id))
+
+    def write(self, name: str, batch_id: int, table: DataFrame) -> None:
+        table.write.mode("overwrite").parquet(self._folder(name, batch_id))
+
+
+def live_cycle(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, columns: Sequence[str],
+               settings: Mapping | None = None, late_seconds: int = 7200, cooldown_seconds: float = 300) -> StreamingQuery:
+    """Clean, score and alert over micro-batches with the rows of one batch run over all of them.
+
+    Rows wait in the open window until no allowed row can precede them. They are then cleaned (first row per time, values
+    carried forward, over batches too), scored, turned into alerts, and alerts pass the cooldown together with the last one
+    of their key. Rows behind the closed time are late: counted in the status and dropped. What is still open after the
+    last batch is worked on by :func:`finish_cycle`.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        _cycle(batch, batch_id, score, out, list(columns), settings, late_seconds, cooldown_seconds)
+
+    query = (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
+def finish_cycle(spark: SparkSession, schema: T.StructType, score, out: str, columns: Sequence[str], settings: Mapping | None = None,
+                 cooldown_seconds: float = 300) -> None:
+    """Close the open window when no more rows will come."""
+    batches = spark.read.parquet(f"{out}/status").agg(F.max("batch_id")).first()[0]
+    _cycle(spark.createDataFrame([], schema), batches + 1, score, out, list(columns), settings, None, cooldown_seconds)
+
+
+CYCLE_STATUS = "batch_id bigint, rows_in bigint, rows_late bigint, rows_processed bigint, alerts bigint, closed_us bigint"
+
+
+def _cycle(batch: DataFrame, batch_id: int, score, out: str, columns: list[str], settings, late_seconds: int | None,
+           cooldown_seconds: float) -> None:
+    from wattline.operators import rules
+    from wattline.operators.clean import fill_gaps, first_per_time
+    from wattline.operators.cooldown import apply_cooldown
+
+    spark, carried = batch.sparkSession, OpenWindow(batch.sparkSession, out)
+    before = spark.read.schema(CYCLE_STATUS).parquet(f"{out}/status/part={batch_id - 1}").first() if batch_id else None
+    closed = before["closed_us"] if before else -(1 << 62)
+    us, batch = F.unix_micros(TS), batch.persist()
+    try:
+        counts = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(us < closed).alias("late"), F.max(us).alias("newest")).first()
+        until = 1 << 62 if late_seconds is None else max(closed, (counts["newest"] or closed) - late_seconds * 1_000_000)
+        rows = carried.read("open", batch_id - 1, batch.schema).unionByName(batch.where(us >= closed))
+        carried.write("open", batch_id, rows.where(us >= until))
+
+        flagged = T.StructType([*batch.schema.fields, T.StructField("_carried", T.BooleanType())])
+        last = carried.read("last", batch_id - 1, flagged)
+        filled = fill_gaps(last.unionByName(first_per_time(rows.where(us < until)).withColumn("_carried", F.lit(False))), columns, backward=False)
+        carried.write("cleaned", batch_id, filled)
+        filled = carried.read("cleaned", batch_id, flagged)
+        rest = [c for c in batch.columns if c != SERIES]
+        newest = filled.groupBy(SERIES).agg(F.max_by(F.struct(*rest), F.struct(TS, ROW)).alias("_r")).select(SERIES, "_r.*")
+        carried.write("last", batch_id, newest.select(*batch.columns, F.lit(True).alias("_carried")))
+
+        predictions = score(filled.where("NOT _carried").drop("_carried"))
+        predictions.write.mode("overwrite").parquet(f"{out}/predictions/batch_id={batch_id}")
+        predictions = spark.read.schema(predictions.schema).parquet(f"{out}/predictions/batch_id={batch_id}")
+        alerts = rules.alerts(predictions, settings, with_data=False)
+        kept = T.StructType([*alerts.schema.fields, T.StructField("_carried", T.BooleanType())])
+        fired = apply_cooldown(carried.read("fired", batch_id - 1, kept).unionByName(alerts.withColumn("_carried", F.lit(False))), cooldown_seconds)
+        carried.write("alerts", batch_id, fired)
+        fired = carried.read("alerts", batch_id, kept)
+        rest = [c for c in alerts.columns if c not in (SERIES, "rule")]
+        latest = fired.groupBy(SERIES, "rule").agg(F.max_by(F.struct(*rest), TS).alias("_r")).select(SERIES, "rule", "_r.*")
+        # a key whose quiet time is over has nothing to carry
+        latest = latest.where(F.unix_micros(TS) + int(cooldown_seconds * 1_000_000) > until)
+        carried.write("fired", batch_id, latest.select(*alerts.columns, F.lit(True).alias("_carried")))
+        fired.where("NOT _carried").drop("_carried").write.mode("overwrite").parquet(f"{out}/alerts/batch_id={batch_id}")
+
+        done = spark.read.parquet(f"{out}/predictions/batch_id={batch_id}").count()
+        sent = spark.read.parquet(f"{out}/alerts/batch_id={batch_id}").count()
+        line = (batch_id, counts["rows"], counts["late"], done, sent, until)
+        spark.createDataFrame([line], CYCLE_STATUS).coalesce(1).write.mode("overwrite").parquet(f"{out}/status/part={batch_id}")
+    finally:
+        batch.unpersist()
+
+
 def sync_status(spark: SparkSession, out: str) -> DataFrame:
     """One row per processed batch, with the running count of completed ones."""
     from wattline.operators.ordered import arrange
