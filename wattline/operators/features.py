@@ -17,24 +17,61 @@ LAGS = (1, 2, 3, 6, 12, 24)
 WINDOWS = (6, 12, 24, 48)
 
 
-def _full_window(make, column: str, size: int, include_current: bool):
-    def build(window: WindowSpec) -> Column:
-        frame = window.rowsBetween(1 - size, 0) if include_current else window.rowsBetween(-size, -1)
-        return F.when(F.count(column).over(frame) == size, make(column).over(frame))
-    return build
-
-
 def lag_columns(target: str, lags: Sequence[int] = LAGS) -> dict:
     return {f"{target}_lag_{n}h": (lambda w, n=n: F.lag(target, n).over(w)) for n in lags}
 
 
-def rolling_columns(target: str, sizes: Sequence[int] = WINDOWS, include_current: bool = True) -> dict:
-    """Mean, sample deviation and maximum; null until the window is full."""
-    made = {}
+def _joined_window(size: int, left: int) -> dict:
+    """Count, sum, squared deviations and maximum over ``size`` rows: those over the last ``left`` rows joined with those
+    over the ``size - left`` rows before them."""
+    right = size - left
+
+    def before(name):
+        return lambda w: F.lag(f"_{name}_{right}", left).over(w)
+
+    def deviations(w):
+        n, m = F.lit(float(left)), F.lit(float(right))
+        apart = F.col(f"_s_{left}") / n - before("s")(w) / m
+        return F.col(f"_d_{left}") + before("d")(w) + apart * apart * (n * m / (n + m))
+
+    return {
+        f"_n_{size}": lambda w: F.col(f"_n_{left}") + F.coalesce(before("n")(w), F.lit(0)),
+        f"_s_{size}": lambda w: F.col(f"_s_{left}") + before("s")(w),
+        f"_d_{size}": deviations,
+        f"_x_{size}": lambda w: F.greatest(F.col(f"_x_{left}"), before("x")(w)),
+    }
+
+
+def _halves(size: int) -> tuple[int, int]:
+    return (size // 2, size // 2) if size % 2 == 0 else (size - 1, 1)
+
+
+def rolling_steps(target: str, sizes: Sequence[int] = WINDOWS, include_current: bool = True) -> tuple[list[dict], list[str]]:
+    """Steps for :meth:`Ordered.near` and their helper columns: mean, sample deviation and maximum, null until the window is full.
+
+    A window is joined from two halves, one shifted behind the other, so that a row costs a few shifts for each doubling
+    however wide the windows are. Deviations are joined from those of the halves, which keeps them exact where values repeat.
+    """
+    needed, todo = {1}, list(sizes)
+    while todo:
+        size = todo.pop()
+        if size not in needed:
+            needed.add(size)
+            todo += _halves(size)
+    value = (lambda w: F.col(target)) if include_current else (lambda w: F.lag(target, 1).over(w))
+    first = {
+        "_n_1": lambda w: value(w).isNotNull().cast("int"), "_s_1": lambda w: F.coalesce(value(w).cast("double"), F.lit(0.0)),
+        "_d_1": lambda w: F.lit(0.0), "_x_1": value,
+    }
+    steps = [first, *[_joined_window(size, _halves(size)[0]) for size in sorted(needed - {1})]]
+    last = {}
     for size in sizes:
-        for short, fn in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max)):
-            made[f"{target}_roll_{short}_{size}h"] = _full_window(fn, target, size, include_current)
-    return made
+        full = F.col(f"_n_{size}") == size
+        for short, made in (("mean", F.col(f"_s_{size}") / size),
+                            ("std", F.sqrt(F.col(f"_d_{size}") / (size - 1)) if size > 1 else F.lit(None).cast("double")),
+                            ("max", F.col(f"_x_{size}"))):
+            last[f"{target}_roll_{short}_{size}h"] = lambda w, full=full, made=made: F.when(full, made)
+    return [*steps, last], [f"_{name}_{size}" for size in sorted(needed) for name in "nsdx"]
 
 
 def add_lags(df: DataFrame, target: str = "consumption_kwh", lags: Sequence[int] = LAGS,
@@ -45,16 +82,16 @@ def add_lags(df: DataFrame, target: str = "consumption_kwh", lags: Sequence[int]
 def add_rolling(df: DataFrame, target: str = "consumption_kwh", sizes: Sequence[int] = WINDOWS,
                 keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,),
                 include_current: bool = True, longest: int | None = None) -> DataFrame:
-    return arrange(df, keys, order, longest=longest).near(
-        rolling_columns(target, sizes, include_current), back=max(sizes)
-    )
+    steps, helpers = rolling_steps(target, sizes, include_current)
+    return arrange(df, keys, order, longest=longest).near(steps, back=max(sizes), drop=helpers)
 
 
 def add_lags_and_rolling(df: DataFrame, target: str = "consumption_kwh", keys: Sequence[str] = (SERIES,),
                          order: Sequence[str] = (TS,), longest: int | None = None) -> DataFrame:
     """Both families over one shuffle and one sort."""
+    steps, helpers = rolling_steps(target)
     return arrange(df, keys, order, longest=longest).near(
-        lag_columns(target) | rolling_columns(target), back=max(*LAGS, *WINDOWS)
+        [lag_columns(target) | steps[0], *steps[1:]], back=max(*LAGS, *WINDOWS), drop=helpers
     )
 
 

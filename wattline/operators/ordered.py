@@ -73,14 +73,23 @@ class Ordered:
         sizes = sizes.withColumn(total, F.sum("_rows_here").over(_partition_by(self.keys))).drop("_rows_here")
         return self._clean(pieces.join(sizes, [*self.keys, _CUT]).withColumn(position, F.col(_POS)))
 
-    def near(self, columns: dict[str, callable], back: int = 0, ahead: int = 0) -> DataFrame:
+    def near(self, columns: dict[str, callable] | Sequence[dict[str, callable]], back: int = 0, ahead: int = 0,
+             drop: Sequence[str] = ()) -> DataFrame:
         """Add window columns that reach at most ``back``/``ahead`` rows away.
 
-        ``columns`` maps a name to a function from an ordered WindowSpec to a Column.
+        ``columns`` maps a name to a function from an ordered WindowSpec to a Column. Of several
+        such maps the later ones may use the columns of the earlier ones; all of them together reach
+        no further than ``back``/``ahead``. Columns in ``drop`` are left out in the end.
         """
+        steps = [columns] if isinstance(columns, dict) else list(columns)
+
+        def added(df: DataFrame, window: WindowSpec) -> DataFrame:
+            for step in steps:
+                df = df.withColumns({n: make(window) for n, make in step.items()})
+            return df.drop(*drop)
+
         if not self.is_cut:
-            window = self._whole()
-            return self.df.withColumns({n: make(window) for n, make in columns.items()})
+            return added(self.df, self._whole())
         if max(back, ahead) > self.piece:
             raise ValueError("a piece must hold at least as many rows as the window reaches")
         here, size = self._cut_of(), F.lit(self.piece)
@@ -91,8 +100,7 @@ class Ordered:
         )
         spread = self.df.withColumn(_CUT, F.explode(F.array_compact(places)))
         spread = spread.withColumn(_CORE, F.col(_CUT) == here)
-        window = Window.partitionBy(*self.keys, _CUT).orderBy(_POS)
-        done = spread.withColumns({n: make(window) for n, make in columns.items()})
+        done = added(spread, Window.partitionBy(*self.keys, _CUT).orderBy(_POS))
         return self._clean(done.filter(_CORE))
 
     def running(self, columns: dict[str, tuple[str, str]]) -> DataFrame:
