@@ -7,6 +7,8 @@ import random
 import time
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +165,57 @@ def fitted_backtest(df: DataFrame, fit: Callable[[DataFrame], Callable[[DataFram
     return result
 
 
+def linear_backtest(df: DataFrame, features: Sequence[str], start: int = 720, horizon: int = 24, step: int = 24,
+                    keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,), target: str = KWH, name: str = "linear") -> DataFrame:
+    """Least squares refitted for every fold on the rows before it, of all keys, in one job however many folds there are.
+
+    A row is in the training part of every fold that starts behind it, so the products that least squares needs (of all
+    features, the target and a one) are summed once by the first such fold and then accumulated over folds. The fits are
+    small systems, one row per fold, solved in tasks; a row is tested in the folds whose horizon covers it. Rows with a
+    null in a feature or the target take no part in a fit, and none are tested.
+    """
+    features, keys = list(features), list(keys)
+    placed = materialize(arrange(df.select(*keys, *order, *features, target), keys, order).with_position_and_total("_p", "_n"), "backtest")
+    known = placed.na.drop("any", subset=[*features, target])
+    shift = known.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in (*features, target)]).select(F.struct("*")).scalar()
+    cells = [F.lit(1.0), *[F.col(c) - shift[c] for c in (*features, target)]]
+    size = len(cells)
+    products = [F.sum(cells[i] * cells[j]).alias(f"_g{i}_{j}") for i in range(size) for j in range(i, size)]
+    first_fold = F.greatest(F.lit(0), F.ceil((F.col("_p") + 1 - start) / step)).cast("bigint")
+    sums = known.groupBy(first_fold.alias("fold")).agg(*products)
+    names = [p for p in sums.columns if p != "fold"]
+    origins = placed.agg(F.max("_n").alias("_n")).where(F.col("_n") - horizon > start).select(F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("_n") - horizon - 1 - start) / step))).alias("fold"))
+    summed = arrange(origins.join(sums, "fold", "left").na.fill(0.0, names), [], ["fold"]).running({f"_r{n}": ("sum", n) for n in names})
+    centre = summed.withColumn("_shift", F.array(*[shift[c] for c in (*features, target)]))
+
+    def solve(frames):
+        for frame in frames:
+            fits = []
+            for row in frame.itertuples(index=False):
+                gram = np.zeros((size, size))
+                for n in names:
+                    i, j = map(int, n[2:].split("_"))
+                    gram[i, j] = gram[j, i] = getattr(row, f"m{n}")
+                solved = np.linalg.lstsq(gram[:-1, :-1], gram[:-1, -1], rcond=None)[0] if gram[0, 0] else np.full(size - 1, np.nan)
+                centres = np.asarray(row.shift, float)
+                fits.append([float(solved[0] + centres[-1] - solved[1:] @ centres[:-1]), *map(float, solved[1:])])
+            yield pd.DataFrame({"fold": frame["fold"], "_fit": fits})
+
+    renamed = centre.select("fold", *[F.col(f"_r{n}").alias(f"m{n}") for n in names], F.col("_shift").alias("shift"))
+    fits = renamed.mapInPandas(solve, "fold bigint, _fit array<double>")
+    last = F.floor((F.col("_p") - start) / step)
+    earliest = F.greatest(F.lit(0), F.floor((F.col("_p") - start - horizon) / step) + 1)
+    tested = placed.where(F.col("_p") >= start).withColumn("fold", F.explode(F.when(last >= earliest, F.sequence(earliest, last))))
+    tested = tested.withColumn("step", F.col("_p") - start - F.col("fold") * step).where(
+        F.col("_n") - horizon > start + F.col("fold") * step).na.drop("any", subset=[*features, target])
+    predicted = F.col("_fit")[0]
+    for i, c in enumerate(features, 1):
+        predicted = predicted + F.col("_fit")[i] * F.col(c)
+    return tested.join(fits, "fold").select(
+        *keys, "fold", *order, "step", F.col(target).alias("actual"), F.lit(name).alias("model"), predicted.alias("predicted"))
+
+
 def horizon_report(df: DataFrame, horizons: Sequence[int] = (6, 12, 24, 48), start: int = 720, step: int = 24,
                    keys: Sequence[str] = (SERIES,), order: Sequence[str] = (TS,)) -> DataFrame:
     """Forecast metrics per (horizon, model), over the folds of that horizon."""

@@ -501,6 +501,40 @@ def _(spark, folder):
     return lifecycle.fitted_backtest(table, fit, 480, 24, 96)
 
 
+_LAGGED = f"""{RESAMPLED},
+lg AS (SELECT series_id, ts, consumption_kwh AS y, lag(consumption_kwh, 1) OVER w AS x1, lag(consumption_kwh, 24) OVER w AS x2,
+  row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY series_id) AS n FROM rs WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+kn AS (SELECT * FROM lg WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+fo AS (SELECT f, 480 + f * 24 AS o FROM (SELECT unnest(range(0, 1000)) AS f) WHERE 480 + f * 24 < (SELECT max(n) FROM lg) - 24)"""
+
+
+@query("L15_refitted_one_lag", f"""
+WITH {_LAGGED}, k1 AS (SELECT * FROM lg WHERE y IS NOT NULL AND x1 IS NOT NULL),
+ft AS (SELECT f, o, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM fo JOIN k1 ON p < o GROUP BY 1, 2)
+SELECT series_id, f AS fold, ts, p - o AS step, y AS actual, 'linear' AS model, a + b * x1 AS predicted
+FROM ft JOIN k1 ON p >= o AND p < o + 24 WHERE n - 24 > o
+""", floats="actual predicted", ints="fold step", times="ts", digits=3)
+def _(spark, folder):
+    """Every fold refitted on all rows before it."""
+    return lifecycle.linear_backtest(_lagged(spark, folder), ["consumption_kwh_lag_1h"], 480)
+
+
+@query("L15_refitted_two_lags", f"""
+WITH {_LAGGED},
+cv AS (SELECT f, o, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+  covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM fo JOIN kn ON p < o GROUP BY 1, 2),
+ft AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM cv)
+SELECT series_id, f AS fold, ts, p - o AS step, y AS actual, 'linear' AS model, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+FROM ft JOIN kn ON p >= o AND p < o + 24 WHERE n - 24 > o
+""", floats="actual predicted", ints="fold step", times="ts", digits=3)
+def _(spark, folder):
+    return lifecycle.linear_backtest(_lagged(spark, folder), ["consumption_kwh_lag_1h", "consumption_kwh_lag_24h"], 480)
+
+
+def _lagged(spark, folder):
+    return features.add_lags(clean.resample(readings(spark, folder), 3600, columns=[KWH]), lags=(1, 24))
+
+
 _HORIZONS = f"""{_POSITIONS}, {', '.join(_backtest_sql(h, name=f'b{h}') for h in (6, 24))},
 ev AS (SELECT 6 AS horizon, * FROM b6 UNION ALL SELECT 24, * FROM b24),
 dd AS (SELECT *, sign(actual - lag(actual) OVER w) AS dy, sign(predicted - lag(predicted) OVER w) AS dp FROM ev WINDOW w AS (PARTITION BY horizon, model ORDER BY fold, step)),
