@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wattline.operators.ordered import arrange, largest_group
 from wattline.operators.quantile import quantiles
-from wattline.session import rows_per_task
+from wattline.session import materialize, rows_per_task
 from wattline.sources.readings import REQUIRED_COLUMNS, ROW, SERIES, TS
 
 # Thresholds of the validation rules.
@@ -73,14 +73,20 @@ def frequency_label(seconds: Column) -> Column:
     )
 
 
-def intervals(df: DataFrame, keys: Sequence[str] = (), ts: str = TS) -> DataFrame:
+def rows_per_time(df: DataFrame, keys: Sequence[str] = (), ts: str = TS) -> DataFrame:
+    """(keys, time, _rows) of all known times."""
+    return df.filter(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def intervals(df: DataFrame, keys: Sequence[str] = (), ts: str = TS, times: DataFrame | None = None) -> DataFrame:
     """Seconds since the previous distinct or equal time, counted: (keys, seconds, n).
 
     Equal times differ by zero, so rows are first counted per time: the ordered step runs
-    over distinct times, and a time shared by many rows costs one row.
+    over distinct times, and a time shared by many rows costs one row. ``times`` are these
+    counts where the caller has them.
     """
     keys = list(keys)
-    times = df.filter(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_rows"))
+    times = rows_per_time(df, keys, ts) if times is None else times
     stepped = arrange(times, keys, [ts]).near({
         "_gap": lambda w: (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))) / F.lit(1e6)
     }, back=1)
@@ -105,12 +111,12 @@ def weighted_median(counts: DataFrame, value: str, n: str, keys: Sequence[str] =
     return picked.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
 
 
-def gaps(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:
+def gaps(df: DataFrame, keys: Sequence[str] = (SERIES,), ts: str = TS, times: DataFrame | None = None) -> DataFrame:
     """Per key: typical interval, its label and how many intervals exceed twice that."""
     keys = list(keys)
-    steps = intervals(df, keys, ts)
+    steps = intervals(df, keys, ts, times)
     limit = rows_per_task(df.sparkSession)
-    if largest_group(df.select(*keys), keys) <= limit:  # so a key has at most as many different intervals
+    if largest_group((df if times is None else times).select(*keys), keys) <= limit:  # so a key has at most as many different intervals
         per = steps.groupBy(*keys).agg(
             F.percentile("seconds", F.lit(0.5), F.col("n")).alias("median_seconds"),
             F.collect_list(F.struct("seconds", "n")).alias("_steps"))
@@ -162,13 +168,44 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_form(df.agg(*made), columns, ["min", "max", "mean", "std", "missing_pct"])
 
 
-def duplicate_counts(df: DataFrame, keys: Sequence[str] = (), ts: str = TS) -> DataFrame:
+_ONE, _TWO = "_digest_one", "_digest_two"
+
+
+def _digests(df: DataFrame) -> list[Column]:
+    """128 bits of a whole row; equal rows have equal digests."""
+    cells = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+    nulls = [F.col(c).isNull() for c in df.columns]
+    return [F.xxhash64(*cells, *nulls).alias(_ONE), F.xxhash64(F.lit(7), *nulls, *cells).alias(_TWO)]
+
+
+def row_marks(df: DataFrame, keys: Sequence[str] = (), ts: str = TS) -> DataFrame:
+    """(keys, time, digests, n): the narrow table behind the counts of equal rows and of equal times, and behind the gaps."""
+    return df.select(*keys, ts, *_digests(df)).groupBy(*keys, ts, _ONE, _TWO).agg(F.count(F.lit(1)).alias("n"))
+
+
+def equal_rows(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row: rows beyond the first of each set of equal ones.
+
+    Only rows whose digest occurs twice are compared in full, so that a table is not shuffled whole.
+    """
+    twice = marks.where("n > 1").select(F.col(_ONE).alias("_one"), F.col(_TWO).alias("_two")).distinct()
+    if twice.limit(_FEW + 1).count() <= _FEW:
+        twice = F.broadcast(twice)
+    marked = df.select("*", *_digests(df))
+    same = marked.join(twice, (F.col(_ONE) == F.col("_one")) & (F.col(_TWO) == F.col("_two")), "left_semi").drop(_ONE, _TWO)
+    counts = same.groupBy(*[F.to_json(F.struct(c)).alias(c) if "map<" in kind else F.col(c) for c, kind in df.dtypes]).count()
+    return counts.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+#: Digests that are broadcast at most; they are two numbers each.
+_FEW = 100_000
+
+
+def duplicate_counts(df: DataFrame, keys: Sequence[str] = (), ts: str = TS, marks: DataFrame | None = None) -> DataFrame:
     """Rows beyond the first of each equal row, and of each (key, time)."""
-    whole = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1)).scalar()
-    timed = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum(F.col("n") - 1).alias("duplicate_times"))
-    return timed.select(F.coalesce(whole, F.lit(0)).alias("duplicate_rows"),
-                        F.coalesce("duplicate_times", F.lit(0)).alias("duplicate_times"))
+    marks = materialize(row_marks(df, keys, ts), "row-marks") if marks is None else marks
+    timed = marks.groupBy(*keys, ts).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicate_times"))
+    return timed.select(equal_rows(df, marks).scalar().alias("duplicate_rows"), F.coalesce("duplicate_times", F.lit(0)).alias("duplicate_times"))
 
 
 def coverage(df: DataFrame, ts: str = TS) -> DataFrame:
@@ -180,14 +217,16 @@ def coverage(df: DataFrame, ts: str = TS) -> DataFrame:
 
 
 def outlier_summary(df: DataFrame, columns: Sequence[str], cut: float = OUTLIER_Z, least: int = 0,
-                    softened: bool = False) -> DataFrame:
+                    softened: bool = False, moments: Column | None = None) -> DataFrame:
     """Count and share of values beyond ``cut`` sample deviations, columns without any left out.
 
-    ``softened`` adds 1e-8 to the deviation and, with ``least``, skips columns with few values.
+    ``softened`` adds 1e-8 to the deviation and, with ``least``, skips columns with few values. ``moments`` has mean and
+    deviation of each column (``<column>_m``, ``<column>_s``) where the caller knows them.
     """
-    moments = df.agg(
-        *[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_samp(c).alias(f"{c}_s") for c in columns]
-    ).select(F.struct("*")).scalar()
+    if moments is None:
+        moments = df.agg(
+            *[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_samp(c).alias(f"{c}_s") for c in columns]
+        ).select(F.struct("*")).scalar()
     made = []
     for c in columns:
         spread = moments[f"{c}_s"] + F.lit(1e-8) if softened else moments[f"{c}_s"]
@@ -201,7 +240,12 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], cut: float = OUTLIER_
 
 def validate(df: DataFrame, kind: str = "smart_meter", ts: str = TS, bad_times: int = 0,
              need_rows: bool = False) -> DataFrame:
-    """Every rule that fired: (rule, level, column, value). Errors make the table invalid."""
+    """Every rule that fired: (rule, level, column, value). Errors make the table invalid.
+
+    The table is read three times: once for all facts of single columns, once for the narrow table of times and digests
+    that gaps and duplicates are read from, once to count outliers by the moments of the first pass. Rows whose digest
+    occurs twice are read once more.
+    """
     spark, schema = df.sparkSession, "rule string, level string, `column` string, value double"
     lacking = missing_columns(df, kind)
     if lacking:
@@ -215,7 +259,10 @@ def validate(df: DataFrame, kind: str = "smart_meter", ts: str = TS, bad_times:
             F.count_if(F.col(c) < 0).alias(f"{c}__negative"),
             (F.min(c) == F.max(c)).alias(f"{c}__constant"),
         ]
-    one = df.agg(*aggregates)
+    numbers = numeric_columns(df)
+    for c in numbers:
+        aggregates += [F.avg(c).alias(f"{c}__m"), F.stddev_samp(c).alias(f"{c}__s")]
+    one = materialize(df.agg(*aggregates), "profile")
 
     def line(rule, level, column, value, fired):
         return F.when(fired, F.struct(
@@ -240,16 +287,18 @@ def validate(df: DataFrame, kind: str = "smart_meter", ts: str = TS, bad_times:
     parts = [one.select(F.inline(F.array_compact(F.array(*lines))))]
 
     by = [c for c in (SERIES,) if c in df.columns]
-    gap = gaps(df, by, ts)
+    body = df.select(*[c for c in df.columns if c != ROW])
+    marks = materialize(row_marks(body, by, ts), "row-marks")
+    times = materialize(marks.filter(F.col(ts).isNotNull()).groupBy(*by, ts).agg(F.sum("n").alias("_rows")), "rows-per-time")
+    gap = gaps(df, by, ts, times)
     gap = (gap.agg(F.sum("gaps").alias("gaps")) if by else gap).select(F.col("gaps").cast("double").alias("value"))
     parts.append(gap.filter("value > 0").select(
         F.lit("time_gaps").alias("rule"), F.lit("warning").alias("level"), F.lit(ts).alias("column"), "value"))
-    body = [c for c in df.columns if c != ROW]
-    twice = duplicate_counts(df.select(*body), by, ts)
-    parts.append(twice.filter("duplicate_rows > 0").select(
+    parts.append(equal_rows(body, marks).filter("duplicate_rows > 0").select(
         F.lit("duplicate_rows").alias("rule"), F.lit("warning").alias("level"),
         F.lit(None).cast("string").alias("column"), F.col("duplicate_rows").cast("double").alias("value")))
-    far = outlier_summary(df, numeric_columns(df))
+    far = outlier_summary(df, numbers, moments=one.select(F.struct(*[
+        F.col(f"{c}__{stat}").alias(f"{c}_{stat}") for c in numbers for stat in "ms"])).scalar())
     parts.append(far.select(F.lit("outliers").alias("rule"), F.lit("warning").alias("level"), "column",
                             F.col("count").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
