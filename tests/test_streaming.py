@@ -28,7 +28,7 @@ def test_late_rows_are_dropped_and_counted(spark):
     totals = live.run_counted(live.resample_stream(stream(spark, path), ["consumption_kwh"]), out, scratch_path(spark, "late-cp"))
     got = {r["ts"]: r["consumption_kwh"] for r in spark.read.parquet(out).collect()}
     assert got == {START: 1.0, START + timedelta(hours=1): 2.0, START + timedelta(hours=9): 3.0, START + timedelta(hours=10): 5.0}
-    assert totals["rows_late"] == 1 and totals["rows_in"] == 5
+    assert totals["rows_late"] == 1 and totals["rows_in"] == 6
 
 
 def test_repeats_across_batches(spark):
@@ -49,3 +49,74 @@ def test_invalid_batch_writes_only_its_status(spark):
               for r in live.sync_status(spark, out).orderBy("batch_id").collect()]
     assert status == [("completed", "OK", 30, 5, 1), ("failed", "CORRUPTED_FILE", 0, 0, 1)]
     assert spark.read.parquet(f"{out}/predictions").count() == 30
+
+
+def at(hours, **more):
+    return START + timedelta(hours=hours, **more)
+
+
+def alert_files(spark, path, batches):
+    for rows in batches:
+        lines = [(i, key, t, 0.0) for i, key, t in rows]
+        put(spark, path, lines)
+
+
+def run_stateful(spark, made, label):
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, live.ROCKSDB)
+    try:
+        out = scratch_path(spark, f"{label}-out")
+        query = live.write_once(made, out, scratch_path(spark, f"{label}-cp"))
+        return spark.read.schema(made.schema).parquet(out), query
+    finally:
+        spark.conf.set(store, before)
+
+
+def test_cooldown_decides_in_time_order_over_batches_and_forgets_silent_keys(spark):
+    path = scratch_path(spark, "cool-in")
+    alert_files(spark, path, [
+        [(1, 1, at(2)), (2, 1, at(3, minutes=10)), (9, 2, at(2))],
+        [(3, 1, at(1)), (4, 1, at(2)), (5, 2, at(2, minutes=59))],  # row 3 is earlier than all before: it silences rows 1 and 4
+        [(6, 1, at(40)), (7, 9, at(40))],
+        [(8, 9, at(100))],
+    ])
+    made = live.cooldown_stream(stream(spark, path), 5400, ["series_id"], late="6 hours")
+    table, query = run_stateful(spark, made, "cool")
+    got = sorted((r["series_id"], r["row_id"]) for r in table.collect())
+    assert got == [(1, 2), (1, 3), (1, 6), (2, 9), (9, 7)]
+    # only the newest row of series 9 waits; series 1 and 2 have no state, not even the time they last fired
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_grid_fills_empty_bins_over_batches(spark):
+    path = scratch_path(spark, "grid-in")
+    put(spark, path, [(1, 1, at(5, minutes=5), 10.0), (2, 1, at(5, minutes=10), 20.0), (3, 2, at(1), None)])
+    put(spark, path, [(4, 1, at(2), 3.0), (5, 2, at(4), 8.0), (6, 2, at(2), None)])
+    put(spark, path, [(7, 3, at(60), 0.0)])
+    made = live.grid_stream(stream(spark, path), ["consumption_kwh"], 3600, late="6 hours")
+    table, _ = run_stateful(spark, made, "grid")
+    got = [(r["series_id"], (r["ts"] - START).seconds // 3600, r["consumption_kwh"])
+           for r in table.where("series_id < 3").orderBy("series_id", "ts").collect()]
+    assert got == [(1, 2, 3.0), (1, 3, 3.0), (1, 4, 3.0), (1, 5, 15.0), (2, 1, None), (2, 2, None), (2, 3, None), (2, 4, 8.0)]
+
+
+def test_live_cycle_repeats_a_batch_without_a_trace(spark):
+    """The same batch id again gives the same tables, and late rows are counted and dropped."""
+    schema = spark.createDataFrame([], SCHEMA).schema
+    out, score = scratch_path(spark, "cycle-out"), lambda df: df.withColumn("anomaly_flag", F.lit(0))
+    def rows(*lines):
+        return spark.createDataFrame([(i, 1, t, v) for i, t, v in lines], schema)
+
+    one = rows((1, at(0), 300.0), (2, at(1), None), (3, at(9), 301.0))
+    two = rows((4, at(2), 302.0), (2, at(1), 1.0), (5, at(20), 303.0))
+    settings = {"alert_consumption_threshold": 200.0}
+    for batch, number in ((one, 0), (two, 1), (two, 1)):
+        live._cycle(batch, number, score, out, ["consumption_kwh"], settings, 6 * 3600, 7200)
+    live.finish_cycle(spark, schema, score, out, ["consumption_kwh"], settings, 7200)
+    done = spark.read.parquet(f"{out}/predictions").orderBy("ts").select("row_id", "consumption_kwh").collect()
+    assert [tuple(r) for r in done] == [(1, 300.0), (2, 300.0), (3, 301.0), (5, 303.0)]  # rows 4 and the other 2 were late
+    status = [(r["rows_in"], r["rows_late"], r["rows_processed"]) for r in spark.read.parquet(f"{out}/status").orderBy("batch_id").collect()]
+    assert status == [(3, 0, 2), (3, 2, 1), (0, 0, 1)]
+    fired = sorted(r["row_id"] for r in spark.read.parquet(f"{out}/alerts").where("rule = 'high_consumption'").collect())
+    assert fired == [1, 3, 5]  # row 2 carries 300 and falls into the quiet time of row 1
