@@ -23,6 +23,7 @@ Other columns of the input are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -40,7 +41,8 @@ FREQUENT = 1_000_000
 REMEMBERED = 100_000
 LONGEST_KEPT = 1 << 16
 LONG_GROUP = 4096
-PASS_BYTES = 4 << 20
+ENCODED = 1000
+PASS_BYTES = 1 << 20
 #: Bytes that may begin a blank for the byte-level pattern: control characters, and the lead bytes of Unicode blanks.
 _UNSURE = np.zeros(256, bool)
 _UNSURE[[*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -67,6 +69,7 @@ class Encoders:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
@@ -85,12 +88,15 @@ class Encoders:
 
     def encode(self, raws: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both tokenizers for each text with a space before it; None where the bytes are not given back."""
-        texts, out = [r.decode() for r in raws], []
-        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False) if texts else []
-        for raw, a, b in zip(raws, first, self.b.encode(texts, num_threads=1), strict=True):
-            ids, whole = a.ids, b" " + raw
-            same = b"".join([self.a_bytes[i] for i in ids]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-            out.append((ids, b) if same else None)
+        out = []
+        for at in range(0, len(raws), ENCODED):  # an encoding takes far more memory than its ids
+            part = raws[at:at + ENCODED]
+            texts = [r.decode() for r in part]
+            first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+            for raw, a, b in zip(part, first, self.b.encode(texts, num_threads=1), strict=True):
+                ids, whole = a.ids, b" " + raw
+                same = b"".join([self.a_bytes[i] for i in ids]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
+                out.append((ids, b) if same else None)
         return out
 
 
