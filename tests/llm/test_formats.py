@@ -229,21 +229,36 @@ def test_targets_are_met_to_the_word(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
-def test_taken_rows_hold_the_taken_words(spark):
-    docs = odd_docs(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    mixed = mixing.mix(docs)
-    words = {r.doc_id: r.taken for r in mixed.collect()}
-    got = {}
-    rows = mixing.take(docs, mixed)
-    assert rows.columns == docs.columns
+def test_mixed_rows_hold_the_taken_words(spark):
+    """Null ids, one id in several sources and different texts under one id included."""
+    odd = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    more = [(None, "w " * (3 + 5 * i), "en", f"s{i % 3}", 1) for i in range(9)]
+    more += [(7000 + i // 3, "x " * (1 + 11 * i % 23), "en", f"s{i % 3}", 1) for i in range(60)]
+    more += [(7001, "y z", "fr", None, 1), (None, "q r s", "fr", None, 1), (None, None, None, "s0", None)]
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema)).withColumn("size", F.lit("x")).withColumn("taken", F.lit("y"))
+    want, got = {}, {}
+    for r in mixing.mix(docs).collect():
+        if r.taken:
+            want.setdefault((r.doc_id, r.source), []).append(r.taken)
+    rows = mixing.mixed_rows(docs)
+    assert rows.columns == docs.columns and rows.dtypes == docs.dtypes
     for r in rows.collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.encode().split())
-    assert got == {k: v for k, v in words.items() if v}
+        got.setdefault((r.doc_id, r.source), []).append(len(r.text.encode().split()))
+    assert {k: sum(v) for k, v in got.items()} == {k: sum(v) for k, v in want.items()}
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault((r.doc_id, r.source), set()).add(r.text)
+    for r in rows.collect():
+        whole = texts[r.doc_id, r.source]
+        assert r.text in whole or (r.n_chars == len(r.text) and any(
+            t and b" ".join(t.encode().split()).decode().startswith(r.text) for t in whole))
+    again = mixing.mixed_rows(docs.repartition(5)).collect()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, again))
 
 
 def test_odd_rows_mix(spark):
     assert mixing.mix(odd_docs(spark)).count() == odd_docs(spark).count()
-    assert mixing.mix(empty_docs(spark)).count() == 0 and mixing.take(empty_docs(spark), mixing.mix(empty_docs(spark))).count() == 0
+    assert mixing.mix(empty_docs(spark)).count() == 0 and mixing.mixed_rows(empty_docs(spark)).count() == 0
     blank = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert {(r.target, r.taken) for r in mixing.mix(blank).collect()} == {(0.0, 0)}
     same = spark.createDataFrame([(7, "a b c", "x")] * 5 + [(8, "a", "y")], "doc_id long, text string, source string")

@@ -17,7 +17,7 @@ and are in or out together; at the threshold they share the remaining budget by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm.common import joined_small, word_array
@@ -85,22 +85,52 @@ def thresholds(sized: DataFrame, aims: DataFrame, digits: int = DIGITS) -> DataF
     return open_.select("source", "source_size", "target", "passes", "budget", "prefix", "shared")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, scale: float = SCALE, most: int = MOST, seed: str = "mix",
-        key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words of each document that the mix takes."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    sized = materialize(docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"),
-        F.size(word_array(F.col(text))).cast("long").alias("size"), digest.alias("hash")), "mix-sizes")
-    aims = materialize(targets(sized, weights, scale, most), "mix-targets")
-    edge = thresholds(sized, aims).withColumnRenamed("source", "key")
+def _sized(key: Column, text: Column, source: Column, seed: str) -> list[Column]:
+    """What the mix reads of a row: its source, its words and its hash."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return [source.alias("source"), F.size(word_array(text)).cast("long").alias("size"), digest.alias("hash")]
+
+
+def _with_taken(sized: DataFrame, edge: DataFrame) -> DataFrame:
+    """The rows of `sized` (with source, size, hash), the figures of their source, and the words the mix takes of them."""
+    joined = joined_small(sized, edge.withColumnRenamed("source", "key"), F.col("source").eqNullSafe(F.col("key")), "inner")
     at = F.expr("substring(hash, 1, length(prefix))")
     extra = F.when(at < F.col("prefix"), F.col("size")).when(
         (at == F.col("prefix")) & (F.col("shared") > 0),
         F.expr("CAST(CAST(budget AS DECIMAL(20, 0)) * CAST(size AS DECIMAL(18, 0)) / shared AS LONG)")).otherwise(F.lit(0))
-    joined = joined_small(sized, edge, F.col("source").eqNullSafe(F.col("key")), "inner")
-    return joined.select("doc_id", "source", "size", "source_size", "target",
-                         (F.col("passes") * F.col("size") + F.least(F.col("size"), extra)).cast("long").alias("taken"))
+    return joined.withColumn("taken", (F.col("passes") * F.col("size") + F.least(F.col("size"), extra)).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, scale: float = SCALE, most: int = MOST, seed: str = "mix",
+        key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: the words of each document that the mix takes."""
+    sized = materialize(docs.select(
+        F.col(key).alias("doc_id"), *_sized(F.col(key), F.col(text), F.col(source), seed)), "mix-sizes")
+    edge = thresholds(sized, materialize(targets(sized, weights, scale, most), "mix-targets"))
+    return _with_taken(sized, edge).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, scale: float = SCALE, most: int = MOST, seed: str = "mix",
+               key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of the mix: each document as often as it is taken, the one at the threshold cut to its leading words.
+
+    A row decides for itself, from its own words and the few figures of its source, so texts are never shuffled and rows
+    with a null or repeated id keep to their own share. Columns and types stay; a character count in `n_chars` follows a
+    cut text.
+    """
+    sized = materialize(docs.select(*_sized(F.col(key), F.col(text), F.col(source), seed)), "mix-row-sizes")
+    edge = thresholds(sized, materialize(targets(sized, weights, scale, most), "mix-row-targets"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names).select(*names, *_sized(F.col(inner[key]), F.col(inner[text]), F.col(inner[source]), seed))
+    wanted = _with_taken(rows, edge).where("taken > 0")
+    copies = wanted.withColumn("copy", F.explode(F.expr("sequence(1, CAST(ceil(taken / size) AS INT))")))
+    cut = F.expr("copy > floor(taken / size)")
+    short = F.array_join(F.slice(word_array(F.col(inner[text])), F.lit(1), F.expr("CAST(taken % size AS INT)")), " ")
+    out = {text: F.when(cut, short).otherwise(F.col(inner[text]))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(cut, F.length(short).cast("long")).otherwise(F.col(inner["n_chars"]))
+    return copies.select(*[(out[c] if c in out else F.col(n)).alias(c) for c, n in inner.items()])
 
 
 def take(docs: DataFrame, mixed: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:
