@@ -63,8 +63,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix: documents repeat as often as they are taken."""
-    return mixing.take(docs, mixing.mix(docs))
+    """The rows of the mix: documents repeat as often as they are taken, each row by its own words, whatever its id."""
+    return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
