@@ -131,24 +131,3 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, scale: float = SCALE, most: int
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(cut, F.length(short).cast("long")).otherwise(F.col(inner["n_chars"]))
     return copies.select(*[(out[c] if c in out else F.col(n)).alias(c) for c, n in inner.items()])
-
-
-def take(docs: DataFrame, mixed: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the mix: each document as often as it is taken, the one at the threshold cut to its leading words.
-
-    Columns and types stay; a character count in `n_chars` follows a cut text.
-    """
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    inner = dict(zip(docs.columns, names, strict=True))
-    share = mixed.groupBy(F.col("doc_id").alias("_key")).agg(
-        F.max(F.struct("taken", "size")).alias("_mix")).where("_mix.taken > 0")
-    joined = docs.toDF(*names).join(share, F.col(inner[key]).eqNullSafe(F.col("_key")), "inner")
-    full = F.expr("CAST(floor(_mix.taken / _mix.size) AS INT)")
-    rest = F.expr("CAST(_mix.taken % _mix.size AS INT)")
-    copies = joined.withColumn("_copy", F.explode(F.expr("sequence(1, CAST(ceil(_mix.taken / _mix.size) AS INT))")))
-    cut = F.col("_copy") > full
-    short = F.array_join(F.slice(word_array(F.col(inner[text])), F.lit(1), rest), " ")
-    out = {text: F.when(cut, short).otherwise(F.col(inner[text]))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(cut, F.length(short).cast("long")).otherwise(F.col(inner["n_chars"]))
-    return copies.select(*[(out[c] if c in out else F.col(n)).alias(c) for c, n in inner.items()])
