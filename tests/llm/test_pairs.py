@@ -2,14 +2,16 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import empty_docs, odd_docs
-from wattline.llm import nearest, quality_classifier, simhash_dedup
+from wattline.llm import nearest, quality_classifier, rolling, simhash_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -160,6 +162,90 @@ def test_classifier_on_held_out_rows(spark):
     assert len(held) > 50 and (held.predicted == held.quality).mean() >= 0.95
 
 
+def test_classifier_keeps_few_bad_rows(spark):
+    folder = FOLDER.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = quality_classifier.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    bad, good = held[held.quality == 0], held[held.quality == 1]
+    assert len(bad) > 100 and bad.predicted.mean() < 0.03 and good.predicted.mean() > 0.99
+
+
+def term_counts(text):
+    """The terms of a text, one by one: words by their hash, byte pairs, class triples, shape pairs."""
+    data, found = (text or "").encode(), np.zeros(quality_classifier.COUNTS)
+    raw = np.frombuffer(data, np.uint8)
+    starts, stops = rolling.word_bounds(raw, np.array([len(raw)]))
+    cells = [int(h >> np.uint64(40)) % 2048 for h in rolling.word_hashes(raw, starts, stops)]
+    words = data.split()
+    assert len(cells) == len(words)
+    if not words:
+        return found
+    for c in cells:
+        found[c] += 1
+    for a, b in zip(data, data[1:]):
+        found[2048 + (a * 251 + b * 7919) % 1024] += 1
+
+    def kind(b):
+        for k, members in enumerate((b" \t", b"\n\r\x0b\x0c", b"", b"", b"0123456789")):
+            if b in members:
+                return k
+        if 97 <= b <= 122 or b > 127:
+            return 2
+        if 65 <= b <= 90:
+            return 3
+        return 6 if b in b"!?" else 8 if b in b"#*$%&|<>{}[]=@~^\\_" else 7 if b < 32 or b == 127 else 5
+
+    kinds = [kind(b) for b in data]
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        found[3072 + 81 * a + 9 * b + c] += 1
+    shapes = []
+    for i, w in enumerate(words):
+        has = {kind(b) for b in w}
+        shapes.append((2 in has) + 2 * (3 in has) + 4 * bool(has & {4, 6, 8}) + 8 * (i > 0 and words[i - 1] == w))
+    for a, b in zip(shapes, shapes[1:]):
+        found[3072 + 729 + 16 * a + b] += 1
+    return found
+
+
+def test_votes_against_brute_force(spark):
+    """Frequencies over all documents, exact singular vectors and every similarity, document by document."""
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(["the", "of", "river", "Was", "stone,", "light.\n", "é"]) for _ in range(rng.randrange(5, 60))) for _ in range(50)]
+    bad = [" ".join(rng.choice(["BUY", "###", "now!!", "| more", "$5", "go go"]) for _ in range(rng.randrange(5, 60))) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(500, ""), (501, None), (502, " \n "), (503, "x"), (3, "another text of three")]
+    marks = [(i, int(i < 50)) for i in range(0, 100, 2)] + [(503, 1), (3, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    found = np.array([term_counts(t) for _, t in rows])
+    got = [x for _, _, x in quality_classifier.counts(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))]
+    assert np.array_equal(np.concatenate(got), found)
+
+    filled = found.sum(1) > 0
+    idf = np.log((1 + filled.sum()) / (1 + (found > 0).sum(0))) + 1
+    weighed = np.log1p(found) * idf
+    for a, b in ((0, 2048), (2048, 3072), (3072, 3801), (3801, 4057)):
+        weighed[:, a:b] /= np.maximum(np.linalg.norm(weighed[:, a:b], axis=1, keepdims=True), 1e-12)
+    label, learnt = dict(marks), {}
+    for i, (d, _) in enumerate(rows):
+        if d in label and zlib.crc32(str(d).encode()) % 4 != 2 and filled[i]:
+            key = found[i].astype(np.uint16).tobytes()
+            learnt[d] = min(learnt.get(d, (key, i)), (key, i))
+    chosen = [i for _, i in learnt.values()]
+    _, _, right = np.linalg.svd(weighed[chosen], full_matrices=False)
+    latent = weighed @ right[:64].T
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    want = []
+    for i in range(len(rows)):
+        near = sorted(((float(latent[i] @ latent[j]), label[rows[j][0]]) for j in chosen), reverse=True)[:25]
+        weight = sum(max(c, 0) ** 4 for c, _ in near)
+        want.append(sum(max(c, 0) ** 4 * y for c, y in near) / weight if filled[i] and weight > 1e-12 else 0.5)
+    scores = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
+    have = {(r.doc_id, r.text): r.score for r in scores}
+    assert len(have) == len(rows) and all(abs(have[r] - w) < 1e-3 for r, w in zip(rows, want, strict=True))
+    mixed = quality_classifier.fit(docs.repartition(9), labels)
+    assert np.array_equal(mixed.idf, quality_classifier.fit(docs, labels).idf) and np.array_equal(mixed.labels, [label[d] for d in sorted(learnt)])
+
+
 def test_classifier_never_learns_from_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
     turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))

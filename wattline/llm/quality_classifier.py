@@ -1,19 +1,21 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes counts of hashed words and of hashed byte pairs. Logarithms of the counts are weighted by inverse document
-frequency, each block is scaled to length one, and the leading singular directions of the labelled sample map the result
-to a short vector. The labelled vectors are broadcast (at most 2 x `per_class` rows of `rank` numbers, a parameter), and
-every document gets exact cosine products with all of them, block by block. The `neighbours` nearest vote with their
-label, weighted by a power of the similarity. Shares of seven kinds of units (words equal to the one before, words without
-letters, capitals, marks, symbols, digits, stray control bytes) extend the vector, since word counts hardly show them.
+A text becomes counts of terms of four kinds: hashed words, hashed byte pairs, triples of byte classes (blank, line end,
+small, capital, digit, point, call, symbol, control) and pairs of word shapes (holds small letters, capitals, digits or
+symbols; equals the word before). Logarithms of the counts are weighted by inverse document frequency over all documents,
+each block is scaled to length one, and the leading singular directions of the labelled sample map the result to a short
+vector. The labelled vectors are broadcast (at most 2 x `per_class` rows of `rank` numbers, a parameter), and every document
+gets exact cosine products with all of them, block by block. The `neighbours` nearest vote with their label, weighted by a
+power of the similarity.
 
 Learning: of each label the `per_class` rows with the smallest hash of their id, whole texts, and never rows whose
 crc32(doc_id as text) mod 4 is 2; these are held out. Language, source and id are no inputs.
 
 Defined results: a null, empty or blank text, and any text without a similar labelled one, scores 0.5; so does everything
 if there are no labels, and with labels of one kind alone every vote is that label. A document with several labels counts
-as 1 if one of them is; other label values and null ids are left out. Repeated rows score alike. All other columns pass
-through, whatever their names.
+as 1 if one of them is; other label values and null ids are left out. Of different texts under one labelled id the one with
+the smallest counts, compared as bytes, is learnt from. Repeated rows score alike. All other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ RANK = 64
 NEIGHBOURS = 25
 POWER = 4
 WORD_CELLS, PAIR_CELLS = 2048, 1024
-COUNTS = WORD_CELLS + PAIR_CELLS
-SHARES = 7  # kept as whole numbers per mille behind the counts
-SHARE_WEIGHT = 1.5
+CLASSES, SHAPES = 9, 16
+BLOCKS = (WORD_CELLS, PAIR_CELLS, CLASSES ** 3, SHAPES ** 2)
+COUNTS = sum(BLOCKS)
 THRESHOLD = 0.7
 _BLOCK = 512
 
@@ -44,57 +46,76 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _marked(*characters: bytes) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(b"".join(characters))] = True
+def _classes() -> np.ndarray:
+    """The class of each byte; bytes of longer characters count as small letters, so that languages look alike."""
+    out = np.full(256, 5, np.int64)
+    kinds = [(range(32), 7), ([127], 7), (b" \t", 0), (b"\n\r\x0b\x0c", 1), (range(97, 123), 2), (range(128, 256), 2),
+             (range(65, 91), 3), (range(48, 58), 4), (b"!?", 6), (b"#*$%&|<>{}[]=@~^\\_", 8)]
+    for members, kind in kinds:
+        out[list(members)] = kind
     return out
 
 
-_CAPITAL, _MARK, _SYMBOL, _DIGIT = (_marked(bytes(range(65, 91))), _marked(b"!?"), _marked(b"#*$%&|<>{}[]=@~^\\_"),
-                                    _marked(b"0123456789"))
-_CONTROL = _marked(bytes([*range(9), *range(14, 32), 127]))
-_LETTER = _marked(bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 256)))
+_CLASS = _classes()
 
 
-def _shares(data: np.ndarray, ends: np.ndarray, hashes: np.ndarray, doc: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    def summed(hit, per):
-        return np.diff(np.append(0, np.cumsum(hit))[per], prepend=0)
-
-    words = np.searchsorted(starts, ends)
-    again = np.zeros(len(hashes), bool)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
-    letters = np.append(0, np.cumsum(_LETTER[data]))
-    bare = letters[stops] == letters[starts]
-    n_words = np.maximum(np.diff(words, prepend=0), 1)
-    n_bytes = np.maximum(np.diff(ends, prepend=0), 1)
-    columns = [summed(again, words) / n_words, summed(bare, words) / n_words]
-    columns += [summed(kind[data], ends) / n_bytes for kind in (_CAPITAL, _MARK, _SYMBOL, _DIGIT, _CONTROL)]
-    return np.rint(1000 * np.stack(columns, 1))
+def _shapes(kinds: np.ndarray, hashes: np.ndarray, doc: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Four marks of each word: small letters, capitals, digits or calls or symbols, equal to the word before."""
+    out = np.zeros(len(hashes), np.int64)
+    for bit, members in enumerate(((2,), (3,), (4, 6, 8))):
+        before = np.append(0, np.cumsum(np.isin(kinds, members)))
+        out += (before[stops] > before[starts]).astype(np.int64) << bit
+    out[1:] += ((hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])).astype(np.int64) << 3
+    return out
 
 
 def counts(batch: pa.RecordBatch, column: str = "text"):
-    """(first row, end row, counts and shares) of the texts of a batch, in chunks."""
+    """(first row, end row, term counts) of the texts of a batch, in chunks."""
+    pair_at, class_at, shape_at = np.cumsum(BLOCKS)[:3]
     for row, end, data, lengths in text_chunks(batch, column):
-        n, width = end - row, COUNTS
-        out = np.zeros((n, width + SHARES), np.float32)
+        n = end - row
+        out = np.zeros(n * COUNTS, np.float32)
         if len(data):
             ends = np.cumsum(lengths)
             starts, stops = rolling.word_bounds(data, ends)
             hashes = rolling.word_hashes(data, starts, stops)
             doc = np.searchsorted(ends, starts, side="right")
-            cell = doc * width + (hashes >> np.uint64(40)).astype(np.int64) % WORD_CELLS
+            kinds = _CLASS[data]
+            of = np.repeat(np.arange(n) * COUNTS, lengths)
             pair = (data[:-1].astype(np.int64) * 251 + data[1:].astype(np.int64) * 7919) % PAIR_CELLS
-            of = np.repeat(np.arange(n), lengths)
-            inside = of[:-1] == of[1:]
-            cell = np.concatenate([cell, (of[:-1] * width + WORD_CELLS + pair)[inside]])
-            out[:, :width] = np.bincount(cell, minlength=n * width).reshape(n, width)
-            out[:, width:] = _shares(data, ends, hashes, doc, starts, stops)
-        yield row, end, out
+            triple = (kinds[:-2] * CLASSES + kinds[1:-1]) * CLASSES + kinds[2:]
+            shape = _shapes(kinds, hashes, doc, starts, stops)
+            found = [doc * COUNTS + (hashes >> np.uint64(40)).astype(np.int64) % WORD_CELLS,
+                     (of[:-1] + pair_at + pair)[of[:-1] == of[1:]],
+                     (of[:-2] + class_at + triple)[of[:-2] == of[2:]],
+                     (doc[:-1] * COUNTS + shape_at + shape[:-1] * SHAPES + shape[1:])[doc[:-1] == doc[1:]]]
+            for cells in found:
+                out += np.bincount(cells, minlength=len(out))
+            out.reshape(n, COUNTS)[np.bincount(doc, minlength=n) == 0] = 0  # without words a text has no terms
+        yield row, end, out.reshape(n, COUNTS)
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many documents hold each term, and how many hold any: one pass, at most one row per term from each task."""
+    def held(batches):
+        total = np.zeros(COUNTS + 1, np.int64)
+        for batch in batches:
+            for _, _, found in counts(batch):
+                total[:COUNTS] += (found > 0).sum(0)
+                total[COUNTS] += (found.sum(1) > 0).sum()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
+
+    rows = docs.select("text").mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(COUNTS + 1, np.int64)
+    for r in rows:  # COUNTS + 1 at most
+        total[r["term"]] = r["n"]
+    return total[:COUNTS], int(total[COUNTS])
 
 
 def _weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(found[:, :COUNTS]) * idf
-    for block in (out[:, :WORD_CELLS], out[:, WORD_CELLS:]):
+    out = np.log1p(found) * idf
+    for block in np.split(out, np.cumsum(BLOCKS)[:-1], axis=1):
         block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
     return out
 
@@ -104,9 +125,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def latent_vectors(found: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """Unit vectors: the singular directions of the counts, and the roots of the shares."""
-    return _unit(np.concatenate([_unit(_weighted(found, idf) @ directions),
-                                 SHARE_WEIGHT * np.sqrt(found[:, COUNTS:] / 1000)], 1).astype(np.float32))
+    """Unit vectors along the singular directions of the counts."""
+    return _unit(_weighted(found, idf) @ directions).astype(np.float32)
 
 
 @dataclass
@@ -129,7 +149,7 @@ class Model:
             total = weight.sum(1)
             vote = (weight * self.labels[best]).sum(1)
             out[at:at + _BLOCK] = np.where(total > 1e-12, vote / np.maximum(total, 1e-12), 0.5)
-        out[found[:, :COUNTS].sum(1) == 0] = 0.5
+        out[found.sum(1) == 0] = 0.5
         return np.clip(out, 0.0, 1.0)
 
 
@@ -160,14 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: in
                                                   pa.array(packed, pa.binary())], names=["doc_id", "label", "found"])
 
     rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(
-        count, "doc_id long, label long, found binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    found = np.array([np.frombuffer(bytes(r["found"]), np.uint16) for r in rows], np.float32).reshape(-1, COUNTS + SHARES)
+        count, "doc_id long, label long, found binary").groupBy("doc_id", "label").agg(
+        F.min("found").alias("found")).orderBy("doc_id").collect()
+    found = np.array([np.frombuffer(bytes(r["found"]), np.uint16) for r in rows], np.float32).reshape(-1, COUNTS)
     marks = np.array([r["label"] for r in rows], np.float64)
-    filled = found[:, :COUNTS].sum(1) > 0
+    filled = found.sum(1) > 0
     found, marks = found[filled], marks[filled]
     if not len(marks):
         return Model(np.ones(COUNTS, np.float32), np.zeros((COUNTS, 1), np.float32), np.zeros((0, 1), np.float32), marks)
-    idf = (np.log((1 + len(found)) / (1 + (found[:, :COUNTS] > 0).sum(0))) + 1).astype(np.float32)
+    held, n = document_frequencies(docs)
+    idf = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
     directions = _directions(_weighted(found, idf), rank)
     return Model(idf, directions, latent_vectors(found, idf, directions), marks)
 
