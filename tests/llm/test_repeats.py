@@ -1,5 +1,7 @@
 """Word and byte repeats against brute force over whole texts."""
 
+import hashlib
+
 import pytest
 
 from tests.llm.fixtures import empty_docs, odd_docs, plain_texts
@@ -8,24 +10,23 @@ from wattline.llm.repeats import BYTES, WORDS
 from wattline.llm.substring_dedup import substring_dedup
 
 
+def digest(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def expected(rows, units):
-    """{(doc_id, text): kept bytes, removed} by remembering every window in order."""
-    chosen = {}
-    for d, t in rows:
-        if d is not None and t:
-            chosen.setdefault(d, set()).add(t)
-    import hashlib
-    chosen = {d: min(ts, key=lambda t: hashlib.md5(t.encode()).hexdigest()) for d, ts in chosen.items()}
+    """{(doc_id, text): marks} by remembering every window of every different text in order; null ids come last."""
+    docs = sorted({(d is None, d or 0, digest(t), t) for d, t in rows if t})
     seen, out = {}, {}
-    for d in sorted(chosen):
-        parts = chosen[d].encode().split() if units.words else chosen[d].encode()
+    for none, d, name, t in docs:
+        parts = t.encode().split() if units.words else t.encode()
         mark = bytearray(len(parts))
         for i in range(len(parts) - units.span + 1):
             window = tuple(parts[i:i + units.span]) if units.words else parts[i:i + units.span]
-            first = seen.setdefault(window, (d, i))
-            if (first < (d, i)) if units.words else first[0] < d:
+            first = seen.setdefault(window, (none, d, name, i))
+            if (first < (none, d, name, i)) if units.words else first[:2] < (none, d):
                 mark[i:i + units.span] = b"\1" * units.span
-        out[d, chosen[d]] = mark
+        out[None if none else d, t] = mark
     return out
 
 
@@ -79,6 +80,31 @@ def test_big_group_of_copies_and_near_copies(spark, which):
     check(run(docs, units, method, hot=5), rows, units)
 
 
+def rows_of_shared_ids():
+    """Ids with several texts, null ids and repeated rows, all with passages in common."""
+    passage, other = " ".join(f"p{i}" for i in range(45)), " ".join(f"q{i}" for i in range(45))
+    rows = [(5, f"{passage} one"), (5, f"two {passage} {other}"), (5, f"three {other}"), (9, f"nine {passage}"), (9, "nine"), (9, None)]
+    rows += [(None, f"none {other} {passage}"), (None, f"{other} nothing"), (None, f"new {'word ' * 30}"), (None, f"{passage} one"), (None, "")]
+    rows += [(2, f"only {other}"), (12, f"{passage} one"), (12, f"twelve {passage}")]
+    return rows + rows[1:8]
+
+
+@pytest.mark.parametrize("which", [0, 1])
+@pytest.mark.parametrize("sizes", [{}, {"hot": 2}], ids=["plain", "hot anchors"])
+@pytest.mark.parametrize("joined", [False, True], ids=["filter", "join"])
+def test_every_text_of_repeated_and_null_ids(spark, monkeypatch, which, sizes, joined):
+    if joined:
+        monkeypatch.setattr(repeats, "FILTER_BITS", 1)
+    units, method = methods()[which]
+    rows = rows_of_shared_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = run(docs, units, method, **sizes)
+    check(got, rows, units)
+    assert any(r["doc_id"] is None and r["removed"] for r in got)
+    lost = {(r["doc_id"], r["text"]): r["removed"] for r in got}
+    assert lost[9, f"nine {' '.join(f'p{i}' for i in range(45))}"] > 0  # a text of id 5 that was not searched before
+
+
 def test_pieces_are_merged_by_binary_search():
     import numpy as np
     texts = [t.encode() for t in plain_texts(40, seed=4)]

@@ -12,7 +12,7 @@ have equal anchors at equal places.
    the operator names as its method runs in a shard and yields marks.
 3. Hot anchors, with more contexts than `HOT`, go another exact way: equal contexts collapse to their first document in a
    combining aggregation, their windows are grouped by full content, and the owners are joined back.
-4. Marks are spans of units by document.
+4. Marks are spans of units by document and part (see `removed_spans`).
 
 Copies of a whole text are named by their digest and handled before the sieve where their list is small enough to
 broadcast; else they pass through it like other documents, with the same result.
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import rolling
@@ -38,8 +38,9 @@ SEGMENT_BITS = 1 << 19
 FILTER_BITS = 1 << 28
 HOT = 200_000
 _HASH = np.uint64((1 << 48) - 1)
-_CONTEXTS = "hash long, doc_id long, starts array<long>, context binary"
-_MARKS = "doc_id long, start long, stop long"
+_CONTEXTS = "hash long, doc_id long, part string, starts array<long>, context binary"
+_MARKS = "doc_id long, part string, start long, stop long"
+LAST_ID = (1 << 63) - 1  # the id that texts without one count under
 
 
 @dataclass(frozen=True)
@@ -172,7 +173,7 @@ def in_filter(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 # contexts ---------------------------------------------------------------------------------------------------------------
 
-def _cut_contexts(units: Units, s: Sequences, keep: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+def _cut_contexts(units: Units, s: Sequences, keep: np.ndarray, ids: np.ndarray, parts: pa.Array) -> pa.RecordBatch | None:
     """Rows of the kept runs; equal contexts of a document become one row with several starts."""
     found: dict[tuple[int, bytes], list[int]] = {}
     hashes = {}
@@ -193,12 +194,12 @@ def _cut_contexts(units: Units, s: Sequences, keep: np.ndarray, ids: np.ndarray)
         return None
     return pa.RecordBatch.from_arrays([
         pa.array(list(hashes.values()), pa.int64()), pa.array([int(ids[d]) for d, _ in found], pa.int64()),
-        pa.array(list(found.values()), pa.list_(pa.int64())),
-        pa.array([c for _, c in found], pa.binary())], names=["hash", "doc_id", "starts", "context"])
+        parts.take(pa.array([d for d, _ in found], pa.int64())), pa.array(list(found.values()), pa.list_(pa.int64())),
+        pa.array([c for _, c in found], pa.binary())], names=["hash", "doc_id", "part", "starts", "context"])
 
 
 def contexts(docs: DataFrame, repeated: DataFrame, units: Units) -> DataFrame:
-    """All contexts with a repeated anchor: (hash, doc_id, starts, context)."""
+    """All contexts with a repeated anchor: (hash, doc_id, part, starts, context)."""
     spark = docs.sparkSession
     bits = hash_filter(repeated, repeated.count())
     if bits is not None:
@@ -206,28 +207,28 @@ def contexts(docs: DataFrame, repeated: DataFrame, units: Units) -> DataFrame:
 
         def cut(batches):
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy()
+                ids, parts = batch.column("doc_id").to_numpy(), batch.column("part")
                 for row, end, data, lengths in text_chunks(batch):
                     s = Sequences(units, data, lengths)
                     if len(s.hash):
-                        out = _cut_contexts(units, s, in_filter(s.hash, shared.value), ids[row:end])
+                        out = _cut_contexts(units, s, in_filter(s.hash, shared.value), ids[row:end], parts.slice(row, end - row))
                         if out is not None:
                             yield out
 
-        return docs.select("doc_id", "text").mapInArrow(cut, _CONTEXTS)
+        return docs.select("doc_id", "part", "text").mapInArrow(cut, _CONTEXTS)
 
     def named(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
             for row, _, data, lengths in text_chunks(batch):
                 s = Sequences(units, data, lengths)
-                pairs = np.unique(np.stack([ids[row + s.doc].astype(np.int64), s.hash.astype(np.int64)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
-                                                 names=["doc_id", "hash"])
+                pairs = np.unique(np.stack([row + s.doc.astype(np.int64), s.hash.astype(np.int64)], 1), axis=0)
+                at = pa.array(pairs[:, 0].copy())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("part").take(at),
+                                                  pa.array(pairs[:, 1].copy())], names=["doc_id", "part", "hash"])
 
     def cut_listed(batches):
         for batch in batches:
-            ids, lists = batch.column("doc_id").to_numpy(), batch.column("hashes").to_pylist()
+            ids, lists, parts = batch.column("doc_id").to_numpy(), batch.column("hashes").to_pylist(), batch.column("part")
             for row, end, data, lengths in text_chunks(batch):
                 s = Sequences(units, data, lengths)
                 if len(s.hash):
@@ -235,13 +236,13 @@ def contexts(docs: DataFrame, repeated: DataFrame, units: Units) -> DataFrame:
                     for d in range(end - row):
                         mine = s.doc == d
                         keep[mine] = np.isin(s.hash[mine], np.array(lists[row + d], np.uint64))
-                    out = _cut_contexts(units, s, keep, ids[row:end])
+                    out = _cut_contexts(units, s, keep, ids[row:end], parts.slice(row, end - row))
                     if out is not None:
                         yield out
 
-    anchors = docs.select("doc_id", "text").mapInArrow(named, "doc_id long, hash long")
-    lists = anchors.join(repeated.select("hash"), "hash").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
-    return docs.select("doc_id", "text").join(lists, "doc_id").mapInArrow(cut_listed, _CONTEXTS)
+    anchors = docs.select("doc_id", "part", "text").mapInArrow(named, "doc_id long, part string, hash long")
+    lists = anchors.join(repeated.select("hash"), "hash").groupBy("doc_id", "part").agg(F.collect_list("hash").alias("hashes"))
+    return docs.select("doc_id", "part", "text").join(lists, ["doc_id", "part"]).mapInArrow(cut_listed, _CONTEXTS)
 
 
 # shards -----------------------------------------------------------------------------------------------------------------
@@ -249,15 +250,17 @@ def contexts(docs: DataFrame, repeated: DataFrame, units: Units) -> DataFrame:
 class Shard:
     """All contexts of some anchors: the different ones, in order of their first place, and who has them.
 
-    `data`, `lengths`: the different contexts, one after another; `owner`: their smallest document; `of`, `doc`: context
-    and document of each row; `listed`, `count`: the starts of the rows, one after another, and their number.
+    `data`, `lengths`: the different contexts, one after another; `owner`: their smallest document; `of`, `doc`, `part`:
+    context, document and part of each row; `listed`, `count`: the starts of the rows, one after another, and their number.
     """
 
     def __init__(self, units: Units, rows: pa.Table):
         rows = rows.combine_chunks()
         starts = rows.column("starts").chunk(0)
         first = starts.flatten().to_numpy(zero_copy_only=False)[np.cumsum(starts.value_lengths().to_numpy()) - starts.value_lengths().to_numpy()]
-        order = np.lexsort((first, rows.column("doc_id").to_numpy()))
+        named = rows.column("part").chunk(0).dictionary_encode()
+        places = np.argsort(np.argsort(named.dictionary.to_numpy(zero_copy_only=False)))[named.indices.to_numpy()]
+        order = np.lexsort((first, places, rows.column("doc_id").to_numpy()))
         rows = rows.take(pa.array(order)).combine_chunks()
         starts = rows.column("starts").chunk(0)
         coded = rows.column("context").chunk(0).cast(pa.large_binary()).dictionary_encode()
@@ -267,14 +270,14 @@ class Shard:
         self.data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
         self.lengths = np.diff(offsets)
         self.of = coded.indices.to_numpy().astype(np.int64)
-        self.doc = rows.column("doc_id").to_numpy()
+        self.doc, self.part = rows.column("doc_id").to_numpy(), rows.column("part").chunk(0)
         self.listed = starts.flatten().to_numpy(zero_copy_only=False)
         self.count = starts.value_lengths().to_numpy().astype(np.int64)
         _, self.lead = np.unique(self.of, return_index=True)
         self.owner = self.doc[self.lead]
 
-    def marks(self, contexts_: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """doc_id, start, stop from spans (ascending context, begin, end); `sizes`: units of each context.
+    def marks(self, contexts_: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        """doc_id, part, start, stop from spans (ascending context, begin, end); `sizes`: units of each context.
 
         The first holder of a context, and for bytes its whole document, loses the spans; every later one loses all.
         """
@@ -290,9 +293,10 @@ class Shard:
         times = per[self.of[row[mine]]]
         at = np.repeat(mine, times)
         span = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(from_[self.of[row[mine]]], times)
-        return [np.concatenate([self.doc[whole], self.doc[row[at]]]),
-                np.concatenate([self.listed[~own], self.listed[at] + begin[span]]),
-                np.concatenate([self.listed[~own] + sizes[self.of[whole]], self.listed[at] + end[span]])]
+        rows = np.concatenate([whole, row[at]])
+        return [pa.array(self.doc[rows]), self.part.take(pa.array(rows)),
+                pa.array(np.concatenate([self.listed[~own], self.listed[at] + begin[span]])),
+                pa.array(np.concatenate([self.listed[~own] + sizes[self.of[whole]], self.listed[at] + end[span]]))]
 
 
 def _shards(batches, size: int) -> Iterator[pa.Table]:
@@ -334,7 +338,7 @@ def _hot_marks(rows: DataFrame, units: Units) -> DataFrame:
     """
     span = units.span
     rows = materialize(rows, "hot-contexts")
-    first = rows.groupBy("context").agg(F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("lead"))
+    first = rows.groupBy("context").agg(F.min(F.struct("doc_id", "part", F.col("starts")[0].alias("start"))).alias("lead"))
 
     def split(batches):
         for batch in batches:
@@ -345,23 +349,25 @@ def _hot_marks(rows: DataFrame, units: Units) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([context] * n, pa.binary()),
                     pa.array([b" ".join(c) if units.words else c for c in cut], pa.binary()), pa.array(range(n), pa.int64()),
-                    pa.array([lead["doc_id"]] * n, pa.int64()), pa.array([lead["start"] + i for i in range(n)], pa.int64())],
-                    names=["context", "window", "at", "doc_id", "start"])
+                    pa.array([lead["doc_id"]] * n, pa.int64()), pa.array([lead["part"]] * n, pa.string()),
+                    pa.array([lead["start"] + i for i in range(n)], pa.int64())],
+                    names=["context", "window", "at", "doc_id", "part", "start"])
 
-    windows = materialize(first.mapInArrow(split, "context binary, window binary, at long, doc_id long, start long"), "hot-windows")
-    owners = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("owner"))
+    windows = materialize(first.mapInArrow(
+        split, "context binary, window binary, at long, doc_id long, part string, start long"), "hot-windows")
+    owners = windows.groupBy("window").agg(F.min(F.struct("doc_id", "part", "start")).alias("owner"))
     known = windows.join(owners, "window").groupBy("context").agg(F.collect_list(F.struct("at", "owner")).alias("owners"))
-    placed = rows.select("doc_id", "context", "starts").join(known, "context").select(
-        "doc_id", "owners", F.explode("starts").alias("start"))
-    earlier = (lambda x: F.struct(F.col("doc_id"), (F.col("start") + x["at"]).alias("start")) > x["owner"]) if units.inside else (
+    placed = rows.select("doc_id", "part", "context", "starts").join(known, "context").select(
+        "doc_id", "part", "owners", F.explode("starts").alias("start"))
+    earlier = (lambda x: F.struct(F.col("doc_id"), F.col("part"), (F.col("start") + x["at"]).alias("start")) > x["owner"]) if units.inside else (
         lambda x: F.col("doc_id") > x["owner"]["doc_id"])
-    marked = placed.select("doc_id", "start", F.explode(F.filter("owners", earlier)).alias("hit"))
-    return marked.select("doc_id", (F.col("start") + F.col("hit.at")).alias("start"),
+    marked = placed.select("doc_id", "part", "start", F.explode(F.filter("owners", earlier)).alias("hit"))
+    return marked.select("doc_id", "part", (F.col("start") + F.col("hit.at")).alias("start"),
                          (F.col("start") + F.col("hit.at") + span).alias("stop"))
 
 
 def find_marks(docs: DataFrame, units: Units, method: Callable, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, stop) of units to remove. `docs` holds unique doc_id, and text; neither is null.
+    """(doc_id, part, start, stop) of units to remove. `docs` holds (doc_id, part) once each, and text; none is null.
 
     `method` takes a shard and gives spans (context, begin, end) in units and the number of units of each context.
     """
@@ -371,7 +377,7 @@ def find_marks(docs: DataFrame, units: Units, method: Callable, shard_bytes: int
     def work(batches):
         for held in _shards(batches, shard_bytes):
             shard = Shard(units, held)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard.marks(*method(shard))], names=["doc_id", "start", "stop"])
+            yield pa.RecordBatch.from_arrays(shard.marks(*method(shard)), names=["doc_id", "part", "start", "stop"])
 
     frequent = repeated.where(F.col("n") > hot).select("hash")
     if frequent.limit(1).count() == 0:
@@ -383,36 +389,55 @@ def find_marks(docs: DataFrame, units: Units, method: Callable, shard_bytes: int
 
 # whole operator -----------------------------------------------------------------------------------------------------------
 
-def removed_spans(docs: DataFrame, units: Units, method: Callable, **sizes) -> DataFrame:
-    """(doc_id, digest, spans, whole): spans of removed units of each document that loses some.
+@dataclass(frozen=True)
+class Removed:
+    """`spans`: (doc_id, part, spans, whole) of the documents that lose something; `several`: ids with different texts."""
+
+    spans: DataFrame
+    several: DataFrame
+
+
+def _with_part(rows: DataFrame, several: DataFrame, digest: Column) -> DataFrame:
+    """`part` tells different texts of one id apart by their digest; it is empty where an id has one text."""
+    if several.limit(1).count():
+        rows = joined_small(rows, several.withColumn("_several", F.lit(True)), "doc_id")
+    else:
+        rows = rows.withColumn("_several", F.lit(None).cast("boolean"))
+    named = F.coalesce(F.col("_several"), F.col("doc_id") == LAST_ID)
+    return rows.withColumn("part", F.when(named, digest).otherwise("")).drop("_several")
+
+
+def removed_spans(docs: DataFrame, units: Units, method: Callable, **sizes) -> Removed:
+    """Spans of removed units of each document that loses some; every different text of every id is searched.
 
-    A text equal to that of a smaller doc_id is removed whole if it has a window (`whole`). Of several texts under one
-    doc_id only the one with the smallest digest is searched and `digest` names it; the others stay as they are. Rows
-    that repeat a document are one document. Null ids, null and empty texts take no part.
+    Different texts under one doc_id are parts of one document, in order of their digests: for words an earlier part is
+    an earlier start, for bytes a part takes nothing from another one. Texts with a null doc_id are parts of one document
+    that comes last, together with the id 2^63 - 1. A text equal to that of a smaller doc_id is removed whole if it has
+    a window (`whole`). Rows that repeat a document are one document. Null and empty texts take no part.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND length(text) > 0")
-    digests = materialize(texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")), "text-digests")
-    one = digests.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count("*").alias("rows"),
-                                        (F.min("digest") != F.max("digest")).alias("several"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text").where("length(text) > 0")
+    digest = F.md5(F.col("text").cast("binary"))
+    digests = materialize(texts.select("doc_id", digest.alias("digest")), "text-digests")
+    several = materialize(digests.where(F.col("doc_id") < LAST_ID).groupBy("doc_id").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("doc_id"), "text-several")
+    one = materialize(_with_part(digests.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")), several,
+                                 F.col("digest")), "text-parts")
     first = one.groupBy("digest").agg(F.min("doc_id").alias("lead"))
-    copies = materialize(one.join(first, "digest").where("doc_id > lead").select("doc_id", "digest"), "text-copies")
-    again = materialize(one.where("rows > 1").select("doc_id", "digest", "several"), "text-repeats")
-    searched = joined_small(texts, copies.select("doc_id"), "doc_id", "left_anti")
+    copies = materialize(one.join(first, "digest").where("doc_id > lead").select("doc_id", "part"), "text-copies")
+    again = one.where("rows > 1").select("doc_id", "part")
+    searched = joined_small(_with_part(texts, several, digest), copies, ["doc_id", "part"], "left_anti")
     if again.limit(1).count():
-        marked = joined_small(searched, again.select("doc_id", F.col("digest").alias("chosen")), "doc_id")
-        ours = marked.where(F.col("chosen").isNull())
-        twice = marked.where(F.col("chosen") == F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id"])
-        searched = ours.unionByName(twice).select("doc_id", "text")
+        marked = joined_small(searched, again.withColumn("_again", F.lit(True)), ["doc_id", "part"])
+        once = marked.where(F.col("_again").isNull())
+        searched = once.unionByName(marked.where("_again").dropDuplicates(["doc_id", "part"])).drop("_again")
     marks = find_marks(searched, units, method, **sizes)
-    spans = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).select(
-        "doc_id", "spans", F.lit(False).alias("whole"))
+    spans = marks.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumn(
+        "whole", F.lit(False))
     none = spark.createDataFrame([], spans.schema)
-    every = spans.unionByName(copies.select("doc_id", F.lit(None).cast(none.schema["spans"].dataType).alias("spans"),
+    every = spans.unionByName(copies.select("doc_id", "part", F.lit(None).cast(none.schema["spans"].dataType).alias("spans"),
                                             F.lit(True).alias("whole")))
-    named = again.where("several").select("doc_id", "digest")
-    return joined_small(every, named, "doc_id") if named.limit(1).count() else every.withColumn(
-        "digest", F.lit(None).cast("string"))
+    return Removed(every, several)
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -438,7 +463,7 @@ def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, units: Units, whole_characters: bool = False) -> DataFrame:
+def without_spans(docs: DataFrame, removed: Removed, units: Units, whole_characters: bool = False) -> DataFrame:
     """All columns of `docs`, and _n_units, _n_removed, _spans (maximal, in units) and _kept (bytes) of every row.
 
     Words are kept joined by one space, bytes as they are, or with `whole_characters` without characters that lose a
@@ -448,24 +473,25 @@ def without_spans(docs: DataFrame, spans: DataFrame, units: Units, whole_charact
     names = [f"c{i}" for i in range(len(fields))]
     inner = docs.toDF(*names)
     key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    joined = inner.join(spans.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left").withColumn(
-        "_own", F.col("digest").isNull() | (F.col("digest") == F.md5(F.col(text).cast("binary")))).drop("digest", "_id")
+    keyed = _with_part(inner.withColumn("doc_id", F.coalesce(key, F.lit(LAST_ID))), removed.several,
+                       F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    joined = keyed.join(removed.spans, ["doc_id", "part"], "left").drop("doc_id", "part")
     plain = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
     schema = f"{plain}, _n_units long, _n_removed long, _spans array<struct<start:bigint,stop:bigint>>, _kept binary"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def work(batches):
         for batch in batches:
-            size, removed, listed, kept = [], [], [], []
+            size, lost, listed, kept = [], [], [], []
             cells = zip(batch.column(text).cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(),
-                        batch.column("whole").to_pylist(), batch.column("_own").to_pylist(), strict=True)
-            for body, found, whole, own in cells:
+                        batch.column("whole").to_pylist(), strict=True)
+            for body, found, whole in cells:
                 body = body or b""
                 parts = body.split() if units.words else body  # bytes.split() splits at the six ASCII blanks
                 cut = []
-                if own and whole and len(parts) >= units.span:
+                if whole and len(parts) >= units.span:
                     cut = [(0, len(parts))]
-                elif own and found:
+                elif found and parts:
                     cut = _union(found)
                 left, at = [], 0
                 taken = _whole_characters(body, cut) if whole_characters and not units.words else cut
@@ -473,11 +499,11 @@ def without_spans(docs: DataFrame, spans: DataFrame, units: Units, whole_charact
                     left.extend(parts[at:a]) if units.words else left.append(parts[at:a])
                     at = b
                 size.append(len(parts))
-                removed.append(sum(b - a for a, b in cut))
+                lost.append(sum(b - a for a, b in cut))
                 listed.append([{"start": a, "stop": b} for a, b in cut])
                 kept.append((b" " if units.words else b"").join(left))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
+                [*[batch.column(n) for n in names], pa.array(size, pa.int64()), pa.array(lost, pa.int64()),
                  pa.array(listed, kind), pa.array(kept, pa.binary())],
                 names=[*names, "_n_units", "_n_removed", "_spans", "_kept"])
 
