@@ -150,6 +150,33 @@ def test_nearest_of_odd_rows(spark):
     assert nearest.search(vectors(spark, rows[:1]), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_one_of_different_vectors_under_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (21, [5.0, 0.0]), (21, [0.5, 9.0]), (22, [1.0, 1.0]), (21, [5.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        for parts in (1, 3):
+            docs = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(parts)
+            got = nearest.search(docs, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+            assert [(r.vec_id, r.score) for r in got] == [(22, 1.0), (21, 0.5)]
+
+
+def test_lengths_whose_squares_overflow(spark):
+    rng = np.random.default_rng(12)
+    rows = rng.standard_normal((400, 8))
+    rows[::3] *= 1e160
+    plain = {}
+    for i in range(0, 400, 20):
+        scores = sorted(((-float((rows[i] * rows[j]).sum()), j) for j in range(400) if j != i))[:20]
+        plain[i] = [j for _, j in scores]
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = nearest.search(docs, F.col("vec_id") % 20 == 0, sure=1.0).collect()
+    finite = [i for i in plain if i % 3]  # products of two large vectors leave the range of doubles
+    for i in finite:
+        found = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i)
+        assert [v for _, v, _ in found] == plain[i]
+        assert all(abs(s / float((rows[i] * rows[v]).sum()) - 1) < 1e-9 for _, v, s in found)
+    assert len(got) == 20 * 20
+
+
 def test_chi_square():
     assert np.allclose(nearest.chi_square_cdf(np.array([0.0, 2.732636, 7.344121, 15.507313]), 8), [0, 0.05, 0.5, 0.95], atol=1e-4)
 

@@ -13,7 +13,9 @@ with the same test and returns what reaches the bound. Equal vectors are one poi
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those whose length is not the
 most frequent one (the larger of equals), take no part, as queries or as candidates; so do null ids. Repeated rows are
-one vector. A query gets fewer than `k` rows if there are fewer candidates; ties go to the smaller id. Other columns are
+one vector; of different vectors under one id the smallest, compared component by component, takes part. Components so large
+that a squared length overflows are scaled by a power of two for the search, and the scores scaled back; a score beyond the
+range of doubles is infinite. A query gets fewer than `k` rows if there are fewer candidates; ties go to the smaller id. Other columns are
 ignored.
 """
 
@@ -37,6 +39,8 @@ MOST_CELLS = 2048
 LEAF = 32
 FIRST_CELLS = 4
 SLOT_QUERIES = 20_000
+_LONGEST = 2.0 ** 510  # a longer vector's squared distances may leave the range of doubles
+_SAFE_EXPONENT = 480
 _FOUND = "query long, point long, score double"
 
 
@@ -58,7 +62,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     kept = whole.where(fine & F.exists("embedding", lambda x: x != 0))
     sizes = kept.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     size = sizes[0]["n"] if sizes else 0
-    return kept.where(F.size("embedding") == size).dropDuplicates(["vec_id"])
+    # of several vectors under one id the smallest by its components, whatever the partitioning
+    return kept.where(F.size("embedding") == size).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 class Tree:
@@ -185,6 +190,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sure: float = SURE,
     facts = points.agg(F.count("*").alias("n"), F.max(norm).alias("longest"), F.max(F.size("embedding")).alias("size")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if facts["longest"] > _LONGEST:
+        largest = points.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
+        factor = 2.0 ** (_SAFE_EXPONENT - math.frexp(largest)[1] - facts["size"].bit_length())
+        scaled = clean.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(factor)))
+        found = search(scaled, is_query, k, sure, projections, cell_rows, sample)
+        return found.withColumn("score", F.col("score") / F.lit(factor) / F.lit(factor))
     space = Space(facts["size"], facts["longest"], projections)
     drawn = points.orderBy(F.xxhash64("point"), "point").limit(sample).select("embedding").toArrow()
     depth = min(math.ceil(math.log2(max(1, facts["n"] / cell_rows))), int(math.log2(MOST_CELLS)))
