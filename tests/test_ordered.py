@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators.ordered import arrange, percent_rank_of_ties
+from wattline.operators import ordered
+from wattline.operators.ordered import arrange, percent_rank_of_ties, spread_join
 from wattline.operators.quantile import quantiles
 from wattline.operators.splits import latest_per_key
 
@@ -94,3 +95,23 @@ def test_empty_and_single_row(spark):
     assert quantiles(empty, {"m": ("v", 0.5)}).first()["m"] is None
     one = spark.createDataFrame([(1, 1, 2.0)], "k long, t long, v double")
     assert quantiles(one, {"m": ("v", 0.5)}).first()["m"] == 2.0
+
+
+@pytest.mark.parametrize("limit", [10, 400])
+def test_spread_join_equals_a_join_and_bounds_the_largest_share(spark, limit):
+    left = spark.range(900).select(F.col("id").alias("row_id"), F.when(F.col("id") % 9 == 8, None).when(
+        F.col("id") % 3 < 2, 1).otherwise(F.col("id")).cast("bigint").alias("k"), F.lit("x").alias("note"))
+    right = spark.createDataFrame([(1, 10.0), (1, 11.0), (5, 50.0), (None, 1.0), (77777, 2.0)], "k bigint, v double")
+    spread = spread_join(left, right, ["k"], limit)
+    plain = left.join(right, ["k"], "left")
+    assert spread.columns == plain.columns
+    assert spread.exceptAll(plain).count() == 0 == plain.exceptAll(spread).count()
+
+
+def test_lookup_join_with_more_frequent_keys_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "_MOST_HOT", 3)
+    rows = spark.range(600).select((F.col("id") % 20).alias("k"), "id").unionByName(spark.range(200).select(F.lit(4).cast("bigint").alias("k"), "id"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    got = ordered.lookup_join(rows, table, ["k"], "n", 5)
+    want = rows.join(table, "k", "left")
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == 800

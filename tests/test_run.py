@@ -44,6 +44,22 @@ def test_alerts_of_every_meter(spark, meter):
     assert newest.count() == 60
 
 
+def test_a_marked_file_leaves_the_others_to_be_cleaned(spark):
+    """One file was cleaned before; the readings of the other file have two rows an hour and are resampled."""
+    hourly = hourly_total(spark, FOLDER).drop("series_id")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    path = scratch_path(spark, "mixed")
+    hourly.select(F.lit(1).alias("series_id"), stamp, "consumption_kwh", "voltage", F.lit("real_sensor").alias("data_source")).write.option(
+        "header", True).csv(f"{path}/a")
+    twice = hourly.withColumn("ts", F.explode(F.array("ts", F.col("ts") + F.expr("INTERVAL 20 MINUTES"))))
+    twice.select(F.lit(2).alias("series_id"), stamp, "consumption_kwh", "voltage").write.option("header", True).csv(f"{path}/b")
+    matrix, _ = run.prepare(spark, f"{path}/*")
+    counts = {r["series_id"]: r["count"] for r in matrix.groupBy("series_id").count().collect()}
+    assert counts == {1: 720 - 47, 2: 720 - 47}
+    assert matrix.filter("date_trunc('hour', ts) <> ts").count() == 0
+    assert matrix.filter("data_source = 'real_sensor'").count() == 2 * (720 - 47)
+
+
 def test_side_table_per_meter(spark):
     two = hourly_total(spark, FOLDER).drop("series_id").crossJoin(spark.range(2).withColumnRenamed("id", "series_id"))
     stamped = two.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from wattline.functions.labels import severity
 from wattline.models.scaling import fill_zero
-from wattline.operators.ordered import percent_rank_of_ties
+from wattline.operators.ordered import arrange, percent_rank_of_ties
 from wattline.operators.quantile import quantiles
 from wattline.operators.splits import hash_sample, scatter
 from wattline.session import materialize
@@ -176,16 +176,30 @@ def split_weights(model: ForestModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, weight double")
 
 
+def permuted(df: DataFrame, columns: Sequence[str], key: str = ROW, shuffle: Callable[[str], Column] | None = None) -> DataFrame:
+    """One copy of the rows for each column, named by ``feature``, with the values of that column dealt anew.
+
+    The n-th row by key gets the value of the n-th row by ``shuffle`` (a hash of key and column; ties go by key), so the
+    result is the same on every run. Rows are numbered by range, and no task holds a long table.
+    """
+    shuffle = shuffle or (lambda name: F.xxhash64(F.col(key), F.lit(name)))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), shuffle(c).alias("_h"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = materialize(df.select(key, *columns, F.inline(cells)), "permuted")
+    values = arrange(long.select("feature", "_h", key, "_v"), ["feature"], ["_h", key]).with_position("_n").select("feature", "_n", "_v")
+    rows = arrange(long.drop("_h", "_v"), ["feature"], [key]).with_position("_n").join(values, ["feature", "_n"])
+    return rows.select(key, "feature", *[F.when(F.col("feature") == c, F.col("_v")).otherwise(F.col(c).cast("double")).alias(c) for c in columns])
+
+
+def permutation_importance(df: DataFrame, columns: Sequence[str], score: Column, key: str = ROW,
+                           shuffle: Callable[[str], Column] | None = None) -> DataFrame:
+    """(feature, importance): mean absolute change of ``score`` when the values of one column are dealt anew."""
+    changed = permuted(df, columns, key, shuffle).select(key, "feature", score.alias("_s"))
+    base = df.select(key, score.alias("_base"))
+    return changed.join(base, key).groupBy("feature").agg(F.avg(F.abs(F.col("_s") - F.col("_base"))).alias("importance"))
+
+
 def explain(model: ForestModel, df: DataFrame, rows: int = 200, key: str = ROW) -> DataFrame:
-    """Mean score change when a feature is set to its mean, over a fixed sample of ``rows`` rows."""
-    means = df.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in model.features]).first()
-    tried = fill_zero(hash_sample(df.select(key, *model.features), rows, key), model.features)
-    cases = [F.struct(F.lit("").alias("feature"), *[F.col(c) for c in model.features])]
-    for name in model.features:
-        cases.append(F.struct(F.lit(name).alias("feature"), *[
-            (F.lit(means[c]).cast("double") if c == name else F.col(c)).alias(c) for c in model.features]))
-    long = tried.select(key, F.inline(F.array(*cases))).withColumn("_s", raw_score(model))
-    base = long.filter("feature = ''").select(key, F.col("_s").alias("_base"))
-    changed = long.filter("feature <> ''").join(base, key)
-    mean = changed.groupBy("feature").agg(F.avg(F.abs(F.col("_s") - F.col("_base"))).alias("importance"))
+    """Mean score change when a feature is permuted, over a fixed sample of ``rows`` rows."""
+    tried = materialize(fill_zero(hash_sample(df.select(key, *model.features), rows, key), model.features), "explained")
+    mean = permutation_importance(tried, model.features, raw_score(model), key)
     return mean.orderBy(F.col("importance").desc(), "feature")

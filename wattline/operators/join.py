@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.operators.ordered import lookup_join
+from wattline.operators.ordered import lookup_join, spread_join
 from wattline.session import rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS
 
@@ -20,13 +20,14 @@ def with_side_table(left: DataFrame, right: DataFrame, on: Sequence[str] | None
     """Left join by key; columns present on both sides get suffixes, equal right keys multiply rows.
 
     Without a given key the join is on series and time where both sides have the series, else on time.
+    A time that very many rows share is spread over several tasks.
     """
     if on is None:
         on = [SERIES, TS] if SERIES in left.columns and SERIES in right.columns else [TS]
     shared = [c for c in right.columns if c in left.columns and c not in on]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    return left.join(right, list(on), "left")
+    return spread_join(left, right, on, rows_per_task(left.sparkSession))
 
 
 def with_label(df: DataFrame, labels: DataFrame, key: str, label: str, default: str = "unknown") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from wattline.session import materialize, rows_per_task
 
 _POS, _CUT, _CORE = "_pos", "_cut", "_core"
+_MOST_HOT = 50_000
 _BITS_IN_PARTITION = 33  # layout of monotonically_increasing_id
 
 
@@ -225,14 +226,44 @@ def percent_rank_of_ties(df: DataFrame, value: str, name: str, keys: Sequence[st
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, limit: int) -> DataFrame:
     """Left join rows to a table with one line per key and its row count.
 
-    Keys with more than ``limit`` rows are broadcast (there are at most n/limit of them),
-    so no shuffle partition receives a hot key; the others join by shuffle.
+    Keys with more than ``limit`` rows are broadcast, so no shuffle partition receives a hot key; the
+    others join by shuffle. If there are more than 50,000 of them the most frequent are broadcast, and
+    each other key has less than a 50,000th of all rows.
     """
-    hottest = table.agg(F.max(count)).first()[0] or 0
-    if hottest <= limit:
+    hottest = table.filter(F.col(count) > limit).select(count).orderBy(F.desc(count)).limit(_MOST_HOT + 1)
+    facts = hottest.agg(F.count(F.lit(1)).alias("n"), F.min(count).alias("least")).first()
+    if not facts["n"]:
         return rows.join(table, on, "left")
+    if facts["n"] > _MOST_HOT:
+        limit = facts["least"]
     hot = F.broadcast(table.filter(F.col(count) > limit))
     cold = table.filter(F.col(count) <= limit)
     return rows.join(hot, on).unionByName(
         rows.join(hot.select(*on), on, "left_anti").join(cold, on, "left")
     )
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int) -> DataFrame:
+    """Left join that gives no task all rows of a frequent key.
+
+    The rows of a key with more than ``limit`` rows on the left are dealt over shares by a hash of the
+    row, and the key's rows on the right are repeated once a share. Shares are broadcast, at most 50,000
+    lines: beyond that the most frequent keys are spread, and each other key has less than a 50,000th of
+    all rows. Null keys match nothing and are spread too.
+    """
+    on = list(on)
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    shares = materialize(sizes.orderBy(F.desc("_rows"), *on).limit(_MOST_HOT).select(
+        *on, F.ceil(F.col("_rows") / F.lit(limit)).alias("_shares")), "hot-keys")
+    if not shares.limit(1).count():
+        return left.join(right, on, "left")
+    shares, one = F.broadcast(shares), F.lit(1).cast("bigint")
+    row = F.xxhash64(*[f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()])
+    known = F.lit(True)
+    for key in on:
+        known = known & F.col(key).isNotNull()
+    dealt = left.join(shares, on, "left").withColumn(
+        "_share", F.when(known, F.pmod(row, F.coalesce("_shares", one))).otherwise(row)).drop("_shares")
+    repeated = right.join(shares, on, "left").withColumn(
+        "_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_shares", one) - 1))).drop("_shares")
+    return dealt.join(repeated, [*on, "_share"], "left").drop("_share")

@@ -66,6 +66,28 @@ def _(spark, folder):
     return forest.explain(model, table).join(forest.split_weights(model, table), "feature")
 
 
+_DEALT = {KWH: 48271, "load_factor": 69621, "temperature": 16807}
+
+
+def _dealt_sql(column, factor):
+    shown = {c: c for c in _DEALT} | {column: "v"}
+    return f"""SELECT '{column}' AS feature, abs({shown[KWH]} * {shown['load_factor']} + 10 * {shown['temperature']} - base) AS d
+  FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS k FROM b)
+  JOIN (SELECT {column} AS v, row_number() OVER (ORDER BY (row_id * {factor}) % 2147483647, row_id) AS k FROM b) USING (k)"""
+
+
+@query("K2_permuted_score_change", f"""
+WITH {READINGS}, z AS (SELECT row_id, consumption_kwh, coalesce(load_factor, 0) AS load_factor, temperature FROM rd),
+b AS (SELECT *, consumption_kwh * load_factor + 10 * temperature AS base FROM z), d AS ({' UNION ALL '.join(_dealt_sql(c, f) for c, f in _DEALT.items())})
+SELECT feature, avg(d) AS importance FROM d GROUP BY 1
+""", floats="importance")
+def _(spark, folder):
+    """Every row counts: the values of one column are dealt anew among all rows, and a given score is compared."""
+    table = readings(spark, folder).select("row_id", KWH, F.coalesce("load_factor", F.lit(0.0)).alias("load_factor"), F.col("temperature").cast("double"))
+    score = F.col(KWH) * F.col("load_factor") + 10 * F.col("temperature")
+    return forest.permutation_importance(table, list(_DEALT), score, shuffle=lambda c: F.pmod(F.col("row_id") * _DEALT[c], F.lit(2147483647)))
+
+
 @query("K3_demand_regressor")
 def _(spark, folder):
     return forecast.fit_forecaster(_modelled(spark, folder), columns=INPUTS, estimator=forecast.boosted_trees(10)).report
@@ -535,8 +557,8 @@ def _lagged(spark, folder):
     return features.add_lags(clean.resample(readings(spark, folder), 3600, columns=[KWH]), lags=(1, 24))
 
 
-_HORIZONS = f"""{_POSITIONS}, {', '.join(_backtest_sql(h, name=f'b{h}') for h in (6, 24))},
-ev AS (SELECT 6 AS horizon, * FROM b6 UNION ALL SELECT 24, * FROM b24),
+_HORIZONS = f"""{_POSITIONS}, {', '.join(_backtest_sql(h, name=f'b{h}') for h in (6, 12, 24, 48))},
+ev AS (SELECT 6 AS horizon, * FROM b6 UNION ALL SELECT 12, * FROM b12 UNION ALL SELECT 24, * FROM b24 UNION ALL SELECT 48, * FROM b48),
 dd AS (SELECT *, sign(actual - lag(actual) OVER w) AS dy, sign(predicted - lag(predicted) OVER w) AS dp FROM ev WINDOW w AS (PARTITION BY horizon, model ORDER BY fold, step)),
 hr AS (SELECT horizon, model, avg(abs(actual - predicted)) AS mae, sqrt(avg(power(actual - predicted, 2))) AS rmse,
   avg(CASE WHEN actual <> 0 THEN abs((actual - predicted) / actual) END) * 100 AS mape, 1 - avg(power(actual - predicted, 2)) / var_pop(actual) AS r2,
@@ -545,7 +567,7 @@ hr AS (SELECT horizon, model, avg(abs(actual - predicted)) AS mae, sqrt(avg(powe
 
 
 def _horizons(spark, folder):
-    return lifecycle.horizon_report(hourly_total(spark, folder), (6, 24), 240)
+    return lifecycle.horizon_report(hourly_total(spark, folder), (6, 12, 24, 48), 240)
 
 
 @query("L16_horizon_report", f"WITH {_HORIZONS} SELECT * FROM hr",

@@ -37,18 +37,31 @@ def prepare(spark: SparkSession, meter_path: str, iot_path: str | None = None, v
     A valid table is cleaned, resampled and marked; an invalid one, or one that is not to be
     validated, takes the basic cleaning path. Rows without a readable time are left out and
     counted in the findings. A side table with series is joined per series and time.
+
+    Rows that were cleaned before they were written stay as they are, whatever the other files hold;
+    where such a row and a cleaned one share series and time, the earlier cleaned row stays.
     """
     scanned = with_series(src.scan_csv(spark, meter_path, keep_bad_rows=True))
     unreadable = scanned.filter(F.col(TS).isNull()).count()
     raw = scanned.filter(F.col(TS).isNotNull())
     findings = quality.validate(raw, bad_times=unreadable)
-    if src.is_clean_already(raw):  # cleaned and resampled before it was written
+    before = src.cleaned_before(raw)
+    facts = raw.agg(F.count_if(before).alias("done"), F.count_if(~before).alias("fresh")).first()
+    mixed = facts["done"] > 0 and facts["fresh"] > 0
+    fresh = raw.filter(~before).drop("data_source", "ingestion_time") if mixed else raw
+    if facts["done"] and not facts["fresh"]:
         length, table = clean.grid_length(raw, seconds), raw
     elif validated and quality.verdict(findings).first()["is_valid"]:
         length = clean.grid_length(raw, seconds)
-        table = src.with_lineage(clean.resample(clean.clean_validated(raw), seconds))
+        table = src.with_lineage(clean.resample(clean.clean_validated(fresh), seconds))
     else:
-        length, table = None, clean.clean(raw)
+        length, table = None, clean.clean(fresh)
+    if mixed:
+        done = src.with_lineage(raw.filter(before))
+        done = done if ROW in table.columns else done.drop(ROW)
+        table = table if "data_source" in table.columns else src.with_lineage(table, "basic_cleaning")
+        length, table = None, table.join(done.select(SERIES, TS), [SERIES, TS], "left_anti").unionByName(
+            done, allowMissingColumns=True)
     if iot_path:
         table = with_side_table(table, src.scan_iot_csv(spark, iot_path))
     return features.feature_matrix(table.drop("status"), longest=length if iot_path is None else None), findings

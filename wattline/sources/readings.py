@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,12 +98,11 @@ def with_lineage(df: DataFrame, source: str = "real_sensor") -> DataFrame:
     return df.withColumns({"data_source": F.lit(source), "ingestion_time": F.current_timestamp()})
 
 
-def is_clean_already(df: DataFrame) -> bool:
-    """Rows that carry the lineage of a validated source need no second cleaning."""
+def cleaned_before(df: DataFrame) -> Column:
+    """Whether a row carries the lineage of a validated source and needs no second cleaning."""
     if "data_source" not in df.columns:
-        return False
-    first = df.select("data_source").first()
-    return first is not None and first[0] == "real_sensor"
+        return F.lit(False)
+    return F.coalesce(F.col("data_source") == "real_sensor", F.lit(False))
 
 
 def measure_columns(df: DataFrame, exclude: set | None = None) -> list[str]:
