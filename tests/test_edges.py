@@ -122,9 +122,12 @@ def test_cooldown_by_hand(spark, pieces, times, fires, limit):
     assert sorted((r["ts"] - START).total_seconds() for r in got.collect()) == fires
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 1])
-def test_cooldown_against_a_loop(spark, pieces, limit):
+@pytest.mark.parametrize("limit,gaps,chunks", [(1_000_000, 64, 64), (1, 64, 64), (1, 4, 2), (1, 1, 3)])
+def test_cooldown_against_a_loop(spark, pieces, monkeypatch, limit, gaps, chunks):
+    """In one fold per key, in chunks, and in many rounds over small chunks."""
     pieces(limit)
+    monkeypatch.setattr(cooldown, "_GAPS_PER_CHUNK", gaps)
+    monkeypatch.setattr(cooldown, "_CHUNKS_PER_GROUP", chunks)
     draw = np.random.default_rng(3)
     times = sorted(int(t) for t in np.concatenate([draw.integers(0, 200_000, 300), draw.integers(50_000, 52_000, 200)]))
     want, last = [], None

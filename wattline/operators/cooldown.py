@@ -5,12 +5,15 @@ lag cannot decide it.  The work is cut into time chunks that run in parallel:
 
 1. per chunk, a step function from "earliest time allowed to fire" to the same value after
    the chunk (steps that lead to the same end are merged, and chains merge quickly);
-2. per key, these small functions are applied in order, giving each chunk its start value;
+2. the functions of 64 neighbouring chunks become one function, and so on in rounds until a key
+   has one; its steps are never more than those of the first chunk and one. From the top down each
+   group then gives its members their start values, so that no task holds all chunks of a key;
 3. per chunk, the firing times follow from the start value.
 
 Rows of the same key and time are reduced to one before any of this, so a chunk holds
 distinct times only and its size is bounded by the clock resolution, not by the row count.
-While every key has few times, one SQL fold per key does the same without Python.
+While every key has few times, one SQL fold per key does the same without Python. Alerts are written
+once before the count that decides this.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.operators.ordered import largest_group
-from wattline.session import rows_per_task
+from wattline.session import materialize, rows_per_task
 from wattline.sources.readings import ROW, SERIES, TS
 
 _GAPS_PER_CHUNK = 64
+_CHUNKS_PER_GROUP = 64
 _FOLD_TIMES = 4096
 _NEVER = np.iinfo(np.int64).min
 
@@ -59,18 +63,44 @@ def _chunk_function(gap: int, span: int, keys: list[str]):
     return build
 
 
+def _through(functions: list[tuple[np.ndarray, np.ndarray]], allowed: np.ndarray) -> np.ndarray:
+    """The values after all functions, for each start value."""
+    for upto, after in functions:
+        at = np.searchsorted(upto, allowed)
+        allowed = np.where(at < len(upto), after[np.minimum(at, len(upto) - 1)], allowed)
+    return allowed
+
+
+def _functions(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    pdf = pdf.sort_values(["_chunk", "_upto"])
+    chunks, starts = np.unique(pdf["_chunk"].to_numpy(), return_index=True)
+    return chunks, list(zip(np.split(pdf["_upto"].to_numpy(), starts[1:]), np.split(pdf["_after"].to_numpy(), starts[1:])))
+
+
 def _compose(keys: list[str]):
+    """One function of a group of neighbouring chunks."""
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, (first, *rest) = _functions(pdf)
+        upto, after = first[0], _through(rest, first[1])
+        if rest and rest[0][0][0] > upto[-1]:  # a start after all times of the first chunk comes before those of the next
+            upto = np.append(upto, rest[0][0][0])
+            after = np.append(after, _through(rest, rest[0][0][:1]))
+        keep = np.append(after[1:] != after[:-1], True)
+        out = pd.DataFrame({"_chunk": int(pdf["_group"].iloc[0]), "_upto": upto[keep], "_after": after[keep]})
+        for key in keys:
+            out[key] = pdf[key].iloc[0]
+        return out[[*keys, "_chunk", "_upto", "_after"]]
+    return build
+
+
+def _starts(keys: list[str]):
+    """The start value of each chunk of a group, from that of the group."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_chunk", "_upto"])
-        chunks, starts = np.unique(pdf["_chunk"].to_numpy(), return_index=True)
-        upto, after = pdf["_upto"].to_numpy(), pdf["_after"].to_numpy()
-        edges, allowed, begin = np.append(starts, len(upto)), _NEVER, []
-        for i in range(len(chunks)):
-            begin.append(allowed)
-            a, b = edges[i], edges[i + 1]
-            j = a + int(np.searchsorted(upto[a:b], allowed))
-            if j < b:
-                allowed = int(after[j])
+        chunks, functions = _functions(pdf)
+        allowed, begin = np.array([pdf["_allowed"].iloc[0]], dtype="int64"), []
+        for function in functions:
+            begin.append(int(allowed[0]))
+            allowed = _through([function], allowed)
         out = pd.DataFrame({"_chunk": chunks, "_allowed": np.array(begin, dtype="int64")})
         for key in keys:
             out[key] = pdf[key].iloc[0]
@@ -101,8 +131,8 @@ def apply_cooldown(alerts: DataFrame, seconds: float = 300, keys: Sequence[str]
     keys, gap = list(keys), int(seconds * 1_000_000)
     rest = [c for c in alerts.columns if c not in (*keys, ts)]
     single = alerts.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), F.col(row)).alias("_row"))
-    single = single.withColumn("_us", F.unix_micros(ts))
-    if largest_group(alerts.select(*keys, ts), keys) <= min(_FOLD_TIMES, rows_per_task(alerts.sparkSession)):
+    single = materialize(single.withColumn("_us", F.unix_micros(ts)), "alerts-per-time")  # the rules run once
+    if largest_group(single, keys) <= min(_FOLD_TIMES, rows_per_task(alerts.sparkSession)):
         rows = F.collect_list(F.struct("_us", ts, "_row"))
         if any(isinstance(f.dataType, T.MapType) for f in alerts.schema.fields):  # maps have no order
             rows = F.array_sort(rows, lambda a, b: F.signum(a["_us"] - b["_us"]).cast("int"))
@@ -132,8 +162,18 @@ def _by_chunks(alerts: DataFrame, single: DataFrame, keys: list[str], gap: int)
     times = times.repartition(width, *keys, "_chunk")
     kinds = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    steps = times.groupBy(*keys, "_chunk").applyInPandas(
-        _chunk_function(gap, span, keys), f"{head}, _chunk bigint, _upto bigint, _after bigint")
-    begin = steps.groupBy(*keys).applyInPandas(_compose(keys), f"{head}, _chunk bigint, _allowed bigint")
+    schema = f"{head}, _chunk bigint, _upto bigint, _after bigint"
+    group = F.floor(F.col("_chunk") / F.lit(_CHUNKS_PER_GROUP))
+    levels = [materialize(times.groupBy(*keys, "_chunk").applyInPandas(_chunk_function(gap, span, keys), schema), "cooldown-steps")]
+    ends = times.agg(F.min("_chunk").alias("low"), F.max("_chunk").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    while low != high:  # a round for each power of 64 of the chunks from the first to the last
+        low, high = low // _CHUNKS_PER_GROUP, high // _CHUNKS_PER_GROUP
+        above = levels[-1].withColumn("_group", group).groupBy(*keys, "_group").applyInPandas(_compose(keys), schema)
+        levels.append(materialize(above, "cooldown-steps"))
+    begin = levels.pop().select(*keys, "_chunk").distinct().withColumn("_allowed", F.lit(_NEVER).cast("bigint"))
+    for steps in reversed(levels):
+        known = steps.withColumn("_group", group).join(begin.withColumnRenamed("_chunk", "_group"), [*keys, "_group"])
+        begin = known.groupBy(*keys, "_group").applyInPandas(_starts(keys), f"{head}, _chunk bigint, _allowed bigint")
     return times.join(begin, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
         _fire(gap, keys), f"{head}, _us bigint")
