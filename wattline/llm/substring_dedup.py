@@ -10,7 +10,8 @@ first place holds a whole block, and unless that is the reference itself, both p
 
 Words are compared by their 64-bit hashes, ten to thirty at a time. Defined results (all from `repeats.removed_spans`):
 null, blank and short texts lose nothing; a copy of a whole text of twenty words or more loses everything; repeated rows
-are one document and are treated alike; other columns of the input are ignored.
+are one document and are treated alike; different texts under one id are parts
+of one document, and texts without an id are parts of one that comes last; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ one piece in the ordered strings of each other.
 
 Defined results (all from `repeats.removed_spans`): null, empty and short texts lose nothing; a copy of a whole text of
 fifty bytes or more loses everything; repeated rows are one document and are treated alike; a repeat inside one document
-alone is kept; other columns of the input are ignored.
+alone is kept; different texts under one id are parts
+of one document, and texts without an id are parts of one that comes last; other columns of the input are ignored.
 """
 
 from __future__ import annotations
