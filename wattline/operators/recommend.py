@@ -98,6 +98,7 @@ def dataset_alerts(df: DataFrame) -> DataFrame:
     """Alerts on a whole uploaded table: spikes, validity, voltage, anomaly rate, inefficiency."""
     c = F.col
     ratio = F.try_divide(c("peak_usage"), c("average_usage"))
+    # Rules, limits, severities and texts.
     lines = [
         _line(ratio > 2, severity="critical", rule="Peak Spike Detected",
               message=_text("Peak usage ", fixed(c("peak_usage"), 1), " kWh is ", fixed(ratio, 1), "x above average.")),
@@ -126,6 +127,7 @@ def dataset_recommendations(df: DataFrame) -> DataFrame:
     rate = c("far") / F.greatest(c("row_count"), F.lit(1)) * 100
     ratio = F.try_divide(c("peak_usage"), c("average_usage"))
     score = F.round(c("average_usage") / F.greatest(c("peak_usage"), F.lit(1.0)) * 100)
+    # Limits, priorities, categories and texts.
     lines = [
         _line(rate > 3, priority="critical", category="Equipment",
               text=_text("Anomaly rate is ", fixed(rate, 1), "% — inspect equipment in zones with repeated spikes.")),
@@ -144,6 +146,7 @@ def dataset_recommendations(df: DataFrame) -> DataFrame:
 
 def average_tips(df: DataFrame, column: str = KWH, high: float = 120.0, low: float = 80.0) -> DataFrame:
     one = df.agg(F.avg(column).alias("avg"))
+    # Limits (the defaults), priorities, categories and texts.
     return _fired(one, [
         _line(F.col("avg") > high, priority="high", category="Energy", text="Reduce peak load to improve efficiency."),
         _line(F.col("avg") < low, priority="info", category="Optimization", text="System operating efficiently."),
