@@ -39,7 +39,7 @@ CLASSES, SHAPES = 9, 16
 BLOCKS = (WORD_CELLS, PAIR_CELLS, CLASSES ** 3, SHAPES ** 2)
 COUNTS = sum(BLOCKS)
 THRESHOLD = 0.7
-_BLOCK = 512
+_BLOCK, _LEARN_BLOCK = 512, 128
 
 
 def held_out(key: Column) -> Column:
@@ -114,7 +114,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(found) * idf
+    out = np.log1p(found, dtype=np.float32) * idf
     for block in np.split(out, np.cumsum(BLOCKS)[:-1], axis=1):
         block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
     return out
@@ -153,13 +153,22 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def _directions(rows: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
-    """Leading right singular vectors by a seeded random range finder with three passes."""
-    width = min(rank + 16, *rows.shape)
-    basis = np.random.default_rng(seed).standard_normal((rows.shape[1], width))
+def _blocks(found: np.ndarray, idf: np.ndarray):
+    """Weighted rows, a few at a time: the driver never holds all of them."""
+    for at in range(0, len(found), _LEARN_BLOCK):
+        yield _weighted(found[at:at + _LEARN_BLOCK], idf).astype(np.float64)
+
+
+def _directions(found: np.ndarray, idf: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
+    """Leading right singular vectors of the weighted rows by a seeded random range finder with three passes."""
+    width = min(rank + 16, *found.shape)
+    basis = np.random.default_rng(seed).standard_normal((found.shape[1], width))
     for _ in range(3):
-        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
-    _, _, right = np.linalg.svd(rows @ basis, full_matrices=False)
+        image = np.zeros_like(basis)
+        for rows in _blocks(found, idf):
+            image += rows.T @ (rows @ basis)
+        basis, _ = np.linalg.qr(image)
+    _, _, right = np.linalg.svd(np.concatenate([rows @ basis for rows in _blocks(found, idf)]), full_matrices=False)
     return (basis @ right.T)[:, :rank].astype(np.float32)
 
 
@@ -182,16 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: in
     rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(
         count, "doc_id long, label long, found binary").groupBy("doc_id", "label").agg(
         F.min("found").alias("found")).orderBy("doc_id").collect()
-    found = np.array([np.frombuffer(bytes(r["found"]), np.uint16) for r in rows], np.float32).reshape(-1, COUNTS)
+    rows = [r for r in rows if any(r["found"])]
+    found = np.empty((len(rows), COUNTS), np.uint16)
     marks = np.array([r["label"] for r in rows], np.float64)
-    filled = found.sum(1) > 0
-    found, marks = found[filled], marks[filled]
+    for i, r in enumerate(rows):
+        found[i] = np.frombuffer(r["found"], np.uint16)
+    del rows  # as large as the counts
     if not len(marks):
         return Model(np.ones(COUNTS, np.float32), np.zeros((COUNTS, 1), np.float32), np.zeros((0, 1), np.float32), marks)
     held, n = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
-    directions = _directions(_weighted(found, idf), rank)
-    return Model(idf, directions, latent_vectors(found, idf, directions), marks)
+    directions = _directions(found, idf, rank)
+    vectors = [latent_vectors(found[at:at + _LEARN_BLOCK], idf, directions) for at in range(0, len(found), _LEARN_BLOCK)]
+    return Model(idf, directions, np.concatenate(vectors), marks)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
