@@ -1,15 +1,19 @@
 """Source divergence against SQL on tables with every odd case, and the counting of documents against brute force."""
 
+import glob
 import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import DOCS, empty_docs, odd_docs
 from tools.check import canonical
 from wattline.llm import divergence, oracles
+from wattline.session import scratch_root, scratch_scope
 
 
 def by_sql(docs, least_docs, top):
@@ -49,6 +53,50 @@ def test_chunks_and_terms_against_brute_force(spark):
     assert sorted((r["term"], r["times"]) for r in cut.collect()) == [("a", 2), ("b\u00e9a", 1)]
 
 
+@pytest.mark.parametrize("pass_bytes,task_bytes,rows", [(8 << 20, 32 << 20, 1000), (64, 1 << 10, 7), (1, 1, 1)])
+def test_terms_of_passes_against_brute_force(spark, monkeypatch, pass_bytes, task_bytes, rows):
+    """Texts over several passes, batches and combinations; term characters beyond ASCII, texts without terms or blanks."""
+    docs = [tuple(r) for r in odd_docs(spark, False).na.fill("", ["lang", "source", "text"]).select("lang", "source", "text").collect()]
+    docs += [("en", "a", t) for t in ("--", "1 2", "\u00d1a\u00d1A-na\x00NA", "a\u00a0B", "\x85x\x7fy[z`{", "\U0001f600a, A", "", "z")]
+    n, held = Counter(), Counter()
+    for lang, source, text in docs:
+        terms = Counter("".join(c.lower() if c < "\x80" else c for c in t) for t in re.findall(divergence.TERM, text))
+        n.update({(lang, source, t): k for t, k in terms.items()})
+        held.update((lang, source, t) for t in terms)
+    monkeypatch.setattr(divergence, "PASS_BYTES", pass_bytes)
+    monkeypatch.setattr(divergence, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(divergence, "SEND_ROWS", rows)
+    table = pa.table([pa.array(c, pa.string()) for c in zip(*docs, strict=True)], names=["lang", "source", "text"])
+    got_n, got_docs, sent = Counter(), Counter(), 0
+    for batch in divergence._count_terms(iter(table.to_batches(max_chunksize=rows))):
+        for r in batch.to_pylist():
+            got_n[r["lang"], r["source"], r["term"]] += r["n"]
+            got_docs[r["lang"], r["source"], r["term"]] += r["docs"]
+            sent += 1
+    assert (got_n, got_docs) == (n, held)
+    assert sent == len(n) or task_bytes < 32 << 20
+
+
+def test_terms_of_passes_against_chunks_of_the_whole_table(spark):
+    docs = odd_docs(spark).repartition(5)
+    whole = divergence.chunk_counts(docs)
+    whole = whole.join(divergence.chunk_terms(whole), "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")))
+    got = divergence.term_counts(docs).select("lang", "source", "term", "count")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_chunks_are_not_written(spark):
+    """What is written for the counts has a row for each group and term, however many chunks there are."""
+    rows = [(i, " ".join(f"Sure,{i * 200 + k} ({k}.{i})few" for k in range(200)), "en", "ab"[i % 2], i) for i in range(30)]
+    with scratch_scope(spark):
+        by_group, by_lang = divergence.term_statistics(spark.createDataFrame(rows, DOCS))
+        counts = {(r["source"], r["term"]): r["count"] for r in by_group.collect()}
+        root = scratch_root(spark).removeprefix("file://")
+        total = sum(pq.read_metadata(p).num_rows for p in glob.glob(f"{root}/**/*.parquet", recursive=True))
+    assert counts == {(s, t): 3000 for s in "ab" for t in ("sure", "few")}
+    assert total == 6
+
+
 def test_totals_beyond_64_bits(spark):
     rows = spark.range(1).select(F.lit(3 * 10**12).alias("c"), F.lit(10**13).alias("t"), F.lit(5).alias("v"))
     assert rows.select(divergence._share("c", "t", "v").alias("p")).first()["p"] == 1 + 10**9 * (3 * 10**12 + 2) // (10**13 + 10)

@@ -1,18 +1,17 @@
 """How far sources are apart in the terms they use, by factorizing texts into chunks.
 
-A chunk is a run of characters without ASCII blanks. Chunks are counted per document and combined per group of language
-and source, each globally distinct chunk is cut into terms once, and its terms are joined back. Occurrences are then
-sums. The distinct documents of a term follow from those of its chunks: in a group they are at least the largest and at
-most the sum over its chunks, and groups share no documents. Where these bounds leave open whether a term is in enough
-documents, its documents are counted one by one: a second pass names the documents of just those chunks (a bit filter
-of bounded size spares the rest the shuffle, and a join decides), and distinct pairs of term and document are counted.
+A chunk is a run of characters without ASCII blanks. Chunks are counted per document, each distinct chunk of a pass over
+neighbouring texts is cut into terms once, and its terms are joined back to the documents that hold it. A pass holds its
+documents whole, so that it knows the distinct documents of a term beside its occurrences; both are sums from there on,
+as no document is in two passes. Passes of a task are combined per group of language and source before the shuffle, so
+what is shuffled are terms, of which there are fewer than chunks.
 
 Shares are whole numbers, a billion to one, smoothed by two for each kept term. Sources are compared in tiles of sources
 and terms: a tile is a dense block of shares in which an absent term has the group's share for no occurrence; terms that
 no source of a tile holds add the same amount each, and are added once by their number.
 
-Skew: a frequent chunk or a large source is combined in each task before the shuffle, and later there is one row for
-each group and chunk. Only the bit filter is broadcast.
+Skew: a frequent term or a large source is combined in each task before the shuffle, so that a term has one row for each
+group and task there, and one for each group later.
 
 Defined results: null texts, languages and sources count as empty; every row is a document of its own, so that repeated rows
 and null or repeated ids count each; a language without kept terms has pairs of value 0 and no terms; an empty table has
@@ -21,27 +20,41 @@ no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import zlib
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm import rolling
 from wattline.llm.common import BLANKS
-from wattline.llm.repeats import hash_filter, in_filter, text_chunks
+from wattline.llm.repeats import text_chunks
 from wattline.session import materialize
 
 #: Fixed by the contract: what a term is, how a share is scaled and smoothed.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, SMOOTH = 1_000_000_000, 2
 LEAST_DOCS, TOP = 10, 10
-PASS_BYTES = 8 << 20
+PASS_BYTES, TASK_BYTES = 8 << 20, 32 << 20  # texts of a pass, and those whose passes a task combines before it sends them on
+SEND_ROWS = 1 << 16
 SOURCE_BLOCK, TERM_BLOCK = 256, 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same by bytes: all bytes of a character beyond ASCII belong to a term, and only A-Z are lowered.
+_IN_TERM = np.array([bool(re.match(TERM, chr(i))) for i in range(128)] + [True] * 128)
+_LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _groups(batch: pa.RecordBatch, group_of: dict[tuple[str, str], int]) -> np.ndarray:
+    """The number of the language and source of each row; new ones are added to `group_of`."""
+    rows = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+    return np.array([group_of.setdefault(r, len(group_of)) for r in rows], np.int64)
+
+
+def _names(group_of: dict[tuple[str, str], int]) -> tuple[pa.Array, pa.Array]:
+    langs, sources = (pa.array([g[i] for g in group_of], pa.string()) for i in (0, 1))
+    return langs, sources
 
 
 def _chunked(batch: pa.RecordBatch):
@@ -61,12 +74,11 @@ def _chunked(batch: pa.RecordBatch):
         yield first, last, chunks, pairs // len(chunks), pairs % len(chunks), times
 
 
-def _count(batches):
+def _count_chunks(batches):
     for batch in batches:
-        names = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], names=["lang", "source"])
         group_of: dict[tuple[str, str], int] = {}
-        group = np.array([group_of.setdefault((r["lang"], r["source"]), len(group_of)) for r in names.to_pylist()], np.int64)
-        langs, sources = (pa.array([g[i] for g in group_of], pa.string()) for i in (0, 1))
+        group = _groups(batch, group_of)
+        langs, sources = _names(group_of)
         for first, _, chunks, doc, code, times in _chunked(batch):
             keys, at = np.unique(group[first + doc] * len(chunks) + code, return_inverse=True)
             which = pa.array(keys // len(chunks))
@@ -81,58 +93,97 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, n (occurrences), docs (documents with the chunk)."""
-    counted = _plain(docs).mapInArrow(_count, "lang string, source string, chunk string, n long, docs long")
+    """lang, source, chunk, n (occurrences), docs (documents with the chunk): the factors over a whole table."""
+    counted = _plain(docs).mapInArrow(_count_chunks, "lang string, source string, chunk string, n long, docs long")
     return counted.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk, term, times: every distinct chunk is cut into terms once."""
+    """chunk, term, times: every distinct chunk of a table is cut into terms once."""
     lowered = F.translate("chunk", _UPPER, _LOWER)
     cut = chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("term"))
     return cut.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-# terms whose documents must be counted one by one -----------------------------------------------------------------------
-
-def _chunk_hashes(chunks: pa.Array) -> np.ndarray:
-    data = np.frombuffer("\n".join(chunks.to_pylist()).encode(), np.uint8)
-    sizes = pc.binary_length(chunks).to_numpy().astype(np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    return rolling.word_hashes(data, ends - sizes, ends)
-
-
-def _with_lang(hashes: np.ndarray, langs: list[str]) -> np.ndarray:
-    codes = {lang: zlib.crc32(lang.encode()) for lang in set(langs)}
-    return rolling.mixed(hashes + rolling.mixed(np.array([codes[x] for x in langs], np.uint64)))
-
-
-def _hash_rows(batches):
+# terms of passes --------------------------------------------------------------------------------------------------------
+
+def _cut(chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms of distinct chunks; the terms of each chunk by number, and how many it has."""
+    offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset:chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(chunks.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    solid = _IN_TERM[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[offsets[:-1]] = solid[offsets[:-1]]  # no chunk is empty, and no term crosses into the next
+    starts = np.flatnonzero(begins)
+    ends = np.append((np.cumsum(solid) - 1)[starts], solid.sum()).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(_LOWERED[data[solid]])]).dictionary_encode()
+    return terms.dictionary, terms.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(starts, offsets))
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[at], *[np.add.reduceat(v[order], at) if len(at) else v for v in values]
+
+
+def _pass_terms(batch: pa.RecordBatch, group: np.ndarray):
+    """(distinct terms, term of each (term, group) pair, its group, its occurrences, its documents) of each pass."""
+    for first, last, chunks, doc, code, times in _chunked(batch):
+        terms, of_chunk, per = _cut(chunks)
+        each = per[code]
+        at = np.repeat((np.cumsum(per) - per)[code] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        # documents in order of their groups: then the documents of a group are neighbours within a term
+        by_group = np.argsort(group[first:last], kind="stable")
+        place = np.empty(last - first, np.int64)
+        place[by_group] = np.arange(last - first)
+        held, n = _summed(of_chunk[at] * (last - first) + np.repeat(place[doc], each), np.repeat(times, each))
+        term, own = held // (last - first), group[first:last][by_group][held % (last - first)]
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (own[1:] != own[:-1]))[:len(held)])
+        if len(new):
+            yield terms, term[new], own[new], np.add.reduceat(n, new), np.diff(new, append=len(held))
+
+
+def _combined(passes: list, group_of: dict[tuple[str, str], int]):
+    """One row for each group and term of some passes."""
+    if not passes:
+        return
+    langs, sources = _names(group_of)
+    merged = pa.concat_arrays([p[0] for p in passes]).dictionary_encode()
+    code = merged.indices.to_numpy().astype(np.int64)
+    firsts = np.cumsum([0] + [len(p[0]) for p in passes])
+    keys = np.concatenate([code[at + p[1]] * len(group_of) + p[2] for at, p in zip(firsts, passes, strict=False)])
+    keys, n, docs = _summed(keys, *[np.concatenate([p[i] for p in passes]) for i in (3, 4)])
+    for at in range(0, len(keys), SEND_ROWS):
+        some = slice(at, at + SEND_ROWS)
+        which = pa.array(keys[some] % len(group_of))
+        yield pa.RecordBatch.from_arrays([
+            langs.take(which), sources.take(which), merged.dictionary.take(pa.array(keys[some] // len(group_of))),
+            pa.array(n[some]), pa.array(docs[some])], names=["lang", "source", "term", "n", "docs"])
+
+
+def _count_terms(batches):
+    passes, size, group_of = [], 0, {}
     for batch in batches:
-        if len(batch):
-            hashes = _with_lang(_chunk_hashes(batch.column("chunk")), batch.column("lang").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
+        passes += _pass_terms(batch, _groups(batch, group_of))
+        size += batch.column("text").nbytes
+        if size >= TASK_BYTES:
+            yield from _combined(passes, group_of)
+            passes, size, group_of = [], 0, {}
+    yield from _combined(passes, group_of)
 
 
-def _documents_of(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """row, lang, chunk: the documents (numbered within their task) of the chunks asked for, and of a few others."""
-    hashes = materialize(chunks.mapInArrow(_hash_rows, "hash long").distinct(), "open-hashes")
-    shared = docs.sparkSession.sparkContext.broadcast(hash_filter(hashes, hashes.count()))
+def term_counts(docs: DataFrame) -> DataFrame:
+    """lang, source, term, count (occurrences), docs (documents with the term); the rows of a language's term are together.
 
-    def find(batches):
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for first, _, seen, doc, code, _ in _chunked(batch):
-                if shared.value is not None:
-                    hit = in_filter(_with_lang(_chunk_hashes(seen)[code], [langs[i] for i in (first + doc).tolist()]), shared.value)
-                    doc, code = doc[hit], code[hit]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + first + doc), pa.array([langs[i] for i in (first + doc).tolist()], pa.string()),
-                    seen.take(pa.array(code))], names=["row", "lang", "chunk"])
-            row += len(batch)
-
-    return _plain(docs).mapInArrow(find, "row long, lang string, chunk string")
+    Tasks have combined their rows already, so they are dealt by term at once, and sums need no further shuffle.
+    """
+    counted = _plain(docs).mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("count"), F.sum("docs").alias("docs"))
 
 
 # statistics -------------------------------------------------------------------------------------------------------------
@@ -142,23 +193,10 @@ def term_statistics(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[Data
 
     A term is kept in a language if at least `least_docs` of its documents hold it.
     """
-    used = materialize(chunk_counts(docs), "chunk-counts")
-    terms = materialize(chunk_terms(used), "chunk-terms")
-    held = materialize(used.join(terms, "chunk").groupBy("lang", "source", "term").agg(
-        F.sum(F.col("n") * F.col("times")).alias("count"), F.max("docs").alias("least"), F.sum("docs").alias("most")), "group-terms")
-    bounds = materialize(held.groupBy("lang", "term").agg(
-        F.sum("count").alias("count"), F.sum("least").alias("least"), F.sum("most").alias("most")).where(F.col("most") >= least_docs),
-        "term-bounds")
-    undecided = bounds.where(F.col("least") < least_docs).select("lang", "term")
-    asked = materialize(used.select("lang", "chunk").distinct().join(terms, "chunk").join(undecided, ["lang", "term"]).select(
-        "lang", "chunk", "term"), "open-chunks")
-    enough = _documents_of(docs, asked.select("lang", "chunk").distinct()).join(asked, ["lang", "chunk"]).select(
-        "lang", "term", "row").distinct().groupBy("lang", "term").count().where(F.col("count") >= least_docs)
-    sure = bounds.where(F.col("least") >= least_docs).select("lang", "term", "count")
-    found = bounds.join(enough.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "term", "count")
-    kept = materialize(sure.unionByName(found), "kept-terms")
-    groups = held.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "count")
-    return materialize(groups, "kept-group-terms"), kept
+    whole = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    held = term_counts(docs).withColumn("whole", whole).where(F.col("whole") >= least_docs)
+    groups = materialize(held.select("lang", "source", "term", "count"), "kept-group-terms")
+    return groups, materialize(groups.groupBy("lang", "term").agg(F.sum("count").alias("count")), "kept-terms")
 
 
 def _share(count: str, total: str, kept: str):
