@@ -120,3 +120,76 @@ def test_live_cycle_repeats_a_batch_without_a_trace(spark):
     assert status == [(3, 0, 2), (3, 2, 1), (0, 0, 1)]
     fired = sorted(r["row_id"] for r in spark.read.parquet(f"{out}/alerts").where("rule = 'high_consumption'").collect())
     assert fired == [1, 3, 5]  # row 2 carries 300 and falls into the quiet time of row 1
+
+
+def test_places_that_fire_equal_a_walk():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    pieces = [np.sort(draw.choice(400, draw.integers(1, 60), replace=False)) for _ in range(40)]
+    us, low = np.concatenate(pieces), np.cumsum([0] + [len(p) for p in pieces[:-1]])
+    for gap in (0, 1, 7, 90, 1000):
+        want = []
+        for start, piece in zip(low, pieces, strict=True):
+            last = None
+            for i, t in enumerate(piece):
+                if last is None or t >= last + gap:
+                    want.append(start + i)
+                    last = t
+        assert sorted(live._firing(us, low, low + [len(p) for p in pieces], gap).tolist()) == want
+
+
+def test_cooldown_over_batches_equals_the_batch_form_with_null_keys_and_ties(spark):
+    import random
+
+    from wattline.operators.cooldown import apply_cooldown
+
+    draw, spans, keys = random.Random(5), [(20, 40), (0, 25), (30, 60)], [None, 1, 2, 3]
+    batches, n = [], 0
+    for low, high in spans:
+        rows = []
+        for _ in range(300):  # some times fall on the watermark itself, some are a microsecond apart
+            step = timedelta(microseconds=draw.choice([0, 0, 0, 1, 1500]))
+            n += 1
+            rows.append((n, draw.choice(keys), START + timedelta(minutes=30 * draw.randint(2 * low, 2 * high)) + step))
+        batches.append(rows)
+    batches += [[(n + 1, 9, at(500))], [(n + 2, 9, at(501))]]
+    path, zone = scratch_path(spark, "same-in"), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        alert_files(spark, path, batches)
+        table = spark.read.parquet(path).fillna(0, ["series_id"])  # the joins of the batch form leave out null keys
+        for seconds in (0, 900, 5400):
+            made = live.cooldown_stream(stream(spark, path), seconds, ["series_id"], late="40 hours")
+            done, _ = run_stateful(spark, made, "same")
+            want = sorted(r["row_id"] for r in apply_cooldown(table, seconds, ["series_id"]).where("series_id < 9").collect())
+            assert sorted(r["row_id"] for r in done.where("series_id < 9 OR series_id IS NULL").collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_waiting_alerts_of_one_key_do_not_wait_in_the_state_of_that_key(spark):
+    """They are spread by time; to the task of the key go packed times that are due."""
+    path = scratch_path(spark, "hot-in")
+    put(spark, path, [(i, 1, START + timedelta(seconds=i), 0.0) for i in range(3000)])
+    put(spark, path, [(i, 1, START + timedelta(seconds=i), 0.0) for i in range(3000, 4000)])
+    table, query = run_stateful(spark, live.cooldown_stream(stream(spark, path), 600, ["series_id"], late="40 minutes"), "hot")
+    assert sorted(r["row_id"] for r in table.collect()) == [0, 600, 1200]
+    held = [(o["operatorName"], o["numRowsTotal"]) for o in query.lastProgress["stateOperators"]]
+    assert [n for name, n in held if name == "stateStoreSave"] == [2400, 2400]  # from 1600 on
+    assert sum(n for name, n in held if name != "stateStoreSave") <= 3
+
+
+def test_a_time_is_packed_once_for_many_rows_of_a_key():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = np.repeat(np.arange(300), 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (keys * 7, -keys, np.arange(15000)[::-1])], ["key_a", "key_b", "event_us"])
+    got = []
+    for made in live._packed(iter([batch.slice(0, 4000), batch.slice(4000)])):
+        for slot, *cells in zip(*[made.column(i).to_pylist() for i in range(5)], strict=True):
+            a, b, counts, us = (np.frombuffer(c, "int64") for c in cells)
+            assert set(b % live._SLOTS) == {slot} and len(a) == len(set(a)) and counts.sum() == len(us)
+            got += zip(np.repeat(a, counts).tolist(), np.repeat(b, counts).tolist(), us.tolist(), strict=True)
+    assert sorted(got) == sorted(zip((keys * 7).tolist(), (-keys).tolist(), range(14999, -1, -1), strict=True))

@@ -9,7 +9,7 @@ from wattline.operators.clean import clean
 from wattline.operators.quantile import quantiles
 from wattline.plans.catalogue import READINGS, RESAMPLED, SCORED, query, score_rows, scored
 from wattline.plans.queries_readmodels import SETTINGS, _ALERTS, _cooldown_sql
-from wattline.session import scratch_path
+from wattline.session import materialize, scratch_path
 from wattline.sources.readings import readings
 from wattline.streaming import live
 
@@ -18,6 +18,8 @@ FILES = 3
 WRITERS = 4
 ARRIVAL = (1, 0, 3, 2)
 AHEAD = 400 * 86_400
+STATE_ROWS = 250_000  # of a partition of state; each costs some files per batch
+LEAST_STATES = 8
 
 
 def _in_time_order(spark, table, label):
@@ -52,14 +54,20 @@ def _closed(spark, table, path, **marks):
 
 
 @contextmanager
-def _rocksdb(spark):
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, live.ROCKSDB)
+def _rocksdb(spark, rows=None):
+    """The store of stateful streams; with the number of rows that may wait, no more partitions of state than these need."""
+    keys = {"spark.sql.streaming.stateStore.providerClass": live.ROCKSDB}
+    if rows is not None:
+        width = "spark.sql.shuffle.partitions"
+        keys[width] = str(min(int(spark.conf.get(width)), max(LEAST_STATES, -(-rows // STATE_ROWS))))
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(store, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _run(spark, stream, label):
@@ -156,10 +164,10 @@ def _(spark, folder):
 
 
 def _cooled(spark, folder, seconds, keys):
-    alerts = rules.alerts(scored(spark, folder), SETTINGS, with_data=False)
+    alerts = materialize(rules.alerts(scored(spark, folder), SETTINGS, with_data=False), "alerts")  # the rules run once
     path, late = _out_of_order(spark, alerts, "alerts-in")
     _closed(spark, alerts, path, series_id=-1, rule="close", row_id=-1)
-    with _rocksdb(spark):
+    with _rocksdb(spark, alerts.count()):
         stream = live.cooldown_stream(live.read_folder(spark, path, alerts.schema, WRITERS), seconds, keys, late=f"{late} seconds")
         return _run(spark, stream, "alerts").where("rule <> 'close'").select(*keys, "row_id", "ts")
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,39 +92,153 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-class _Cooldown(_InOrder):
-    """Remembers when a key last fired, until its quiet time is over."""
+_SLOTS = 256
+_BLOCK = 1 << 18
+_FEW = 16
 
-    def __init__(self, gap: int, columns: list[str], row: str):
-        self.gap, self.columns, self.row = gap, columns, row
 
-    def reduced(self, frame: pd.DataFrame) -> list:
-        first = frame.sort_values(["event_us", self.row]).drop_duplicates("event_us")
-        return list(zip(first["event_us"].tolist(), first[self.columns].itertuples(index=False, name=None), strict=True))
+def _first_from(us: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each sorted piece ``us[low:high]``, the first place with a time of at least ``least``, or ``high``."""
+    low, high = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        below = us[middle] < least[open_]
+        low[open_] = np.where(below, middle + 1, low[open_])
+        high[open_] = np.where(below, high[open_], middle)
+    return low
+
+
+def _starts_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where each key starts in sorted rows."""
+    return np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)])
+
+
+def _firing(us: np.ndarray, low: np.ndarray, high: np.ndarray, gap: int) -> np.ndarray:
+    """Places that fire in sorted pieces ``us[low:high]``, one for each key, of which the first time fires.
+
+    All keys take their steps together; the last few are walked one by one.
+    """
+    found, at = [], low
+    while len(at) > _FEW:
+        found.append(at)
+        at = _first_from(us, at + 1, high, us[at] + gap)
+        at, high = at[at < high], high[at < high]
+    for i, end in zip(at.tolist(), high.tolist(), strict=True):
+        while i < end:
+            found.append([i])
+            i += 1 + int(np.searchsorted(us[i + 1:end], us[i] + gap))
+    return np.concatenate([np.empty(0, "int64"), *found]).astype("int64")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key_a, key_b, event_us) as blocks of a slot, in order of key and time: each key once with the count of its times."""
+    def packed(held: list) -> pa.RecordBatch:
+        a, b, us = (np.concatenate(c) for c in zip(*held, strict=True))
+        slots = b % _SLOTS
+        order = np.lexsort((us, b, a, slots))
+        a, b, us, slots = a[order], b[order], us[order], slots[order]
+        low = _starts_of(a, b)
+        counts = np.diff(np.append(low, len(a)))
+        made, first = [], np.flatnonzero(np.append(True, slots[low[1:]] != slots[low[:-1]]))
+        for i, j in zip(first, np.append(first[1:], len(low)), strict=True):
+            end = low[j] if j < len(low) else len(a)
+            made.append((int(slots[low[i]]), a[low[i:j]].tobytes(), b[low[i:j]].tobytes(), counts[i:j].tobytes(), us[low[i]:end].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(
+            zip(*made, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], ["slot", "key_a", "key_b", "counts", "times"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(c).to_numpy() for c in ("key_a", "key_b", "event_us")])
+            rows += batch.num_rows
+        if rows >= _BLOCK:
+            yield packed(held)
+            held, rows = [], 0
+    if held:
+        yield packed(held)
+
+
+class _Cooldown(StatefulProcessor):
+    """Which of the times that the watermark has passed fire, for a slot of many keys at once.
+
+    Times come as blocks, and every later one is behind all of this batch. `fired` remembers when keys last fired, until
+    their quiet time is over; a slot with nothing to remember has no state.
+    """
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fired = handle.getValueState("fired", "cells binary")
 
-    def released(self, key, ready: list, last: int | None, passed: int) -> tuple:
-        place, kept = self.columns.index(self.row), []
-        for us, row in sorted(ready, key=lambda x: (x[0], x[1][place])):
-            if last is None or us >= last + self.gap:
-                kept.append(row)
-                last = us
-        if last is not None and last + self.gap <= passed:
-            last = None
-        return pd.DataFrame(kept, columns=self.columns), last, None if last is None else last + self.gap
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self._known()
+        parts = [known]
+        for frame in rows:
+            for a, b, counts, times in frame[["key_a", "key_b", "counts", "times"]].itertuples(index=False, name=None):
+                counts = np.frombuffer(counts, "int64")
+                ids = (np.repeat(np.frombuffer(x, "int64"), counts) for x in (a, b))
+                parts.append(np.stack([*ids, np.frombuffer(times, "int64")]))
+        a, b, us = np.concatenate(parts, axis=1)
+        order = np.lexsort((us, b, a))
+        a, b, us, old = a[order], b[order], us[order], order < known.shape[1]
+        low = _starts_of(a, b)
+        # the first time of a key that fired before is that alert, and it may fire again as such
+        places = _firing(us, low, np.append(low[1:], len(us)), self.gap)
+        newest = np.zeros(len(low), dtype="int64")
+        np.maximum.at(newest, np.searchsorted(low, places, side="right") - 1, places)
+        self._keep(np.stack([a[newest], b[newest], us[newest]]), timerValues)
+        places = places[~old[places]]
+        if len(places):
+            made = pd.DataFrame({"key_a": a[places], "key_b": b[places]})
+            made[TS] = pd.Series(us[places].astype("datetime64[us]")).dt.tz_localize("UTC")
+            yield made
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._known(), timerValues)
+        yield from ()
+
+    def _known(self) -> np.ndarray:
+        stored = self.fired.get() if self.fired.exists() else None
+        return np.frombuffer(stored[0], "int64").reshape(3, -1) if stored else np.empty((3, 0), "int64")
+
+    def _keep(self, cells: np.ndarray, timerValues) -> None:
+        """Remember the keys whose quiet time the watermark has not passed."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        cells = cells[:, cells[2] + self.gap > passed]
+        if cells.shape[1]:
+            self.fired.update((cells.tobytes(),))
+            self.handle.registerTimer(int(cells[2].max() + self.gap) // 1000 + 1)
+        else:
+            self.fired.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def cooldown_stream(alerts: DataFrame, seconds: float = 300, keys: Sequence[str] = (SERIES, "rule"), row: str = ROW,
                     late: str = "2 hours") -> DataFrame:
     """Streaming form of the batch cooldown. Alerts may come in any order within the allowed lateness.
 
-    Needs the RocksDB state store. An alert is decided when the watermark has passed it.
+    Needs the RocksDB state store. An alert is decided when the watermark has passed it. Times and rows wait apart, both by
+    key and time over all tasks, so that a frequent key is spread. Times that are due go, packed, to the slot of their key;
+    the few that fire come back as marks to the rows, which the same watermark releases. Keys are 128 bits of hashes.
     """
-    keys, columns = list(keys), list(alerts.columns)
-    timed = alerts.withWatermark(TS, late).withColumn("event_us", F.unix_micros(TS))
-    schema = T.StructType([alerts.schema[c] for c in columns])
-    return timed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Cooldown(int(seconds * 1_000_000), columns, row), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime")
+    nulls = [F.isnull(k) for k in keys]  # a null alone leaves a hash as it is
+    hashes = [F.xxhash64(*keys, *nulls).alias("key_a"), F.xxhash64(F.lit("second"), *keys, *nulls).alias("key_b")]
+    waiting = alerts.withWatermark(TS, late).select(*hashes, TS, F.struct(*alerts.columns).alias("row"), F.lit(False).alias("fires"))
+    due = waiting.groupBy("key_a", "key_b", TS).agg(F.count(F.lit(1)))
+    blocks = due.select("key_a", "key_b", F.unix_micros(TS).alias("event_us")).mapInArrow(
+        _packed, "slot bigint, key_a binary, key_b binary, counts binary, times binary")
+    marks = blocks.groupBy("slot").transformWithStateInPandas(
+        statefulProcessor=_Cooldown(int(seconds * 1_000_000)), outputStructType=waiting.select("key_a", "key_b", TS).schema,
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName=TS)
+    marks = marks.select("key_a", "key_b", TS, F.lit(None).cast(waiting.schema["row"].dataType).alias("row"), F.lit(True).alias("fires"))
+    first = F.col(f"row.{row}")
+    held = waiting.union(marks).groupBy("key_a", "key_b", TS).agg(
+        F.min_by("row", F.struct("fires", F.isnull(first), first)).alias("row"), F.bool_or("fires").alias("fires"))
+    return held.where("fires").select("row.*")
 
 
 class _Grid(_InOrder):
