@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from wattline.functions.labels import HEALTH_CLASSES
 from wattline.session import materialize
 
 RARE_CLASS_ROWS = 5
+FIT_ROWS = 25_000  # of a task, at least; larger tables keep to FIT_TASKS tasks until one has FIT_ROWS_MOST
+FIT_ROWS_MOST = 131_072
+FIT_TASKS = 32
+ROWS_AT_ONCE = 1_000_000  # of all fits that run beside each other; each keeps some 700 bytes a row
 
 
 def merge_rare_class(df: DataFrame, label: str, rare: str = "critical", into: str = "warning",
@@ -43,10 +50,14 @@ def classifier_for(rows: int, seed: int = 42):
 
 
 class HealthModel:
-    """Classifier with its class names in label order and its cross-validated scores."""
+    """Classifier with its class names in label order and its cross-validated scores, given as a table or a function that plans it."""
 
     def __init__(self, features, model, classes, fold_scores):
-        self.features, self.model, self.classes, self.fold_scores = features, model, classes, fold_scores
+        self.features, self.model, self.classes, self._scores = features, model, classes, fold_scores
+
+    @cached_property
+    def fold_scores(self) -> DataFrame | None:
+        return self._scores() if callable(self._scores) else self._scores
 
 
 def _labelled(df: DataFrame, features, label: str, classes: list[str]) -> DataFrame:
@@ -56,6 +67,29 @@ def _labelled(df: DataFrame, features, label: str, classes: list[str]) -> DataFr
     return ready(df, features).withColumn("label", place.cast("double"))
 
 
+def fit_tasks(rows: int) -> int:
+    """Over how many tasks the rows of a fit are dealt; it follows from their number alone, so that a fit is the same on any cluster."""
+    return -(-rows // max(FIT_ROWS, min(FIT_ROWS_MOST, -(-rows // FIT_TASKS))))
+
+
+def _dealt(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Rows dealt over the tasks of a fit by their content. A file that is read as one part would train on one core."""
+    width = fit_tasks(rows)
+    if width < 2:
+        return df
+    mixed = df.withColumn("_mixed", F.xxhash64(*by))
+    return mixed.repartition(width, "_mixed").sortWithinPartitions("_mixed").drop("_mixed")
+
+
+def _fit_each(estimator, tables: list[DataFrame], at_once: int) -> list:
+    """One model of each table; small fits run beside each other, as most of their time is waiting for short jobs."""
+    from pyspark import inheritable_thread_target
+
+    fit = inheritable_thread_target(tables[0].sparkSession)(lambda table: estimator.copy().fit(table))
+    with ThreadPool(max(1, min(at_once, len(tables)))) as pool:
+        return pool.map(fit, tables, chunksize=1)
+
+
 def stratified_folds(df: DataFrame, label: str, folds: int, key: str = "row_id") -> DataFrame:
     """Deterministic folds; a hash of the key spreads every class evenly over them."""
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.col(label)), F.lit(folds)))
@@ -96,14 +130,17 @@ def fit_health(df: DataFrame, features, label: str = "health", folds: int = 5, e
     folds = max(2, min(folds, min(counts[c] for c in classes)))
     estimator = estimator or classifier_for(sum(counts.values()))
     made = stratified_folds(_labelled(table, list(features), label, classes), label, folds, key)
-    tested = None
-    with held(made.select("features", "label", "_fold")) as table:
-        for fold in range(folds):
-            fitted = estimator.fit(table.filter(F.col("_fold") != fold))
-            part = fitted.transform(made.filter(F.col("_fold") == fold)).select("label", "prediction", F.lit(fold).alias("fold"))
-            tested = part if tested is None else tested.unionByName(part)
-        final = estimator.fit(table)
-    scores = classification_summary(tested, "label", "prediction", ["fold"])
+    rows = sum(counts.values())
+    with held(_dealt(made, [key, "label", *features], rows).select("features", "label", "_fold")) as table:
+        table.count()  # filled once, before several fits read it
+        parts = [table.filter(F.col("_fold") != fold) for fold in range(folds)]
+        *fitted, final = _fit_each(estimator, [*parts, table], ROWS_AT_ONCE // max(1, rows))
+
+    def scores() -> DataFrame:
+        held_out = [model.transform(made.filter(F.col("_fold") == fold)).select("label", "prediction", F.lit(fold).alias("fold"))
+                    for fold, model in enumerate(fitted)]
+        return classification_summary(reduce(DataFrame.unionByName, held_out), "label", "prediction", ["fold"])
+
     return HealthModel(list(features), final, classes, scores)
 
 
