@@ -61,3 +61,18 @@ def test_a_fit_does_not_depend_on_how_rows_are_stored(spark, monkeypatch):
 def test_tasks_of_a_fit_follow_from_its_rows():
     assert [health.fit_tasks(n) for n in (0, 1, 25_000, 25_001, 100_000, 800_000, 3_000_000)] == [0, 1, 1, 2, 4, 32, 32]
     assert -(-36_000_000 // health.fit_tasks(36_000_000)) <= health.FIT_ROWS_MOST
+
+
+def test_rows_of_a_fold_are_predicted_once(spark):
+    done = spark.sparkContext.accumulator(0)
+
+    class Noted(_Counted):
+        def transform(self, table):
+            def predict(label):
+                done.add(1)
+                return label
+            return table.withColumn("prediction", F.udf(predict, "double")("label"))
+
+    scores = health.fit_health(_table(spark, 2000), ["x", "y"], estimator=Noted([])).fold_scores
+    assert sum(r["n_samples"] for r in scores.collect()) == 2000 and scores.count() == 5
+    assert done.value == 2000

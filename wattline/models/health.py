@@ -139,7 +139,8 @@ def fit_health(df: DataFrame, features, label: str = "health", folds: int = 5, e
     def scores() -> DataFrame:
         held_out = [model.transform(made.filter(F.col("_fold") == fold)).select("label", "prediction", F.lit(fold).alias("fold"))
                     for fold, model in enumerate(fitted)]
-        return classification_summary(reduce(DataFrame.unionByName, held_out), "label", "prediction", ["fold"])
+        tested = materialize(reduce(DataFrame.unionByName, held_out), "folds")  # read several times, predicted once
+        return classification_summary(tested, "label", "prediction", ["fold"])
 
     return HealthModel(list(features), final, classes, scores)
 
