@@ -76,3 +76,15 @@ def test_rows_of_a_fold_are_predicted_once(spark):
     scores = health.fit_health(_table(spark, 2000), ["x", "y"], estimator=Noted([])).fold_scores
     assert sum(r["n_samples"] for r in scores.collect()) == 2000 and scores.count() == 5
     assert done.value == 2000
+
+
+def test_importances_do_not_depend_on_how_rows_are_stored(spark, monkeypatch):
+    from wattline.models import forecast
+
+    monkeypatch.setattr(health, "FIT_ROWS", 300)
+    forest = RandomForestClassifier(labelCol="label", numTrees=5, maxDepth=4, subsamplingRate=0.8, seed=7)
+    table, got = _table(spark, 4000), []
+    for stored in (table.coalesce(1), table.repartition(6, "x")):
+        fitted = health.fit_health(stored, ["x", "y"], estimator=forest)
+        got.append([tuple(r) for r in forecast.importances(fitted.model, fitted.features, stored, 15).collect()])
+    assert got[0] == got[1] and len(got[0]) == 2
