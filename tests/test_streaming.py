@@ -193,3 +193,24 @@ def test_a_time_is_packed_once_for_many_rows_of_a_key():
             assert set(b % live._SLOTS) == {slot} and len(a) == len(set(a)) and counts.sum() == len(us)
             got += zip(np.repeat(a, counts).tolist(), np.repeat(b, counts).tolist(), us.tolist(), strict=True)
     assert sorted(got) == sorted(zip((keys * 7).tolist(), (-keys).tolist(), range(14999, -1, -1), strict=True))
+
+
+def test_many_keys_share_the_state_of_few_slots(spark):
+    from wattline.operators.cooldown import apply_cooldown
+
+    path, keys = scratch_path(spark, "many-in"), 2000
+    for low in (0, 30):
+        lines = spark.range(low * keys, (low + 30) * keys, 1, 2).selectExpr(
+            "id AS row_id", f"id % {keys} AS series_id",
+            f"TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id DIV {keys} * 20 + (id * 37) % {keys} % 13 AS INT)) AS ts",
+            "CAST(0 AS DOUBLE) AS consumption_kwh")
+        lines.coalesce(1).write.mode("append").parquet(path)
+    put(spark, path, [(-1, -1, at(30), 0.0)])
+    put(spark, path, [(-2, -1, at(31), 0.0)])
+    made = live.cooldown_stream(stream(spark, path), 86_400, ["series_id"], late="11 hours")
+    table, query = run_stateful(spark, made, "many")
+    want = apply_cooldown(spark.read.parquet(path), 86_400, ["series_id"]).where("series_id >= 0")
+    got = table.where("series_id >= 0")
+    assert got.count() == keys and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    held = [o["numRowsTotal"] for o in query.lastProgress["stateOperators"] if o["operatorName"] != "stateStoreSave"]
+    assert sum(held) <= 3 * live._SLOTS  # all keys are in their quiet time; one state with its timer for each slot
