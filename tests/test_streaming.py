@@ -172,7 +172,7 @@ def test_waiting_alerts_of_one_key_do_not_wait_in_the_state_of_that_key(spark):
     """They are spread by time; to the task of the key go packed times that are due."""
     path = scratch_path(spark, "hot-in")
     put(spark, path, [(i, 1, START + timedelta(seconds=i), 0.0) for i in range(3000)])
-    put(spark, path, [(i, 1, START + timedelta(seconds=i), 0.0) for i in range(3000, 4000)])
+    put(spark, path, [(i, 1, START + timedelta(seconds=i), 0.0) for i in range(3000, 4000)] + [(5000, 1, None, 0.0), (5001, 2, None, 0.0)])
     table, query = run_stateful(spark, live.cooldown_stream(stream(spark, path), 600, ["series_id"], late="40 minutes"), "hot")
     assert sorted(r["row_id"] for r in table.collect()) == [0, 600, 1200]
     held = [(o["operatorName"], o["numRowsTotal"]) for o in query.lastProgress["stateOperators"]]

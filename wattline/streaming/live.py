@@ -227,7 +227,8 @@ def cooldown_stream(alerts: DataFrame, seconds: float = 300, keys: Sequence[str]
     """
     nulls = [F.isnull(k) for k in keys]  # a null alone leaves a hash as it is
     hashes = [F.xxhash64(*keys, *nulls).alias("key_a"), F.xxhash64(F.lit("second"), *keys, *nulls).alias("key_b")]
-    waiting = alerts.withWatermark(TS, late).select(*hashes, TS, F.struct(*alerts.columns).alias("row"), F.lit(False).alias("fires"))
+    timed = alerts.where(F.col(TS).isNotNull()).withWatermark(TS, late)  # no watermark would ever pass the others
+    waiting = timed.select(*hashes, TS, F.struct(*alerts.columns).alias("row"), F.lit(False).alias("fires"))
     due = waiting.groupBy("key_a", "key_b", TS).agg(F.count(F.lit(1)))
     blocks = due.select("key_a", "key_b", F.unix_micros(TS).alias("event_us")).mapInArrow(
         _packed, "slot bigint, key_a binary, key_b binary, counts binary, times binary")
